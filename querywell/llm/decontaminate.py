@@ -170,16 +170,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     return reduce(DataFrame.unionByName, parts)
 
 
+def _leaks(shared):
+    @F.pandas_udf("boolean")
+    def leaks(texts: pd.Series) -> pd.Series:
+        return pd.Series([any(True for _ in shared.value.matches(t)) for t in texts], dtype=bool)
+
+    return leaks
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The documents that match no benchmark item; columns as they are, repeated rows and null ids as well."""
     kept = docs
     options = {"similarity": SIMILARITY, "min_words": MIN_WORDS, "walks": WALKS, "bands": BANDS, "samples": SAMPLES, "block_chars": BLOCK_CHARS} | settings
     for block in blocks_of(benchmark, options.pop("block_chars")):
-        shared = docs.sparkSession.sparkContext.broadcast(Items(block, *options.values()))
-
-        @F.pandas_udf("boolean")
-        def leaks(texts: pd.Series, shared=shared) -> pd.Series:
-            return pd.Series([any(True for _ in shared.value.matches(t)) for t in texts], dtype=bool)
-
+        leaks = _leaks(docs.sparkSession.sparkContext.broadcast(Items(block, *options.values())))
         kept = kept.where(~leaks("text"))
     return kept

@@ -40,6 +40,8 @@ _OUTSIDE_WORDS = re.compile(
     r"|comment|comments|commentlist|comment-list|disqus|respond|reply|replies|reader-comments|discussion|hidden|sr-only|visually-hidden|copyright|legal|toolbar)(?=$|[\s_-])",
     re.I,
 )
+#: The token in place of a left-out element; it may stand inside articles, so its weight is not learned.
+LEFT_OUT = "left-out"
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _KEEP = frozenset("article main body html".split())
 #: An open element is closed by these (what HTML lets authors leave out).
@@ -106,7 +108,7 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool]]:
             continue
         if _left_out(name, m[4], inside > 0):
             out_depth = len(stack)
-            yield "b", "left-out", inside > 0
+            yield "b", LEFT_OUT, inside > 0
             continue
         yield "i" if name in INLINE else "b", name, inside > 0  # the article's own edges are outside
         inside += name in ("article", "main")
@@ -124,7 +126,7 @@ class Weights:
         total_in, total_out = sum(inside.values()) + 2, sum(outside.values()) + 2
         ratio = lambda k: log((inside.get(k, 0) + 0.5) / total_in) - log((outside.get(k, 0) + 0.5) / total_out)
         self.word = max(0.5, min(1.5, 1 + 0.25 * ratio("")))
-        self.tags = {k: -min(12.0, max(0.25, 2 - 2 * ratio(k))) for k in {*inside, *outside} - {""}}
+        self.tags = {k: -min(12.0, max(0.25, 2 - 2 * ratio(k))) for k in {*inside, *outside} - {"", LEFT_OUT}} | {LEFT_OUT: -0.5}
 
     def tag(self, name: str) -> float:
         """A tag that no labelled page shows counts little if articles are made of it, more if it divides pages."""

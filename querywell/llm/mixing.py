@@ -98,9 +98,9 @@ with sized as (
 ), targets as (
   select source, source_size, least(ceiling::double, coalesce(level * weight, ceiling::double)) as target from levels
 ), placed as (
-  select doc_id, source, size, source_size, target, floor(target + 0.5)::bigint as budget,
-    (sum(size) over (partition by source order by key, doc_id nulls first, size rows between unbounded preceding and current row) - size)::bigint as begins
-  from sized join targets using (source)
+  select doc_id, sized.source, size, source_size, target, floor(target + 0.5)::bigint as budget,
+    (sum(size) over (partition by sized.source order by key, doc_id nulls first, size rows between unbounded preceding and current row) - size)::bigint as begins
+  from sized join targets on sized.source is not distinct from targets.source
 )
 select doc_id, source, size, source_size, target,
   (case when source_size > 0 then (budget // source_size) * size

@@ -174,7 +174,7 @@ def linked_classes(classes: DataFrame, cosine: float = COSINE, interval_rows: in
     before = Window.partitionBy("label", "dim").orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     runs = packed.select("label", "dim", "part", "seq", "low", "high", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / interval_rows).alias("interval"))
     runs = durable(runs)
-    ends = [F.min(F.col("low")[k]) for k in range(directions)], [F.max(F.col("high")[k]) for k in range(directions)]
+    ends = [F.min(F.get("low", F.lit(k))) for k in range(directions)], [F.max(F.get("high", F.lit(k))) for k in range(directions)]
     bounds = durable(runs.groupBy("label", "dim", "interval").agg(F.array(*ends[0]).alias("low"), F.array(*ends[1]).alias("high")))
     first, last = (F.floor(F.col(c)[0] / eps) for c in ("low", "high"))
     left = bounds.select("label", "dim", F.col("interval").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), F.explode(F.sequence(first - 1, last + 1)).alias("cell"))
