@@ -6,10 +6,10 @@ are lower-case runs between white space and ASCII punctuation.
 
 Three steps, all in the task that holds the document, without a shuffle:
 
-1. Windows of each item size that can match at all: one within distance d of an
-   item of n words has at least n - d words that occur in items, and at least
-   (rarer words of the item) - d that are rarer ones. Running sums tell which
-   windows pass; none that matches is lost.
+1. Item-sized windows that can match at all: one within distance d of an item
+   holds all but d of any words chosen from it. Chosen are its words that few
+   items hold, and more than d in any case; places of these words, sorted by item,
+   tell which windows hold enough of them. None that matches is lost.
 2. The CGK random walk embeds window and items: at each step it writes the
    current word and moves on or stays by a random bit of (step, word), so an
    edit distance becomes a Hamming distance. Each of several independent walks
@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 SIMILARITY, MIN_WORDS = 0.8, 5
 WALKS, BANDS, SAMPLES = 3, 16, 3
-BLOCK_CHARS, PIECE_WORDS = 32_000_000, 1 << 20
+BLOCK_CHARS, PIECE_WORDS, RARE = 32_000_000, 1 << 20, 8
 _PLAIN = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 
 
@@ -64,10 +65,24 @@ class Items:
         self.ids = [i for i, _ in split]
         seen = Counter(w for _, words in split for w in set(words))
         self.vocabulary = {w: k for k, w in enumerate(sorted(seen), 1)}
-        rare = max(2, len(split) // 50)  # words of few items; a bound on how often, not on which
-        self.is_rare = np.array([False] + [seen[w] <= rare for w in self.vocabulary])
         self.words = [np.array([self.vocabulary[w] for w in words], dtype=np.int32) for _, words in split]
-        self.most = [int((1 - similarity) * len(w) + 1e-9) for w in self.words]
+        self.most = np.array([int((1 - similarity) * len(w) + 1e-9) for w in self.words], dtype=np.int64)
+        self.size = np.array([len(w) for w in self.words], dtype=np.int64)
+        held = np.array([0, *(seen[w] for w in self.vocabulary)])
+        holders: list[list[int]] = [[] for _ in held]  # of each word: the items that chose it
+        need = []
+        for k, w in enumerate(self.words):
+            times = Counter(w.tolist())
+            total = 0
+            for word in sorted(times, key=lambda x: (held[x], x)):
+                if held[word] > RARE and total > self.most[k]:
+                    break
+                holders[word].append(k)
+                total += times[word]
+            need.append(total - self.most[k])
+        self.need = np.array(need, dtype=np.int64)
+        self.first = np.cumsum([0, *map(len, holders)])
+        self.holders = np.array([k for group in holders for k in group], dtype=np.int64)
         self.by_size: dict[int, list[int]] = {}
         for k, w in enumerate(self.words):
             self.by_size.setdefault(len(w), []).append(k)
@@ -99,17 +114,31 @@ class Items:
                 out.append(key)
         return np.stack(out, axis=1)
 
-    def search(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, start, distance) of the best window of each matching item, the first among equals."""
-        best: dict[int, tuple[int, int]] = {}
-        known = np.r_[0, np.cumsum(ids > 0)]
-        rare = np.r_[0, np.cumsum(self.is_rare[ids])]
-        for n, group in self.by_size.items():
-            if len(ids) < n:
-                continue
-            need = n - max(self.most[k] for k in group)
-            need_rare = min(int(self.is_rare[self.words[k]].sum()) - self.most[k] for k in group)
-            starts = np.flatnonzero((known[n:] - known[:-n] >= need) & (rare[n:] - rare[:-n] >= need_rare))
+    def windows(self, ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> dict[int, np.ndarray]:
+        """Of each item size, where windows start that can match; begin and end: of the text around each word."""
+        first, n = self.first[ids], self.first[ids + 1] - self.first[ids]
+        place = np.repeat(np.arange(len(ids)), n)
+        item = self.holders[np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
+        order = np.argsort(item, kind="stable")
+        place, item = place[order], item[order]
+        last = np.arange(len(item)) + self.need[item] - 1
+        at = np.flatnonzero(last < len(item))
+        last = last[at]
+        at, last = (x[(item[at] == item[last]) & (place[last] - place[at] < self.size[item[at]]) & (begin[place[at]] == begin[place[last]])] for x in (at, last))
+        size = self.size[item[at]]
+        low, high = np.maximum(place[last] - size + 1, begin[place[at]]), np.minimum(place[at], end[place[at]] - size)
+        out = {}
+        for s in np.unique(size[high >= low]):
+            own = (size == s) & (high >= low)
+            steps = high[own] - low[own] + 1
+            out[int(s)] = np.unique(np.repeat(low[own] - np.cumsum(steps) + steps, steps) + np.arange(steps.sum()))
+        return out
+
+    def search(self, ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
+        """(text's begin, item) -> (distance, start) of the best window, the first among equals."""
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for n, starts in self.windows(ids, begin, end).items():
+            group = self.by_size[n]
             picks, tables = self.tables[n]
             for at in range(0, len(starts), 8192):
                 block = starts[at : at + 8192]
@@ -120,19 +149,27 @@ class Items:
                         found.update((int(w), int(order[j])) for j in range(low[w], high[w]))
                 for w, j in sorted(found):
                     k, start = group[j], int(block[w])
-                    distance = edit_distance(self.words[k], ids[start : start + n], self.most[k])
-                    if distance <= self.most[k] and (distance, start) < best.get(k, (1 << 30, 0)):
-                        best[k] = distance, start
-        for k, (distance, start) in sorted(best.items()):
-            yield k, start, distance
-
-    def matches(self, text: str | None) -> Iterator[tuple[int, int, int, int]]:
-        """(item_id, first word, words, distance)."""
-        get = self.vocabulary.get
-        words = words_of(text)
-        ids = np.fromiter((get(w, 0) for w in words), dtype=np.int32, count=len(words))
-        for k, start, distance in self.search(ids):
-            yield self.ids[k], start, len(self.words[k]), distance
+                    if best.get((int(begin[start]), k), (1, 0))[0] == 0:
+                        continue
+                    distance = edit_distance(self.words[k], ids[start : start + n], int(self.most[k]))
+                    if distance <= self.most[k] and (distance, start) < best.get((int(begin[start]), k), (1 << 30, 0)):
+                        best[int(begin[start]), k] = distance, start
+        return best
+
+    def matches(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(place of the text, item_id, first word, words, distance), from several texts at a time."""
+        get, held, sizes, first = self.vocabulary.get, [], [], 0
+        for k, text in enumerate(texts):
+            words = words_of(text)
+            held.append(np.fromiter(map(get, words, repeat(0)), dtype=np.int32, count=len(words)))
+            sizes.append(len(words))
+            if sum(sizes) >= PIECE_WORDS or k + 1 == len(texts):
+                begins = np.cumsum(sizes) - sizes
+                begin = np.repeat(begins, sizes)
+                found = self.search(np.concatenate(held), begin, begin + np.repeat(sizes, sizes))
+                owner = {int(b): first + j for j, b in enumerate(begins) if sizes[j]}
+                yield from sorted((owner[b], self.ids[item], start - b, int(self.size[item]), distance) for (b, item), (distance, start) in found.items())
+                held, sizes, first = [], [], k + 1
 
 
 def blocks_of(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
@@ -160,9 +197,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
         def match(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                rows = [(d, *m) for d, t in zip(batch["doc_id"].tolist(), batch["text"]) for m in shared.value.matches(t)]
-                frame = pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "n_words", "distance"])
-                yield frame.astype({"doc_id": "Int64"} if frame["doc_id"].isna().any() else {})
+                frame = pd.DataFrame(shared.value.matches(batch["text"].tolist()), columns=["at", "item_id", "start", "n_words", "distance"])
+                yield frame.assign(doc_id=batch["doc_id"].astype("Int64").to_numpy()[frame.pop("at").to_numpy(dtype=np.int64)])[["doc_id", *frame.columns]]
 
         parts.append(texts.mapInPandas(match, "doc_id long, item_id long, start long, n_words long, distance long"))
     if not parts:
@@ -173,7 +209,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 def _leaks(shared):
     @F.pandas_udf("boolean")
     def leaks(texts: pd.Series) -> pd.Series:
-        return pd.Series([any(True for _ in shared.value.matches(t)) for t in texts], dtype=bool)
+        found = np.zeros(len(texts), dtype=bool)
+        found[[m[0] for m in shared.value.matches(texts.tolist())]] = True
+        return pd.Series(found)
 
     return leaks
 
