@@ -10,6 +10,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of the word rules: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]"
@@ -75,3 +76,9 @@ def whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataF
 
 def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).collect()
+
+
+def drawn(rows: DataFrame, most: int, *columns: str) -> DataFrame:
+    """About ``most`` rows at most, those whose hash of the columns is small: the same ones in every run, from every task a few."""
+    share = min(1.0, most / max(1, rows.count()))
+    return rows.where(F.pmod(F.xxhash64(F.lit("drawn"), *columns), F.lit(1 << 30)) < int(share * (1 << 30)))

@@ -19,7 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most labelled pages that the weights are fitted on.
+from .common import drawn
+
+#: About the most labelled pages that the weights are fitted on.
 TRAIN_PAGES = 2000
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -165,8 +167,7 @@ def main_text(html: str | None, weights: Weights) -> str:
 def learned_weights(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Weights:
     """Weights from pages that hold an <article> or <main>, about ``train_pages`` of them at most, drawn by hash of page_id."""
     labelled = pages.where(F.col("html").rlike("(?i)<(?:article|main)[ >]")).select("page_id", "html")
-    share = min(1.0, train_pages / max(1, labelled.count()))
-    sample = labelled.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = drawn(labelled, train_pages, "page_id")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: Counter = Counter()

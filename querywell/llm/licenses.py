@@ -19,6 +19,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import drawn
+
 #: Usual notices of each family.
 TEMPLATES = {
     "Apache": [
@@ -219,9 +221,8 @@ def license_scan(docs: DataFrame, least: float = LEAST, overlap: float = OVERLAP
     do null and empty texts. Repeated rows are each scanned; other columns are
     ignored; an empty table gives no rows.
     """
-    share = min(1.0, train_paragraphs / max(1, docs.count()))
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.substring_index("text", "\n", 1).alias("line"))
-    unknown = drawn.where((F.length("line") < 400) & ~_has_stem(F.lower("line"))).limit(4 * train_paragraphs).collect()
+    lines = drawn(docs, train_paragraphs, "doc_id").select(F.substring_index("text", "\n", 1).alias("line"))
+    unknown = lines.where((F.length("line") < 400) & ~_has_stem(F.lower("line"))).limit(4 * train_paragraphs).collect()
     model = Classifier(sorted(r["line"] for r in unknown))
     rows = _once(_paragraphs(docs), ["doc_id", "paragraph"], words=_tokens(F.col("body")))
     table = F.expr(f"map({', '.join(f"'{g}', {_array(w)}" for g, w in zip(model.vocabulary, model.weights))})")

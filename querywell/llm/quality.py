@@ -17,9 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import drawn, durable
 
-#: Most labelled documents that the classifier is fitted on.
+#: About the most labelled documents that the classifier is fitted on.
 TRAIN_DOCS = 20_000
 NAMES = ("bias", "log_words", "word_length", "upper", "marks", "bars", "digits", "stutter", "variety", "line_words", "letters")
 _MARKS = np.zeros(256, dtype=bool)
@@ -91,7 +91,7 @@ def quality(docs: DataFrame, labels: DataFrame, site: Column | None = None, path
     rows = durable(docs.select("doc_id", site.cast("string").alias("site"), path.cast("string").alias("path"), measured("text").alias("x")))
     known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("y"))
     labelled = durable(rows.join(known, rows["doc_id"] == known["label_id"]).select("doc_id", "site", "path", "x", "y"))
-    sample = labelled.select("x", "y").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(train_docs).collect()
+    sample = drawn(labelled, train_docs, "doc_id").select("x", "y").collect()
     if not sample:
         half = [F.lit(0.5).alias(c) for c in ("p_doc", "p_site", "p_path", "score")]
         return rows.select("doc_id", *half, F.lit(True).alias("keep"))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, min_labels
+from .common import drawn, durable, min_labels
 from .components import connected_components
 
 COSINE, INTERVAL_ROWS, DIRECTIONS, SAMPLE = 0.93, 4096, 16, 4096
@@ -33,10 +33,10 @@ LEAF, SLACK = 256, 1e-6
 def principal_directions(classes: DataFrame, directions: int = DIRECTIONS, sample: int = SAMPLE) -> dict[int, np.ndarray]:
     """For each number of dimensions an orthonormal basis of the leading directions.
 
-    Fitted on at most ``sample`` vectors, those with the smallest hashes. The
+    Fitted on about ``sample`` vectors at most, drawn by hash. The
     basis only decides how much is skipped: any orthonormal one is right.
     """
-    rows = classes.select("embedding", "rep").orderBy(F.xxhash64("rep"), "rep").limit(sample).collect()
+    rows = drawn(classes, sample, "rep").select("embedding").collect()
     found = {}
     for dim in {len(r["embedding"]) for r in rows}:
         x = _unit(np.array([r["embedding"] for r in rows if len(r["embedding"]) == dim], dtype=np.float64))
