@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
-K1, B = 1.5, 0.75
+K1, B, MOST_TERMS = 1.5, 0.75, 200_000
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -31,21 +31,27 @@ def term_stats(docs: DataFrame) -> DataFrame:
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, keep: Column | None = None) -> DataFrame:
     """docs (doc_id, text, ...) and queries (qid, query) -> qid, doc_id, score, rank.
 
-    Only postings of the queries' terms are kept before the aggregation. A
-    filter drops documents but not their part in the statistics. Repeated terms
+    A filter drops documents but not their part in the statistics. Repeated terms
     of a query count repeatedly; only positive scores survive; ties by doc_id.
+
+    Token lists are dealt out by document once; counting terms, meeting the
+    queries' weights and adding up scores then stay in the document's partition,
+    so the many (query, document) pairs are never shuffled before the top k. The
+    weights are broadcast if the queries have at most ``MOST_TERMS`` terms in all;
+    beyond that Spark joins them by term.
     """
     wanted = queries.select("qid", F.explode(tokens("query")).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qf"))
     marked = docs.select("doc_id", "text", (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("keep"))
-    split = marked.select("doc_id", "keep", tokens(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
+    split = marked.select("doc_id", "keep", tokens(F.coalesce(F.col("text"), F.lit(""))).alias("t")).repartition("doc_id")
     corpus = split.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    each = split.select("doc_id", "keep", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    found = each.join(wanted.select("term").distinct(), "term", "left_semi")
-    tf = found.groupBy("term", "doc_id", "keep", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.where("keep").join(df, "term").join(wanted, "term").crossJoin(F.broadcast(corpus))
+    df = split.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    term = F.col("qf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    total = scored.groupBy("qid", "doc_id").agg(F.round(F.sum(term), 6).alias("score")).where("score > 0")
+    weights = wanted.join(df, "term").crossJoin(F.broadcast(corpus)).select("qid", "term", "qf", idf.alias("idf"), "avgdl")
+    if wanted.count() <= MOST_TERMS:
+        weights = F.broadcast(weights)
+    each = split.where("keep").select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    tf = each.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    term = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    total = tf.join(weights, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(term), 6).alias("score")).where("score > 0")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
     return total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
