@@ -98,3 +98,60 @@ def char_overlap(reference: Column, top: Column) -> Column:
     """Share of the reference's characters that the top chunk holds."""
     chars = F.split(reference, "")
     return F.when(F.length(reference) == 0, 0.0).otherwise(F.size(F.filter(chars, lambda c: top.contains(c))) / F.length(reference))
+
+
+def binary_ranked(expected: Column, retrieved: Column) -> tuple[Column, Column]:
+    """Reciprocal rank and nDCG of 0/1 relevance; the ideal has no more hits than were retrieved. Null without expected ids."""
+    known = F.size(F.array_distinct(expected))
+    gain = lambda r: F.lit(1.0) / F.log2(r + F.lit(1.0))
+    places = F.filter(F.transform(retrieved, lambda x, i: F.when(F.array_contains(expected, x), i + 1)), lambda r: r.isNotNull())
+    total = lambda ranks: F.aggregate(ranks, F.lit(0.0), lambda s, r: s + gain(r))
+    hits = F.least(known, F.size(retrieved))
+    ideal = total(F.sequence(F.lit(1), F.greatest(hits, F.lit(1))))
+    rr = F.coalesce(F.lit(1.0) / F.array_min(places), F.lit(0.0))
+    return F.when(known > 0, rr), F.when(known > 0, F.when(hits > 0, total(places) / ideal).otherwise(0.0))
+
+
+def run_records(runs: DataFrame) -> DataFrame:
+    """(qid, doc_ids, scores) -> qid, doc_id, score: the first place of each document; without a score its distance from the end."""
+    each = runs.select("qid", F.size("doc_ids").alias("n"), "scores", F.posexplode("doc_ids").alias("at", "doc_id"))
+    scored = each.withColumn("score", F.coalesce(F.get("scores", F.col("at")).cast("double"), (F.col("n") - F.col("at")).cast("double")))
+    first = scored.groupBy("qid", "doc_id").agg(F.min_by("score", "at").alias("score"))
+    return first.select("qid", "doc_id", "score")
+
+
+def facet_coverage(facets: Column, uncovered: Column) -> Column:
+    return F.when(facets > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (facets - F.coalesce(uncovered, F.lit(0))) / facets)))
+
+
+def not_comparable(checks: dict[str, Column]) -> Column:
+    """Names of the checks of a run that fail, in order; a check that can't be made fails."""
+    return F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks.items())), lambda x: x.isNotNull())
+
+
+def protocol_checks(split: str, depth: int) -> dict[str, Column]:
+    """The checks that make a run on a public dataset an official one, over the columns of its manifest."""
+    c = F.col
+    return {
+        "sampled_corpus": c("corpus_mode") == "full",
+        "query_limit_applied": c("query_limit").isNull(),
+        "doc_limit_applied": c("doc_limit").isNull(),
+        "corpus_deduplicated": ~c("deduplicated"),
+        "nonstandard_split": c("split") == split,
+        "incomplete_query_set": c("selected_query_count").eqNullSafe(c("source_query_count")),
+        "wrong_run_protocol": c("benchmark_protocol") == "public_quality",
+        "evaluation_depth_too_small": (c("evaluation_depth") >= depth) & (c("top_k") >= depth),
+        "retrieval_depth_too_small": c("leg_depth") >= depth,
+    }
+
+
+def baseline_gate(current: Column, base: Column, drop: float = GATE_DROP) -> Column:
+    """Whether a metric holds its baseline; one that is missing or not within 0 and 1 fails."""
+    return F.coalesce(current.between(0, 1) & ~F.isnan(current) & ~F.isnan(base) & (current >= base - drop), F.lit(False))
+
+
+def order_pairs(runs: DataFrame, by: str, order: str, metric: str, limit: float = 1e-9) -> DataFrame:
+    """AB against BA: both orders must be there and their means alike."""
+    mean = lambda o: F.avg(F.when(F.col(order) == o, F.col(metric)))
+    both = runs.groupBy(by).agg(mean("AB").alias("ab"), mean("BA").alias("ba"))
+    return both.select(by, F.round(F.col("ab") - F.col("ba"), 6).alias("delta"), F.coalesce(F.abs(F.col("ab") - F.col("ba")) <= limit, F.lit(False)).alias("independent"))

@@ -50,3 +50,10 @@ def circuit_states(calls: DataFrame, group: str, order: str, failed: Column, thr
     each = Window.partitionBy(group).orderBy(order)
     marked = calls.withColumn("__f", failed.cast("int")).withColumn("__run", F.sum(1 - F.col("__f")).over(each))
     return marked.where("__f = 1").withColumn("failures", F.row_number().over(Window.partitionBy(group, "__run").orderBy(order))).where(F.col("failures") == threshold).select(group, order, "failures")
+
+
+def load_report(log: DataFrame, by: str, at: str, latency: str) -> DataFrame:
+    """Requests, requests a second from the first to the last, mean latency and its nearest-rank percentiles."""
+    seconds = (F.unix_micros(F.max(at).cast("timestamp")) - F.unix_micros(F.min(at).cast("timestamp"))) / 1e6
+    n = F.count(F.lit(1))
+    return log.groupBy(by).agg(n.alias("n"), F.round(F.try_divide(n, seconds), 6).alias("per_second"), F.round(F.avg(latency), 6).alias("mean"), *(nearest_rank(latency, p / 100).alias(f"p{p}") for p in (50, 95, 99)))

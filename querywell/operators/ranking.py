@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.maths import authority_value, decay_factor, revision_digits, sigmoid, status_rank
+from ..functions.maths import authority_value, decay_factor, finite, probability, revision_digits, sigmoid, status_rank
 from ..functions.vectors import cosine, dot
 
 RRF_K, BLOCK = 60, 1024
@@ -193,3 +193,33 @@ def hard_negatives(docs: DataFrame, positives: DataFrame, n: int, seed: str = "s
     rows = other.crossJoin(F.broadcast(queries)).join(positives, ["qid", "doc_id"], "left_anti")
     order = Window.partitionBy("qid").orderBy("judged", F.sha2(F.concat_ws(":", F.lit(seed), F.col("qid").cast("string"), F.col("doc_id").cast("string")), 256))
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
+def token_score_scaled(rows: DataFrame, by: str, score: str, out: str = "scaled") -> DataFrame:
+    """Scores of a pool to 0..1 by its range; a pool of one score maps -1..1 to 0..1."""
+    pool = Window.partitionBy(by)
+    low, high = F.min(score).over(pool), F.max(score).over(pool)
+    flat = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(score) + 1) / 2))
+    return rows.withColumn(out, F.when(high - low > 1e-12, (F.col(score) - low) / (high - low)).otherwise(flat))
+
+
+def relevance(rerank_probability: Column, graded: Column, rerank_score: Column, reranked: Column) -> Column:
+    """The first valid of a probability, a grade and, if a reranker ran, its score through the logistic function."""
+    raw = finite(rerank_score)
+    return F.coalesce(probability(rerank_probability), probability(graded), F.when(reranked, sigmoid(raw)))
+
+
+def packed(rows: DataFrame, by: str, order: str, key: str, cost: str, budget: int) -> DataFrame:
+    """Each item of a group in order is kept if it still fits the budget; one that does not is skipped and later ones are tried.
+
+    The fold runs over (order, key, cost) of one group's candidates, which a search has already bounded.
+    """
+    items = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(key).alias("k"), F.col(cost).cast("long").alias("c")))).alias("items"))
+    kind = dict(rows.dtypes)[key]
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{kind}>").alias("kept"))
+
+    def step(state: Column, item: Column) -> Column:
+        fits = state["used"] + item["c"] <= budget
+        return F.when(fits, F.struct((state["used"] + item["c"]).alias("used"), F.concat(state["kept"], F.array(item["k"])).alias("kept"))).otherwise(state)
+
+    return items.select(by, F.aggregate("items", start, step).alias("s")).select(by, F.col("s.used").alias("used"), F.explode("s.kept").alias(key))

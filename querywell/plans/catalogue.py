@@ -36,7 +36,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from . import catalogue_more  # noqa: F401  registers its own
+    from . import catalogue_answers, catalogue_more  # noqa: F401  register their own
 
     return dict(QUERIES)
 
@@ -573,7 +573,10 @@ def input_verdict(t):
     return t("conversations").select("conv_id", "turn", guard.verdict(F.col("text")).alias("verdict"))
 
 
-@query(r"""with p as (select conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[；;。！？\n]'), lambda p: trim(regexp_replace(p, '^[\s\-*•·#]+', ''))), lambda p: length(p) >= 4) as c from conversations)
+CLAIMS = f"""list_filter(list_transform(regexp_split_to_array(text, '{text.CLAIM_ENDS}'), lambda p: regexp_replace(regexp_replace(regexp_replace(p, '{text.CLAIM_MARKS[0]}', '', 'g'), '{text.CLAIM_MARKS[1]}', ''), '{text.CLAIM_MARKS[2]}', '')), lambda p: length(p) >= 4)"""
+
+
+@query(f"""with p as (select conv_id, turn, {CLAIMS} as c from conversations)
 select conv_id, turn, len(c)::int as claims, md5(array_to_string(c, '|')) as digest from p""")
 def claim_split(t):
     return t("conversations").select("conv_id", "turn", text.claims(F.col("text")).alias("c")).select("conv_id", "turn", F.size("c").alias("claims"), F.md5(F.array_join("c", "|")).alias("digest"))

@@ -148,9 +148,9 @@ def generate_shunt(t):
     return t("events").select("event_id", F.when(best.isNull() | (best >= 0.3), "proceed").when((F.col("event_id") % 10) / 10 < 0.5, "chat").otherwise("refuse").alias("shunt"))
 
 
-@query("select conv_id, turn, regexp_matches(lower(text), '\\b(it|this|that|these|those|they|them)\\b') as refers from conversations")
+@query(f"select conv_id, turn, regexp_matches(text, '{text.COREFERENCE}') as refers from conversations")
 def coreference(t):
-    return t("conversations").select("conv_id", "turn", F.lower("text").rlike(r"\b(it|this|that|these|those|they|them)\b").alias("refers"))
+    return t("conversations").select("conv_id", "turn", text.has_coreference(F.col("text")).alias("refers"))
 
 
 @query(f"""with d as (select doc_id, list_distinct({TOKENS}) as t from documents), b as (select item_id as qid, list_distinct({TOKENS}) as q from benchmark)
