@@ -68,3 +68,30 @@ def summary_tree(chunks: DataFrame, group: int = 8, each: int = 600, most: int =
     roots = lead.groupBy("source").agg(joined(F.collect_list("x")).alias("summary")).join(first.groupBy("source").agg(F.count(F.lit(1)).alias("children")).where("children > 1"), "source")
     roots = roots.select("source", F.lit(0).cast("long").alias("node"), "summary", "children", F.lit(2).alias("level"))
     return first.unionByName(roots)
+
+
+def merged_by_title(lines: DataFrame) -> DataFrame:
+    """(doc_id, place, line) of Markdown -> doc_id, place, body: what stands below each heading after the path of its titles.
+
+    Headings with nothing below them give no row; lines before the first heading stay single.
+    """
+    order = Window.partitionBy("doc_id").orderBy("place")
+    heading = F.col("line").rlike(r"^#{1,6}\s+\S")
+    rows = heading_paths(lines).withColumn("section", F.sum(F.when(heading, 1).otherwise(0)).over(order)).where(~heading & (F.trim("line") != ""))
+    alone = rows.where("section = 0").select("doc_id", "place", F.trim("line").alias("body"))
+    below = rows.where("section > 0").groupBy("doc_id", "section", "path").agg(F.min("place").alias("place"), F.array_sort(F.collect_list(F.struct("place", F.trim("line").alias("line")))).alias("x"))
+    merged = below.select("doc_id", "place", F.concat("path", F.lit("\n\n"), F.array_join(F.transform("x", lambda x: x["line"]), "\n")).alias("body"))
+    return alone.unionByName(merged)
+
+
+def pooled(tokens: DataFrame, spans: DataFrame) -> DataFrame:
+    """tokens (doc, begin, end, vec) and spans (doc, span, begin, end) -> doc, span, vec: the mean of the vectors that overlap each span.
+
+    Special tokens (0, 0) do not count; a span without any token has the mean of all of its document.
+    """
+    real = tokens.where((F.col("begin") != 0) | (F.col("end") != 0)).select("doc", F.col("begin").alias("b"), F.col("end").alias("e"), "vec")
+    found = spans.join(real, "doc").withColumn("over", (F.col("b") < F.col("end")) & (F.col("e") > F.col("begin")))
+    each = found.select("doc", "span", "over", F.posexplode("vec").alias("at", "x")).groupBy("doc", "span", "at")
+    means = each.agg(F.avg(F.when(F.col("over"), F.col("x").cast("double"))).alias("near"), F.avg(F.col("x").cast("double")).alias("every"))
+    one = F.struct("at", F.coalesce("near", "every").alias("x"))
+    return means.groupBy("doc", "span").agg(F.transform(F.array_sort(F.collect_list(one)), lambda v: v["x"]).alias("vec"))

@@ -41,3 +41,9 @@ def missing(indexed: DataFrame, stored: DataFrame, key: str = "source") -> DataF
 def hash_sample(rows: DataFrame, key: str, n: int, seed: str = "seed") -> DataFrame:
     """The n rows with the smallest sha256 of seed:key."""
     return rows.withColumn("__h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)).orderBy("__h").limit(n).drop("__h")
+
+
+def recovered(jobs: DataFrame, status: str, since: str, now: Column, seconds: int = 120) -> DataFrame:
+    """Jobs that have been processing for longer than the limit are failed."""
+    stale = (F.col(status) == "processing") & (F.col(since) < now - F.make_dt_interval(secs=F.lit(seconds)))
+    return jobs.withColumn(status, F.when(stale, "failed").otherwise(F.col(status)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
 from .ranking import dense_topk
 from .state import cut
 
@@ -80,3 +81,9 @@ def low_high(low: DataFrame, high: DataFrame, k: int = 60) -> DataFrame:
     parts = low.select("qid", "key", (F.lit(1.0) / (k + F.col("rank"))).alias("part")).unionByName(high.select("qid", "key", (F.lit(0.8) / (k + F.col("rank"))).alias("part")))
     total = parts.groupBy("qid", "key").agg(F.round(F.sum("part"), 9).alias("score"))
     return total.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "key")))
+
+
+def keyword_seeds(entities: DataFrame, queries: DataFrame) -> DataFrame:
+    """entities (id, name) and queries (qid, query) -> qid, id: entities whose name is a token of the query."""
+    asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("name")).where(F.length("name") > 1)
+    return asked.join(entities.select("id", F.lower("name").alias("name")), "name").select("qid", "id")

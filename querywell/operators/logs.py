@@ -57,3 +57,15 @@ def load_report(log: DataFrame, by: str, at: str, latency: str) -> DataFrame:
     seconds = (F.unix_micros(F.max(at).cast("timestamp")) - F.unix_micros(F.min(at).cast("timestamp"))) / 1e6
     n = F.count(F.lit(1))
     return log.groupBy(by).agg(n.alias("n"), F.round(F.try_divide(n, seconds), 6).alias("per_second"), F.round(F.avg(latency), 6).alias("mean"), *(nearest_rank(latency, p / 100).alias(f"p{p}") for p in (50, 95, 99)))
+
+
+def joined_feedback(feedback: DataFrame, inferences: DataFrame) -> DataFrame:
+    """feedback (id, trace_id, message_id) and inferences (inference_id, trace_id, message_id) -> id, inference_id: by trace, else by message; null if neither is known."""
+
+    def keyed(rows: DataFrame, *keep: str) -> DataFrame:
+        keys = F.array(*(F.struct(F.lit(n).alias("by"), F.col(c).cast("string").alias("key")) for n, c in enumerate(("trace_id", "message_id"))))
+        return rows.select(*keep, F.inline(keys)).where("key is not null")
+
+    found = keyed(feedback, "id").join(keyed(inferences, "inference_id"), ["by", "key"])
+    best = found.groupBy("id").agg(F.min(F.struct("by", "inference_id"))["inference_id"].alias("inference_id"))
+    return feedback.select("id").join(best, "id", "left")

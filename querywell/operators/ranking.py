@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import authority_value, decay_factor, finite, probability, revision_digits, sigmoid, status_rank
+from ..functions.text import terms
 from ..functions.vectors import cosine, dot
 
 RRF_K, BLOCK = 60, 1024
@@ -209,7 +210,7 @@ def relevance(rerank_probability: Column, graded: Column, rerank_score: Column,
     return F.coalesce(probability(rerank_probability), probability(graded), F.when(reranked, sigmoid(raw)))
 
 
-def packed(rows: DataFrame, by: str, order: str, key: str, cost: str, budget: int) -> DataFrame:
+def packed_skipping(rows: DataFrame, by: str, order: str, key: str, cost: str, budget: int) -> DataFrame:
     """Each item of a group in order is kept if it still fits the budget; one that does not is skipped and later ones are tried.
 
     The fold runs over (order, key, cost) of one group's candidates, which a search has already bounded.
@@ -223,3 +224,30 @@ def packed(rows: DataFrame, by: str, order: str, key: str, cost: str, budget: in
         return F.when(fits, F.struct((state["used"] + item["c"]).alias("used"), F.concat(state["kept"], F.array(item["k"])).alias("kept"))).otherwise(state)
 
     return items.select(by, F.aggregate("items", start, step).alias("s")).select(by, F.col("s.used").alias("used"), F.explode("s.kept").alias(key))
+
+
+def summary_scored(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """nodes (id, level, text) and queries (qid, query) -> qid, id, score, rank.
+
+    Score: distinct shared terms, and one more if the text holds the whole query, over the query's terms and one.
+    Only a node with all of the terms can hold the query, so texts are compared for those alone.
+    """
+    asked = queries.select("qid", F.lower("query").alias("query"), terms(F.col("query")).alias("q")).select("qid", "query", F.size("q").alias("n"), F.explode("q").alias("term"))
+    held = nodes.select("id", "level", F.explode(terms(F.col("text"))).alias("term"))
+    hits = held.join(asked, "term").groupBy("qid", "id", "level", "n").agg(F.count(F.lit(1)).alias("hits"))
+    whole = hits.where("hits = n").select("qid", "id").join(nodes.select("id", F.lower("text").alias("body")), "id").join(queries.select("qid", F.lower("query").alias("query")), "qid")
+    whole = whole.where(F.contains("body", F.col("query"))).select("qid", "id", F.lit(1).alias("whole"))
+    scored = hits.join(whole, ["qid", "id"], "left").withColumn("score", F.round((F.col("hits") + F.coalesce("whole", F.lit(0))) / (F.col("n") + 1), 6))
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("level"), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "id", "score", "rank")
+
+
+def uncovered(facets: Column, matched: Column) -> Column:
+    """Facets that no hit's list of matched ones names."""
+    return F.array_except(facets, F.flatten(matched))
+
+
+def without_retrieved(memories: DataFrame, retrieved: DataFrame, text: str, prefix: int = 80) -> DataFrame:
+    """Memories whose first characters no retrieved text begins with."""
+    seen = retrieved.select(F.substring(text, 1, prefix).alias("__begin")).distinct()
+    return memories.join(seen, F.substring(text, 1, prefix) == F.col("__begin"), "left_anti")

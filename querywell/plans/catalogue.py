@@ -36,7 +36,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from . import catalogue_answers, catalogue_more  # noqa: F401  register their own
+    from . import catalogue_answers, catalogue_context, catalogue_more  # noqa: F401  register their own
 
     return dict(QUERIES)
 
@@ -251,7 +251,7 @@ def select_evidence(t):
 
 
 @query(f"""with lex as ({bm25_sql('')}), k as (select l.qid, l.doc_id, l.score, (floor(length(d.text) / 4) + 1)::int as n from lex l join documents d using (doc_id))
-select qid, doc_id, sum(n + 2) over w as used from k window w as (partition by qid order by score desc, doc_id rows between unbounded preceding and current row) qualify used <= 2000 or row_number() over (partition by qid order by score desc, doc_id) = 1""")
+select qid, doc_id, (sum(n + 2) over w)::bigint as used from k window w as (partition by qid order by score desc, doc_id rows between unbounded preceding and current row) qualify used <= 2000 or row_number() over (partition by qid order by score desc, doc_id) = 1""")
 def token_pack_break(t):
     hits = bm25_topk(t).join(t("documents").select("doc_id", text.token_estimate(F.col("text")).alias("n")), "doc_id")
     return ranking.packed(hits, "qid", "n", "score", "doc_id", 2000).select("qid", "doc_id", "used")

@@ -161,7 +161,7 @@ select f.conv_id, m.i, m.turn, f.used + case when f.used + m.cost <= 150 then m.
 t as (select conv_id, max(used) as used from f group by conv_id) select f.conv_id, f.turn, t.used from f join t using (conv_id) where kept""")
 def token_pack_skip(t):
     rows = t("conversations").withColumn("cost", text.token_estimate(F.col("text")))
-    return ranking.packed(rows.where(F.length("text") > 0), "conv_id", "turn", "turn", "cost", 150)
+    return ranking.packed_skipping(rows.where(F.length("text") > 0), "conv_id", "turn", "turn", "cost", 150)
 
 
 @query("""select event_type, count(*) as n, round(count(*) / nullif(date_diff('microsecond', min(ts), max(ts)) / 1e6, 0), 6) as per_second, round(avg(value), 6) as mean, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, quantile_disc(value, 0.99) as p99 from events group by event_type""")

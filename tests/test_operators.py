@@ -215,7 +215,7 @@ def test_guards_of_answers(spark):
 
 def test_packing_skips_what_does_not_fit(spark):
     rows = spark.createDataFrame([(1, n, f"k{n}", c) for n, c in enumerate((50, 40, 70, 10))], "g int, o int, k string, c int")
-    assert [r["k"] for r in ranking.packed(rows, "g", "o", "k", "c", 100).collect()] == ["k0", "k1", "k3"]
+    assert [r["k"] for r in ranking.packed_skipping(rows, "g", "o", "k", "c", 100).collect()] == ["k0", "k1", "k3"]
 
 
 def test_run_records_and_binary_metrics(spark):
@@ -236,3 +236,27 @@ def test_runs_that_are_not_official(spark):
 def test_gates_fail_closed(spark):
     gate = lambda now, base: value(spark, evals.baseline_gate(F.lit(now).cast("double"), F.lit(base).cast("double")))
     assert (gate(0.79, 0.8), gate(0.7, 0.8), gate(None, 0.8), gate(1.5, 0.8), gate(float("nan"), 0.8), gate(0.8, None)) == (True, False, False, False, False, False)
+
+
+def test_context_budget_keeps_the_first_part(spark):
+    assert value(spark, text.within_budget(F.lit("short"), 10)) == "short"
+    assert value(spark, text.within_budget(F.lit("a" * 80 + "\n\n" + "b" * 80 + "\n\nc"), 30, "!")) == "a" * 80 + "\n!"
+    assert value(spark, text.within_budget(F.lit(""), 1)) == ""
+
+
+def test_titles_hold_what_follows(spark):
+    body = ["lead", "# A", "one", "## B", "", "two", "three", "# C", "# D", "four"]
+    rows = spark.createDataFrame([(1, n, x) for n, x in enumerate(body)], "doc_id int, place int, line string")
+    assert [r["body"] for r in chunking.merged_by_title(rows).orderBy("place").collect()] == ["lead", "A\n\none", "A -> B\n\ntwo\nthree", "D\n\nfour"]
+
+
+def test_pooled_spans(spark):
+    tokens = spark.createDataFrame([(1, 0, 0, [9.0, 9.0]), (1, 0, 4, [1.0, 0.0]), (1, 4, 8, [0.0, 1.0])], "doc int, begin int, end int, vec array<double>")
+    spans = spark.createDataFrame([(1, 0, 0, 4), (1, 1, 2, 6), (1, 2, 50, 60)], "doc int, span int, begin int, end int")
+    assert {r["span"]: r["vec"] for r in chunking.pooled(tokens, spans).collect()} == {0: [1.0, 0.0], 1: [0.5, 0.5], 2: [0.5, 0.5]}
+
+
+def test_feedback_finds_its_request_by_trace_then_message(spark):
+    feedback = spark.createDataFrame([(1, "t1", "m2"), (2, None, "m2"), (3, "no", None)], "id int, trace_id string, message_id string")
+    log = spark.createDataFrame([(10, "t1", "m1"), (20, "t2", "m2")], "inference_id int, trace_id string, message_id string")
+    assert {r["id"]: r["inference_id"] for r in logs.joined_feedback(feedback, log).collect()} == {1: 10, 2: 20, 3: None}
