@@ -65,10 +65,11 @@ def query_variants(t):
     return asked.select("conv_id", "turn", F.size("v").alias("n"), F.md5(F.array_join("v", "|")).alias("digest"))
 
 
-@query("select event_id, [value, event_id::double] as scores from events")
+@query("select event_id, value as first, event_id::double as second, 2::int as n from events")
 def relevance_scores(t):
     shown = F.concat(F.lit("[1] 相关度="), F.col("value").cast("string"), F.lit(" x\n[2] 相关度="), F.col("event_id").cast("string"), F.lit(" 相关度=. y"))
-    return t("events").select("event_id", answers.relevance_scores(shown).alias("scores"))
+    found = t("events").select("event_id", answers.relevance_scores(shown).alias("s"))
+    return found.select("event_id", F.get("s", F.lit(0)).alias("first"), F.get("s", F.lit(1)).alias("second"), F.size("s").alias("n"))
 
 
 @query("select p_partkey, left(coalesce(nullif(trim(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'dataset'), 48) || '-' || left(sha256(p_name), 10) as slug, left(sha1(p_brand || '|' || p_size || '|sparse=' || (p_size > 20)::int), 12) as model from part")

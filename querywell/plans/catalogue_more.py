@@ -175,9 +175,9 @@ def corpus_digest(t):
     return rows.groupBy("source").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["body"]), "|"), 256).alias("digest"))
 
 
-@query("select p_partkey, round(p_size * 1.8::double + 32, 2) as fahrenheit, round(p_retailprice / 25.4, 4) as inches, round(p_retailprice * 0.145038, 4) as psi from part")
+@query("select p_partkey, round(p_size * 1.8::double + 32, 2) as fahrenheit, round(p_retailprice / 25.4, 4) as inches, round(p_retailprice::decimal(12, 2) * 0.145038, 4)::double as psi from part")
 def unit_conversion(t):
-    return t("part").select("p_partkey", F.round(F.col("p_size") * 1.8 + 32, 2).alias("fahrenheit"), F.round(F.col("p_retailprice") / 25.4, 4).alias("inches"), F.round(F.col("p_retailprice") * 0.145038, 4).alias("psi"))
+    return t("part").select("p_partkey", F.round(F.col("p_size") * 1.8 + 32, 2).alias("fahrenheit"), F.round(F.col("p_retailprice") / 25.4, 4).alias("inches"), F.expr("cast(round(cast(p_retailprice as decimal(12, 2)) * 0.145038, 4) as double)").alias("psi"))
 
 
 @query("select conv_id, turn, md5('<<' || chr(10) || replace(replace(text, '<<', '\\<<'), '>>', '\\>>') || chr(10) || '>>') as digest from conversations")
