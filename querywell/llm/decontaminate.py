@@ -1,21 +1,19 @@
-"""Benchmark decontamination by CGK embedding and bit-sampling LSH.
+"""Benchmark decontamination by exact word filters and exact word edit distance.
 
 An item matches a document if some window of the document with as many words as
 the item lies within a word edit distance of ``(1 - similarity) * words``. Words
 are lower-case runs between white space and ASCII punctuation.
 
-Three steps, all in the task that holds the document, without a shuffle:
+Three steps, all in the task that holds the document, without a shuffle; none
+loses a match, whatever the item's length:
 
 1. Item-sized windows that can match at all: one within distance d of an item
    holds all but d of any words chosen from it. Chosen are its words that few
    items hold, and more than d in any case; places of these words, sorted by item,
-   tell which windows hold enough of them. None that matches is lost.
-2. The CGK random walk embeds window and items: at each step it writes the
-   current word and moves on or stays by a random bit of (step, word), so an
-   edit distance becomes a Hamming distance. Each of several independent walks
-   samples sets of positions; a window and an item are candidates if they agree
-   on all positions of some set. ``bands`` and ``samples`` set the recall.
-3. Candidates are verified by the exact edit distance.
+   tell which windows hold enough of them.
+2. Of these, the windows in which all but d words are words of the item.
+3. The exact edit distance of what is left, many windows at a time. Window and
+   item are equally long, so only cells within d / 2 of the diagonal count.
 
 The items are the stated query set: they go to the tasks in blocks of at most
 ``block_chars`` characters, one pass over the documents for each block.
@@ -36,6 +34,8 @@ from pyspark.sql import functions as F
 SIMILARITY, MIN_WORDS = 0.8, 5
 WALKS, BANDS, SAMPLES = 3, 16, 3
 BLOCK_CHARS, PIECE_WORDS, RARE = 32_000_000, 1 << 20, 8
+#: Cells of a window block that is held at a time.
+CELLS = 1 << 22
 _PLAIN = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 
 
@@ -57,8 +57,34 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return min(int(row[-1]), most + 1)
 
 
+def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Word edit distances of the columns of a and b, all of one length; more than most where they are larger."""
+    n, half = len(a), most // 2
+    steps = np.arange(2 * half + 1, dtype=np.int32)[:, None]
+    b = np.pad(b, ((half, half), (0, 0)), constant_values=-1)
+    out, left = np.full(a.shape[1], most + 1, dtype=np.int32), np.arange(a.shape[1])
+    # Row o of the band is the cell half - o beside the diagonal.
+    row = np.repeat(np.where(steps < half, most + 1, steps - half).astype(np.int32), a.shape[1], axis=1)
+    for i in range(n):
+        new = row + (b[i : i + 2 * half + 1] != a[i])
+        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
+        row = np.minimum.accumulate(new - steps, axis=0) + steps if half else new
+        if i % 8 == 7:
+            near = row.min(axis=0) <= most
+            if 2 * near.sum() < len(near):
+                a, b, row, left = a[:, near], b[:, near], row[:, near], left[near]
+                if not len(left):
+                    return out
+    out[left] = np.minimum(row[half], most + 1)
+    return out
+
+
 class Items:
-    """A block of benchmark items, ready to be searched for."""
+    """A block of benchmark items, ready to be searched for.
+
+    ``walks``, ``bands`` and ``samples`` once set the recall of a sampling step;
+    all windows that can match are verified now, so they change nothing.
+    """
 
     def __init__(self, items: list[tuple[int, str]], similarity: float, min_words: int, walks: int, bands: int, samples: int):
         split = [(i, w) for i, w in ((i, words_of(t)) for i, t in items) if len(w) >= min_words]
@@ -83,39 +109,9 @@ class Items:
         self.need = np.array(need, dtype=np.int64)
         self.first = np.cumsum([0, *map(len, holders)])
         self.holders = np.array([k for group in holders for k in group], dtype=np.int64)
-        self.by_size: dict[int, list[int]] = {}
-        for k, w in enumerate(self.words):
-            self.by_size.setdefault(len(w), []).append(k)
-        random = np.random.default_rng(7)
-        steps = 2 * max(self.by_size, default=0)
-        # A word outside the vocabulary (0) stays or moves like any other.
-        self.moves = random.integers(0, 2, (walks, steps, len(self.vocabulary) + 1), dtype=np.int8)
-        self.tables = {}
-        for n, group in self.by_size.items():
-            picks = np.sort(random.integers(0, 2 * n, (walks, bands, samples)), axis=2)
-            stack = np.stack([self.words[k] for k in group])
-            keys = self.keys(n, picks, stack.ravel(), np.arange(len(group)) * n)
-            self.tables[n] = picks, [(np.sort(column), np.argsort(column)) for column in keys.T]
-
-    def keys(self, n: int, picks: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """A key for each start and sample set, of the walk over the n words from there."""
-        out = []
-        for moves, sets in zip(self.moves, picks):
-            at, written = np.zeros(len(starts), dtype=np.int64), np.empty((2 * n, len(starts)), dtype=np.int64)
-            for step in range(2 * n):
-                inside = at < n
-                word = np.where(inside, ids[np.minimum(starts + at, len(ids) - 1)], -1)  # beyond the window: padding
-                written[step] = word
-                at += np.where(inside, moves[step][word], 0)
-            for chosen in sets:
-                key = np.zeros(len(starts), dtype=np.int64)
-                for step in chosen:
-                    key = key * 1_000_003 + written[step] + 2
-                out.append(key)
-        return np.stack(out, axis=1)
-
-    def windows(self, ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> dict[int, np.ndarray]:
-        """Of each item size, where windows start that can match; begin and end: of the text around each word."""
+
+    def windows(self, ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each item, ranges low to high of where windows start that can match; begin and end: of the text around each word."""
         first, n = self.first[ids], self.first[ids + 1] - self.first[ids]
         place = np.repeat(np.arange(len(ids)), n)
         item = self.holders[np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
@@ -125,35 +121,57 @@ class Items:
         at = np.flatnonzero(last < len(item))
         last = last[at]
         at, last = (x[(item[at] == item[last]) & (place[last] - place[at] < self.size[item[at]]) & (begin[place[at]] == begin[place[last]])] for x in (at, last))
-        size = self.size[item[at]]
+        item, size = item[at], self.size[item[at]]
         low, high = np.maximum(place[last] - size + 1, begin[place[at]]), np.minimum(place[at], end[place[at]] - size)
-        out = {}
-        for s in np.unique(size[high >= low]):
-            own = (size == s) & (high >= low)
-            steps = high[own] - low[own] + 1
-            out[int(s)] = np.unique(np.repeat(low[own] - np.cumsum(steps) + steps, steps) + np.arange(steps.sum()))
-        return out
+        item, low, high = (x[high >= low] for x in (item, low, high))
+        # Both bounds rise within an item, so a range begins after the one before it.
+        low[1:] = np.where(item[1:] == item[:-1], np.maximum(low[1:], high[:-1] + 1), low[1:])
+        item, low, high = (x[high >= low] for x in (item, low, high))
+        edges = np.flatnonzero(np.r_[True, item[1:] != item[:-1], True]) if len(item) else []
+        for a, b in zip(edges, edges[1:]):
+            yield int(item[a]), low[a:b], high[a:b]
+
+    def near(self, k: int, ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[np.ndarray]:
+        """Starts in the ranges whose window has all but d words from the item's."""
+        n, sums = len(self.words[k]), None
+        member = np.zeros(len(self.vocabulary) + 1, dtype=bool)
+        member[self.words[k]] = True
+        if (high - low + 1).sum() * n > len(ids):
+            sums = np.r_[0, np.cumsum(member[ids], dtype=np.int32)]
+        ends = np.cumsum(high - low + 1)
+        width = max(1, CELLS // n)
+        for at in range(0, int(ends[-1]), width):
+            numbers = np.arange(at, min(at + width, int(ends[-1])))
+            own = np.searchsorted(ends, numbers, side="right")
+            starts = high[own] - (ends[own] - 1 - numbers)
+            held = sums[starts + n] - sums[starts] if sums is not None else member[ids[starts + np.arange(n)[:, None]]].sum(axis=0)
+            if len(found := starts[held >= n - self.most[k]]):
+                yield found
 
     def search(self, ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
         """(text's begin, item) -> (distance, start) of the best window, the first among equals."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for n, starts in self.windows(ids, begin, end).items():
-            group = self.by_size[n]
-            picks, tables = self.tables[n]
-            for at in range(0, len(starts), 8192):
-                block = starts[at : at + 8192]
-                found = set()
-                for column, (keys, order) in zip(self.keys(n, picks, ids, block).T, tables):
-                    low, high = np.searchsorted(keys, column, "left"), np.searchsorted(keys, column, "right")
-                    for w in np.flatnonzero(high > low):
-                        found.update((int(w), int(order[j])) for j in range(low[w], high[w]))
-                for w, j in sorted(found):
-                    k, start = group[j], int(block[w])
-                    if best.get((int(begin[start]), k), (1, 0))[0] == 0:
-                        continue
-                    distance = edit_distance(self.words[k], ids[start : start + n], int(self.most[k]))
-                    if distance <= self.most[k] and (distance, start) < best.get((int(begin[start]), k), (1 << 30, 0)):
-                        best[int(begin[start]), k] = distance, start
+        waiting: dict[int, list[tuple[int, np.ndarray]]] = {}  # by size: windows of several items are measured at once
+
+        def measure(n: int) -> None:
+            group = waiting.pop(n)
+            owner = np.repeat([k for k, _ in group], [len(s) for _, s in group])
+            starts, most = np.concatenate([s for _, s in group]), int(self.most[group[0][0]])
+            words = np.stack([self.words[k] for k, _ in group], axis=1)
+            which = np.repeat(np.arange(len(group)), [len(s) for _, s in group])
+            distances = edit_distances(words[:, which], ids[starts + np.arange(n)[:, None]], most)
+            for w in np.flatnonzero(distances <= most):
+                key, value = (int(begin[starts[w]]), int(owner[w])), (int(distances[w]), int(starts[w]))
+                best[key] = min(value, best.get(key, value))
+
+        for k, low, high in self.windows(ids, begin, end):
+            n = len(self.words[k])
+            for starts in self.near(k, ids, low, high):
+                waiting.setdefault(n, []).append((k, starts))
+                if n * sum(len(s) for _, s in waiting[n]) >= CELLS:
+                    measure(n)
+        for n in list(waiting):
+            measure(n)
         return best
 
     def matches(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
