@@ -2,7 +2,9 @@
 
 An item matches a document if some window of the document with as many words as
 the item lies within a word edit distance of ``(1 - similarity) * words``. Words
-are lower-case runs between white space and ASCII punctuation.
+are lower-case runs between white space and punctuation (ASCII, CJK and full-width);
+in scripts without spaces each character is a word. Items of fewer than
+``min_words`` words match as exact word sequences only.
 
 Three steps, all in the task that holds the document, without a shuffle; none
 loses a match, whatever the item's length:
@@ -21,6 +23,7 @@ The items are the stated query set: they go to the tasks in blocks of at most
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -37,10 +40,17 @@ BLOCK_CHARS, PIECE_WORDS, RARE = 32_000_000, 1 << 20, 8
 #: Cells of a window block that is held at a time.
 CELLS = 1 << 22
 _PLAIN = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
+#: Punctuation of East Asian texts, and characters of scripts that set no spaces: Thai to Khmer, Tai, kana, Han.
+_WIDE = re.compile("[\u3000-\u3004\u3008-\u3020\u3030\u303d-\u303f\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+_UNSPACED = re.compile("([\u0e00-\u0eff\u0f40-\u0fbc\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u3005-\u3007\u3021-\u302f\u3031-\u303c\u3040-\u30fa\u30fc-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua980-\ua9df\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return text.lower().encode().translate(_PLAIN).split() if text else []
+    if not text:
+        return []
+    if not text.isascii():
+        text = _UNSPACED.sub(r" \1 ", _WIDE.sub(" ", text))
+    return text.lower().encode().translate(_PLAIN).split()
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -87,12 +97,12 @@ class Items:
     """
 
     def __init__(self, items: list[tuple[int, str]], similarity: float, min_words: int, walks: int, bands: int, samples: int):
-        split = [(i, w) for i, w in ((i, words_of(t)) for i, t in items) if len(w) >= min_words]
+        split = [(i, w) for i, w in ((i, words_of(t)) for i, t in items) if w]
         self.ids = [i for i, _ in split]
         seen = Counter(w for _, words in split for w in set(words))
         self.vocabulary = {w: k for k, w in enumerate(sorted(seen), 1)}
         self.words = [np.array([self.vocabulary[w] for w in words], dtype=np.int32) for _, words in split]
-        self.most = np.array([int((1 - similarity) * len(w) + 1e-9) for w in self.words], dtype=np.int64)
+        self.most = np.array([int((1 - similarity) * len(w) + 1e-9) if len(w) >= min_words else 0 for w in self.words], dtype=np.int64)
         self.size = np.array([len(w) for w in self.words], dtype=np.int64)
         held = np.array([0, *(seen[w] for w in self.vocabulary)])
         holders: list[list[int]] = [[] for _ in held]  # of each word: the items that chose it
@@ -205,9 +215,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     Returns doc_id, item_id, start (word), n_words, distance: one row per row of
     docs and matching item, with its best window. Null or empty texts match
-    nothing; items of fewer than ``min_words`` words are no passages and match
-    nothing; repeated items count once, repeated documents each. Other columns
-    are ignored; an empty table on either side gives no rows.
+    nothing; items of fewer than ``min_words`` words match exactly only; repeated
+    items count once, repeated documents each. Other columns are ignored; an
+    empty table on either side gives no rows.
     """
     texts, parts = docs.select("doc_id", "text").where(F.col("text").isNotNull()), []
     for block in blocks_of(benchmark, block_chars):

@@ -41,3 +41,14 @@ def test_edit_distances_of_many_equal_those_of_one():
         a, b = rng.integers(0, 4, (2, n, 7))
         b[:, :4] = np.where(rng.random((n, 4)) < 0.2, b[:, :4], a[:, :4])
         assert decontaminate.edit_distances(a, b, most).tolist() == [decontaminate.edit_distance(x, y, most) for x, y in zip(a.T, b.T)]
+
+
+def test_short_items_and_scripts_without_spaces():
+    items = [(1, "four words of text"), (2, "今天天气很好我们一起去公园散步吧"), (3, "ประเทศไทยมีอากาศร้อนมาก"), (4, "東京"), (5, "!!!"), (6, "吃饭，睡觉。")]
+    block = decontaminate.Items(items, 0.8, 5, 3, 16, 3)
+    texts = ["He wrote: four words, of TEXT!", "four words and of text", "他说：今天天气很好，我们一起去公园跑步吧。真的", "เพราะประเทศไทยมีอากาศร้อนมากจริง", "私は東京に住む", "東の京", "吃饭睡觉", "今天很好", ""]
+    assert {(at, item, distance) for at, item, _, _, distance in block.matches(texts)} == {(0, 1, 0), (2, 2, 1), (3, 3, 0), (4, 4, 0), (6, 6, 0)}
+
+
+def test_items_of_mixed_punctuation_keep_their_words():
+    assert decontaminate.words_of("Don't stop—now 한국어 문장 ｈｉ！") == [b"don", b"t", "stop—now".encode(), "한국어".encode(), "문장".encode(), "ｈｉ".encode()]
