@@ -110,14 +110,32 @@ def covering_links(prints: DataFrame, radius: int = RADIUS, bucket_rows: int = B
     return rows.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInPandas(lambda b: _links(b, radius), "src long, dst long")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, text) -> (doc_id, fp)."""
-
+def _print_of(shingle: int):
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
 
-    return docs.select("doc_id", fp("text").alias("fp"))
+    return fp
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, text) -> (doc_id, fp)."""
+    return docs.select("doc_id", _print_of(shingle)("text").alias("fp"))
+
+
+def _rows(docs: DataFrame, radius: int, shingle: int, bucket_rows: int) -> DataFrame:
+    """(doc_id, text) -> doc_id, fp, component_id, kept_fp; one row per row.
+
+    A component keeps its row of (component_id, kept_fp): of the smallest id, nulls
+    last, and of that id's smallest fingerprint.
+    """
+    base = durable(fingerprints(docs, shingle))
+    distinct = durable(base.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    joined = connected_components(covering_links(distinct, radius, bucket_rows))
+    rooted = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.min(F.struct(F.col("first").isNull(), "first", "fp"))["fp"].alias("kept_fp"))
+    named = rooted.join(least, "root").select("fp", "component_id", "kept_fp")
+    return base.join(named, "fp").select("doc_id", "fp", "component_id", "kept_fp")
 
 
 def simhash_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -128,23 +146,31 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE
     each keep a row; null ids are never a component's id unless it has no other.
     Other columns are ignored; an empty table gives no rows.
     """
-    base = durable(fingerprints(docs, shingle))
-    distinct = durable(base.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    joined = connected_components(covering_links(distinct, radius, bucket_rows))
-    rooted = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return base.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = _rows(docs, radius, shingle, bucket_rows)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, **settings) -> DataFrame:
-    """The documents without all but the smallest doc_id of each SimHash group.
+def drop_near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The documents without all but one row of each SimHash group, that of the smallest doc_id.
 
-    All columns stay as they are. Rows that repeat a kept doc_id are reduced to
-    one. Rows without doc_id stay only if their group has no other id.
+    All columns stay as they are. Of a group without ids one row stays. An id
+    that stands on texts of different groups is judged in each group by itself;
+    of rows with the same id and fingerprint one stays.
     """
-    groups = durable(simhash_groups(docs, **settings).select("doc_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept")))
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
-    repeated = groups.where("kept").groupBy("doc_id").count().where("count > 1")
-    return kept if is_empty(repeated) else kept.dropDuplicates(["doc_id"])
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("kept_fp"))
+    groups = durable(_rows(docs, radius, shingle, bucket_rows).select("doc_id", "fp", kept.alias("kept")))
+    gone = groups.where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone_id"))
+    repeated = durable(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("repeated_id")))
+    # An id of one row says which row it is; rows of null and repeated ids are told apart by their fingerprint as well.
+    no_repeats, no_nulls = is_empty(repeated), is_empty(groups.where("doc_id is null"))
+    if no_repeats and no_nulls:
+        return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    known = docs.where(F.col("doc_id").isNotNull())
+    single, several = known.join(gone, known["doc_id"] == gone["gone_id"], "left_anti"), docs.where(F.col("doc_id").isNull())
+    if not no_repeats:
+        single = single.join(repeated, single["doc_id"] == repeated["repeated_id"], "left_anti")
+        several = several.unionByName(known.join(repeated, known["doc_id"] == repeated["repeated_id"], "left_semi"))
+    first = groups.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp")).distinct()
+    several = several.withColumn("__own_fp", _print_of(shingle)("text"))
+    several = several.join(first, several["doc_id"].eqNullSafe(first["kept_id"]) & (several["__own_fp"] == first["kept_fp"]), "left_semi")
+    return single.unionByName(several.dropDuplicates(["doc_id", "__own_fp"]).drop("__own_fp"))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from querywell.llm import decontaminate
+from querywell.llm import decontaminate, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -52,3 +52,17 @@ def test_short_items_and_scripts_without_spaces():
 
 def test_items_of_mixed_punctuation_keep_their_words():
     assert decontaminate.words_of("Don't stop—now 한국어 문장 ｈｉ！") == [b"don", b"t", "stop—now".encode(), "한국어".encode(), "문장".encode(), "ｈｉ".encode()]
+
+
+def test_near_copies_are_judged_row_by_row(spark):
+    a, b, c, d, e = ("the first text about one thing", "quite another text on some other matter", "a third one that nobody else holds", "words that no id stands on at all", "a last text with an id of its own")
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, c), (5, d), (5, e), (2, d), (5, e), (None, e), (7, "left alone by all of the others here")]
+    table = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    got = simhash.drop_near_copies(table)
+    assert got.columns == table.columns
+    want = [(1, a), (2, d), (5, e), (7, rows[-1][1]), (None, b), (None, c)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    unique = table.where("doc_id in (1, 2, 7)")
+    assert simhash.drop_near_copies(unique).count() == 3
+    same = spark.createDataFrame([(5, a, None, None, None), (5, b, None, None, None), (6, c, None, None, None)], DOCS)
+    assert sorted(r["text"] for r in simhash.drop_near_copies(same).collect()) == sorted([a, b, c])
