@@ -50,10 +50,12 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 3) -> DataFr
     return done.withColumn("n", F.row_number().over(order)).where("n = 1").select("a", "b", "path")
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """Personalised: (id, rank), mass of dead ends goes back to the seeds, ranks add up to 1.
+def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """Personalised: (id, rank, converged), mass of dead ends goes back to the seeds, ranks add up to 1.
 
-    A fixed number of rounds; each is a join on the node and a sum, and cuts the plan.
+    Rounds end when the ranks together change by ``tolerance`` at most, and converged
+    is true, or after ``rounds``. Each is a join on the node and a sum, cuts the plan
+    and sends two numbers to the driver.
     """
     links = cut(adjacency(edges).where("weight > 0"))
     out = links.groupBy("src").agg(F.sum("weight").alias("total"))
@@ -62,13 +64,17 @@ def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     n = seeds.select("id").distinct().count()
     start = nodes.join(seeds.select("id", F.lit(1.0 / max(1, n)).alias("seed")).distinct(), "id", "left").select("id", F.coalesce("seed", F.lit(0.0)).alias("seed"))
     start = start.join(out.select(F.col("src").alias("id"), F.lit(False).alias("dead")), "id", "left").select("id", "seed", F.coalesce("dead", F.lit(True)).alias("dead"))
-    start = cut(start)
-    ranks = start.select("id", F.col("seed").alias("rank"))
+    ranks = cut(start.select("*", F.col("seed").alias("rank"), F.lit(0.0).alias("before")))
+    numbers = F.coalesce(F.sum(F.abs(F.col("rank") - F.col("before"))), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("dead"), F.col("rank"))), F.lit(0.0))
+    change, lost = ranks.agg(*numbers).first()
     for _ in range(rounds):
+        if change <= tolerance:
+            break
         flow = steps.join(ranks, steps["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
-        lost = start.where("dead").join(ranks, "id").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        ranks = cut(start.join(flow, start["id"] == flow["dst"], "left").crossJoin(F.broadcast(lost)).select("id", (F.col("seed") * (1 - damping + damping * F.col("lost")) + damping * F.coalesce("flow", F.lit(0.0))).alias("rank")))
-    return ranks
+        new = F.col("seed") * (1 - damping + damping * lost) + damping * F.coalesce("flow", F.lit(0.0))
+        ranks = cut(ranks.join(flow, ranks["id"] == flow["dst"], "left").select("id", "seed", "dead", new.alias("rank"), F.col("rank").alias("before")))
+        change, lost = ranks.agg(*numbers).first()
+    return ranks.select("id", "rank", F.lit(change <= tolerance).alias("converged"))
 
 
 def entity_search(entities: DataFrame, queries: DataFrame, k: int) -> DataFrame:
