@@ -4,7 +4,9 @@ A page is a sequence of words and tags. A word scores positive, a tag negative,
 with weights learned from pages whose markup labels the article; a linear scan
 finds the contiguous region of the largest score. Elements that are never part of
 an article (scripts, forms, menus, footers, notices, adverts, comments ...) are
-left out by their names, roles and classes, inside the region as well.
+left out by their names, roles and classes, inside the region as well. One that
+holds the page's largest article, or without any most of its words, is a wrapper
+and stays; words that also name parts of a text leave nothing out of an article.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from .common import drawn
 TRAIN_PAGES = 2000
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(?:svg|math)(?:\s[^>]*)?/>"
     r"|<(script|style|noscript|template|svg|math|textarea|select|iframe|object|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""",
     re.S | re.I,
@@ -42,6 +45,12 @@ _OUTSIDE_WORDS = re.compile(
     r"|comment|comments|commentlist|comment-list|disqus|respond|reply|replies|reader-comments|discussion|hidden|sr-only|visually-hidden|copyright|legal|toolbar)(?=$|[\s_-])",
     re.I,
 )
+#: Class words that tell what an element stands beside or on which screens it shows, not what it is.
+_MODIFIER = re.compile(r"(?:with|without|has|no)[-_].*|hidden-(?:xs|sm|md|lg|xl|xxl|print|phone|tablet|mobile|desktop)(?:-(?:up|down))?", re.I)
+#: Inside an article these name parts of its text as well.
+AMBIGUOUS = frozenset("notice notices alert legal side search tags discussion foot copyright overlay skip toc banner reply replies respond".split())
+#: These hold what readers, shops and lawyers add, however much of it a page has.
+_ADDED = re.compile(r"(?:ads?|advert\w*|advertis\w*|adsense|sponsor\w*|cookies?|consent|gdpr|newsletter|comment\w*|comment-list|disqus|respond|reply|replies|reader-comments)", re.I)
 #: The token in place of a left-out element; it may stand inside articles, so its weight is not learned.
 LEFT_OUT = "left-out"
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -51,18 +60,70 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _BLOCK_CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
-def _left_out(name: str, attributes: str, inside: bool) -> bool:
-    if name in OUTSIDE or name == "header" and not inside:
-        return True
+def _left_out(name: str, attributes: str, inside: bool) -> str:
+    """Why an element is left out: '' if it isn't, 'always', 'added', or 'unless wrapper'."""
+    if name in OUTSIDE and name != "form" or name == "header" and not inside:
+        return "always"
+    why = "unless wrapper" if name == "form" else ""
     if not attributes or name in _KEEP:
-        return False
+        return why
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
-            return True
-        if key == "role" and value.lower() in ROLES or key in ("class", "id") and _OUTSIDE_WORDS.search(value):
-            return True
-    return False
+            return "always"
+        if key == "role" and value.lower() in ROLES:
+            why = why or "unless wrapper"
+        elif key in ("class", "id"):
+            for part in value.split():
+                words = [] if _MODIFIER.fullmatch(part) else [w.strip("_-").lower() for w in _OUTSIDE_WORDS.findall(part)]
+                if any(_ADDED.fullmatch(w) and not (inside and w in AMBIGUOUS) for w in words):
+                    why = "added"
+                elif any(not (inside and w in AMBIGUOUS) for w in words):
+                    why = why or "unless wrapper"
+    return why
+
+
+class Outline:
+    """Where the elements of a page end, and how many words they hold."""
+
+    def __init__(self, html: str):
+        stack: list[tuple[str, int, int]] = []
+        self.ends: dict[int, tuple[int, int]] = {}  # of each element's start
+        self.words, at = 0, 0
+        self.article: tuple[int, int] | None = None  # start of the article or main with the most words, and these
+
+        def leave(depth: int, end: int) -> None:
+            for name, start, words in stack[depth:]:
+                self.ends[start] = end, self.words - words
+                if name in ("article", "main") and self.words - words > (self.article or (0, 0))[1]:
+                    self.article = start, self.words - words
+            del stack[depth:]
+
+        for m in _TOKEN.finditer(html):
+            self.words += len(html[at : m.start()].split())
+            at, name = m.end(), m[3] and m[3].lower()
+            names = [n for n, *_ in stack]
+            if name is None:
+                continue
+            if m[2]:
+                if name in names:
+                    leave(len(names) - 1 - names[::-1].index(name), m.start())
+                continue
+            if name in _BLOCK_CLOSES_P and "p" in names:
+                leave(len(names) - 1 - names[::-1].index("p"), m.start())
+            elif name in _CLOSES and names and names[-1] in _CLOSES[name]:
+                leave(len(names) - 1, m.start())
+            if not (name in VOID or m[4].endswith("/") and name not in _BLOCK_CLOSES_P and name not in INLINE):
+                stack.append((name, m.start(), self.words))
+        self.words += len(html[at:].split())
+        leave(0, len(html))
+
+    def wraps(self, start: int, why: str) -> bool:
+        """Whether the element from start holds the page's largest article, or without any most of its words."""
+        end, words = self.ends.get(start, (start, 0))
+        if self.article:
+            return start < self.article[0] < end
+        return why != "added" and 2 * words > self.words
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, bool]]:
@@ -71,6 +132,7 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool]]:
     Left-out elements are gone; tags are named, end tags with a leading slash.
     """
     stack: list[str] = []
+    outline = None  # made for pages that need it
     out_depth, inside = 0, 0  # depth of the outermost left-out element, of articles
     at = 0
 
@@ -108,7 +170,11 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool]]:
         stack.append(name)
         if out_depth:
             continue
-        if _left_out(name, m[4], inside > 0):
+        why = _left_out(name, m[4], inside > 0)
+        if why and why != "always":
+            outline = outline or Outline(html)
+            why = "" if outline.wraps(m.start(), why) else why
+        if why:
             out_depth = len(stack)
             yield "b", LEFT_OUT, inside > 0
             continue

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from querywell.llm import decontaminate, simhash
+from querywell.llm import decontaminate, html_extract, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -66,3 +66,26 @@ def test_near_copies_are_judged_row_by_row(spark):
     assert simhash.drop_near_copies(unique).count() == 3
     same = spark.createDataFrame([(5, a, None, None, None), (5, b, None, None, None), (6, c, None, None, None)], DOCS)
     assert sorted(r["text"] for r in simhash.drop_near_copies(same).collect()) == sorted([a, b, c])
+
+
+STORY = "<h1>A headline of the story</h1><p>First paragraph of the story with a good many words in it.</p><p>Second paragraph of the story with some more words in it.</p>"
+PLAIN = "A headline of the story\nFirst paragraph of the story with a good many words in it.\nSecond paragraph of the story with some more words in it."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<body><div class="layout with-sidebar"><article>{}</article></div>', PLAIN),
+        ('<body><div class="sidebar-layout sidebar"><main>{}</main><aside>Other things</aside></div>', PLAIN),
+        ('<body><div class="col-md-8 hidden-print">{}</div>', PLAIN),
+        ('<body><div id="page" class="has-sidebar no-footer">{}</div>', PLAIN),
+        ('<body><form action="/"><nav>Menu</nav><div>{}</div><footer>All rights</footer></form>', PLAIN),
+        ('<body><div><svg class="a" viewBox="0 0 1 1"/>{}</div>', PLAIN),
+        ('<body><article>{}<p class="legal">What the law says.</p><div class="notice">Mind this.</div><p>A closing paragraph that ends the story in many words.</p></article>', PLAIN + "\nWhat the law says.\nMind this.\nA closing paragraph that ends the story in many words."),
+        ('<body><article>{}<div class="ad">Buy</div><div class="comments">Reader</div></article><div class="related"><article>Other story</article></div>', PLAIN),
+        ('<body><article>{}</article><section id="comments"><article class="comment">Me too</article></section>', PLAIN),
+    ],
+)
+def test_wrappers_and_parts_of_articles_stay(page, want):
+    even = html_extract.Weights({"": 100, "p": 10, "/p": 10, "h1": 2, "/h1": 2, "div": 10, "/div": 10}, {"": 50, "div": 10, "/div": 10})
+    assert html_extract.main_text(page.format(STORY), even) == want
