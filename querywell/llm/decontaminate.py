@@ -1,20 +1,28 @@
-"""Benchmark decontamination by exact word filters and exact word edit distance.
+"""Benchmark decontamination by CGK embeddings, bit sampling and exact edit distance.
 
 An item matches a document if some window of the document with as many words as
 the item lies within a word edit distance of ``(1 - similarity) * words``. Words
 are lower-case runs between white space and punctuation (ASCII, CJK and full-width);
 in scripts without spaces each character is a word. Items of fewer than
-``min_words`` words match as exact word sequences only.
+``min_words`` words match as exact word sequences only. Before a text's begin and
+behind its end stand places that equal no word, so a text may be shorter than an
+item that it matches.
 
-Three steps, all in the task that holds the document, without a shuffle; none
-loses a match, whatever the item's length:
+All steps are in the task that holds the document, without a shuffle:
 
-1. Item-sized windows that can match at all: one within distance d of an item
+1. Windows that can match at all (loses nothing): one within distance d of an item
    holds all but d of any words chosen from it. Chosen are its words that few
    items hold, and more than d in any case; places of these words, sorted by item,
-   tell which windows hold enough of them.
-2. Of these, the windows in which all but d words are words of the item.
-3. The exact edit distance of what is left, many windows at a time. Window and
+   tell which windows hold enough of them. Then all but d words must be the item's.
+2. CGK: a random walk copies a window's word and moves on by a bit drawn from
+   (walk, step, word), so that few edits change few places of the copy. A band is
+   some sampled places of a walk's copy; window and item become candidates if they
+   are equal in any band of any walk. How many places a band has is set for each
+   length by simulating edits at the limit, so that the recall is ``RECALL`` there
+   even for the worst pair, and higher below; a length at which even one place does not reach it has every
+   window of step 1 verified.
+3. The exact edit distance of the candidates, and where one matches of the item's
+   other windows in that text, many at a time. Window and
    item are equally long, so only cells within d / 2 of the diagonal count.
 
 The items are the stated query set: they go to the tasks in blocks of at most
@@ -26,7 +34,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 from itertools import repeat
 
 import numpy as np
@@ -35,10 +43,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIMILARITY, MIN_WORDS = 0.8, 5
-WALKS, BANDS, SAMPLES = 3, 16, 3
+#: CGK walks, bands of each, the most places of a band, and the recall at the allowed distance, of the worst simulated pair.
+WALKS, BANDS, SAMPLES, RECALL = 4, 16, 4, 0.99
 BLOCK_CHARS, PIECE_WORDS, RARE = 32_000_000, 1 << 20, 8
-#: Cells of a window block that is held at a time.
-CELLS = 1 << 22
+#: Cells of a window block that is held at a time, and windows whose band keys are.
+CELLS, KEYED = 1 << 22, 1 << 14
 _PLAIN = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 #: Punctuation of East Asian texts, and characters of scripts that set no spaces: Thai to Khmer, Tai, kana, Han.
 _WIDE = re.compile("[\u3000-\u3004\u3008-\u3020\u3030\u303d-\u303f\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
@@ -71,7 +80,7 @@ def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Word edit distances of the columns of a and b, all of one length; more than most where they are larger."""
     n, half = len(a), most // 2
     steps = np.arange(2 * half + 1, dtype=np.int32)[:, None]
-    b = np.pad(b, ((half, half), (0, 0)), constant_values=-1)
+    b = np.pad(b, ((half, half), (0, 0)), constant_values=-2)
     out, left = np.full(a.shape[1], most + 1, dtype=np.int32), np.arange(a.shape[1])
     # Row o of the band is the cell half - o beside the diagonal.
     row = np.repeat(np.where(steps < half, most + 1, steps - half).astype(np.int32), a.shape[1], axis=1)
@@ -89,14 +98,79 @@ def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-class Items:
-    """A block of benchmark items, ready to be searched for.
+def places_of(n: int) -> int:
+    """How many steps a walk over n words takes: it moves at every second one, and most walks are not at the end yet."""
+    return max(n, int(1.8 * n))
+
+
+def embedded(rows: np.ndarray, walks: int) -> Iterator[np.ndarray]:
+    """Of each step, what the walks copy of the columns of rows (words x windows): walks x windows."""
+    n, width = rows.shape
+    at, columns = np.zeros((walks, width), dtype=np.int64), np.arange(width)
+    rows = np.concatenate([rows, np.zeros((1, width), dtype=rows.dtype)])
+    salt = (np.arange(walks, dtype=np.uint32) * np.uint32(0x9E3779B1))[:, None]
+    for step in range(places_of(n)):
+        copied = rows[at, columns]
+        yield copied
+        mixed = copied.astype(np.uint32) * np.uint32(0x85EBCA77) + salt + np.uint32(step * 0xC2B2AE3D & 0xFFFFFFFF)
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= np.uint32(0x2C1B3C6D)
+        mixed ^= mixed >> np.uint32(13)
+        at = np.minimum(at + ((mixed >> np.uint32(9)) & np.uint32(1)), n)
+
+
+@cache
+def band_shape(n: int, most: int, walks: int, bands: int, samples: int, recall: float) -> tuple[int, int]:
+    """(places of a band, bands): the most places, up to ``samples``, that keep the recall for n words and ``most`` edits.
 
-    ``walks``, ``bands`` and ``samples`` once set the recall of a sampling step;
-    all windows that can match are verified now, so they change nothing.
+    If one place does not, up to 8 times the bands are tried; (0, 0) if these do not either.
+
+    Simulated on distinct words, once with substitutions and once with deletions
+    and insertions; words that repeat only make more places equal.
     """
+    if not most:
+        return samples, bands
+    rng, tries = np.random.default_rng(n), 48
+    pairs = np.empty((2, n, 2 * tries), dtype=np.int32)
+    for t in range(2 * tries):
+        words = list(range(1, n + 1))
+        if t < tries:
+            for at in rng.permutation(n)[:most]:
+                words[at] = n + 1 + int(at)
+        else:
+            for _ in range(most // 2):
+                del words[int(rng.integers(len(words)))]
+                words.insert(int(rng.integers(len(words) + 1)), 2 * n + 1 + int(rng.integers(n)))
+        pairs[0, :, t], pairs[1, :, t] = np.arange(1, n + 1), words
+    same = sum(((a == b) & (a != 0)).astype(float) for a, b in zip(embedded(pairs[0], walks), embedded(pairs[1], walks)))
+    share = same / places_of(n)  # of each walk and try
+    for m, b in [*((m, bands) for m in range(samples, 0, -1)), (1, 2 * bands), (1, 4 * bands), (1, 8 * bands)]:
+        missed = np.prod((1 - share**m) ** b, axis=0)
+        if 1 - missed.max() >= recall:
+            return m, b
+    return 0, 0
+
+
+def band_keys(rows: np.ndarray, m: int, bands: int, walks: int) -> np.ndarray:
+    """(walks * bands) x windows: what each band of m sampled places holds."""
+    n, width = rows.shape
+    chosen = np.random.default_rng(7 * n + m).integers(0, places_of(n), (walks, bands, m))
+    keys = np.zeros((walks, bands, width), dtype=np.uint64)
+    # Sampled places by step: which walk and band they belong to, and as which of its places.
+    walk, band, part = np.unravel_index(np.argsort(chosen, axis=None, kind="stable"), chosen.shape)
+    steps = chosen[walk, band, part]
+    begin = np.searchsorted(steps, np.arange(places_of(n) + 1))
+    for step, copied in enumerate(embedded(rows, walks)):
+        for k in range(begin[step], begin[step + 1]):
+            keys[walk[k], band[k]] += (copied[walk[k]].astype(np.uint64) + np.uint64(1)) * np.uint64((0x9E3779B97F4A7C15 * (2 * int(part[k]) + 1)) & 0xFFFFFFFFFFFFFFFF)
+    return keys.reshape(walks * bands, width)
+
+
+class Items:
+    """A block of benchmark items, ready to be searched for."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float, min_words: int, walks: int, bands: int, samples: int):
+    def __init__(self, items: list[tuple[int, str]], similarity: float, min_words: int, walks: int, bands: int, samples: int, recall: float = RECALL):
+        self.walks = walks
         split = [(i, w) for i, w in ((i, words_of(t)) for i, t in items) if w]
         self.ids = [i for i, _ in split]
         seen = Counter(w for _, words in split for w in set(words))
@@ -105,7 +179,9 @@ class Items:
         self.most = np.array([int((1 - similarity) * len(w) + 1e-9) if len(w) >= min_words else 0 for w in self.words], dtype=np.int64)
         self.size = np.array([len(w) for w in self.words], dtype=np.int64)
         held = np.array([0, *(seen[w] for w in self.vocabulary)])
-        holders: list[list[int]] = [[] for _ in held]  # of each word: the items that chose it
+        self.edge = len(held)  # the number in place of a word beyond a text's ends; as many on each side as an item allows edits
+        self.pad = np.full(int(self.most.max(initial=0)), self.edge, dtype=np.int32)
+        holders: list[list[int]] = [[] for _ in range(self.edge + 1)]  # of each word: the items that chose it
         need = []
         for k, w in enumerate(self.words):
             times = Counter(w.tolist())
@@ -119,6 +195,16 @@ class Items:
         self.need = np.array(need, dtype=np.int64)
         self.first = np.cumsum([0, *map(len, holders)])
         self.holders = np.array([k for group in holders for k in group], dtype=np.int64)
+        self.band = [band_shape(int(n), int(d), walks, bands, samples, recall) for n, d in zip(self.size, self.most)]
+        self.keys: list[np.ndarray | None] = [None] * len(self.words)
+        of_size: dict[int, list[int]] = {}
+        for k, n in enumerate(self.size):
+            of_size.setdefault(int(n), []).append(k)
+        for group in of_size.values():
+            if self.band[group[0]][0]:
+                keys = band_keys(np.stack([self.words[k] for k in group], axis=1), *self.band[group[0]], walks)
+                for k, own in zip(group, keys.T):
+                    self.keys[k] = own
 
     def windows(self, ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Of each item, ranges low to high of where windows start that can match; begin and end: of the text around each word."""
@@ -144,7 +230,7 @@ class Items:
     def near(self, k: int, ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[np.ndarray]:
         """Starts in the ranges whose window has all but d words from the item's."""
         n, sums = len(self.words[k]), None
-        member = np.zeros(len(self.vocabulary) + 1, dtype=bool)
+        member = np.zeros(self.edge + 1, dtype=bool)
         member[self.words[k]] = True
         if (high - low + 1).sum() * n > len(ids):
             sums = np.r_[0, np.cumsum(member[ids], dtype=np.int32)]
@@ -169,10 +255,23 @@ class Items:
             starts, most = np.concatenate([s for _, s in group]), int(self.most[group[0][0]])
             words = np.stack([self.words[k] for k, _ in group], axis=1)
             which = np.repeat(np.arange(len(group)), [len(s) for _, s in group])
-            distances = edit_distances(words[:, which], ids[starts + np.arange(n)[:, None]], most)
-            for w in np.flatnonzero(distances <= most):
-                key, value = (int(begin[starts[w]]), int(owner[w])), (int(distances[w]), int(starts[w]))
-                best[key] = min(value, best.get(key, value))
+            rows = ids[starts + np.arange(n)[:, None]]
+
+            def measured(at: np.ndarray) -> None:
+                distances = edit_distances(words[:, which[at]], rows[:, at], most)
+                for w, distance in zip(at[distances <= most], distances[distances <= most]):
+                    key, value = (int(begin[starts[w]]), int(owner[w])), (int(distance), int(starts[w]))
+                    best[key] = min(value, best.get(key, value))
+
+            met = np.ones(len(starts), dtype=bool)
+            if self.band[group[0][0]][0]:
+                own = np.stack([self.keys[k] for k, _ in group], axis=1)
+                for at in range(0, len(starts), KEYED):
+                    part = slice(at, at + KEYED)
+                    met[part] = (band_keys(rows[:, part], *self.band[group[0][0]], self.walks) == own[:, which[part]]).any(axis=0)
+            measured(np.flatnonzero(met))
+            if not met.all() and best:  # where an item was found, its other windows may be nearer
+                measured(np.flatnonzero(~met & np.array([(b, o) in best for b, o in zip(begin[starts].tolist(), owner.tolist())])))
 
         for k, low, high in self.windows(ids, begin, end):
             n = len(self.words[k])
@@ -186,18 +285,19 @@ class Items:
 
     def matches(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
         """(place of the text, item_id, first word, words, distance), from several texts at a time."""
-        get, held, sizes, first = self.vocabulary.get, [], [], 0
+        get, held, sizes, first, total = self.vocabulary.get, [], [], 0, 0
         for k, text in enumerate(texts):
             words = words_of(text)
-            held.append(np.fromiter(map(get, words, repeat(0)), dtype=np.int32, count=len(words)))
-            sizes.append(len(words))
-            if sum(sizes) >= PIECE_WORDS or k + 1 == len(texts):
+            held += [self.pad, np.fromiter(map(get, words, repeat(0)), dtype=np.int32, count=len(words)), self.pad]
+            sizes.append(len(words) + 2 * len(self.pad))
+            total += sizes[-1]
+            if total >= PIECE_WORDS or k + 1 == len(texts):
                 begins = np.cumsum(sizes) - sizes
                 begin = np.repeat(begins, sizes)
                 found = self.search(np.concatenate(held), begin, begin + np.repeat(sizes, sizes))
                 owner = {int(b): first + j for j, b in enumerate(begins) if sizes[j]}
-                yield from sorted((owner[b], self.ids[item], start - b, int(self.size[item]), distance) for (b, item), (distance, start) in found.items())
-                held, sizes, first = [], [], k + 1
+                yield from sorted((owner[b], self.ids[item], start - b - len(self.pad), int(self.size[item]), distance) for (b, item), (distance, start) in found.items())
+                held, sizes, first, total = [], [], k + 1, 0
 
 
 def blocks_of(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
@@ -213,8 +313,9 @@ def blocks_of(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, walks: int = WALKS, bands: int = BANDS, samples: int = SAMPLES, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Matches of benchmark (item_id, text) in docs (doc_id, text).
 
-    Returns doc_id, item_id, start (word), n_words, distance: one row per row of
-    docs and matching item, with its best window. Null or empty texts match
+    Returns doc_id, item_id, start (word; below 0 if the window begins before the
+    text), n_words, distance: one row per row of docs and matching item, with its
+    best window. Null or empty texts match
     nothing; items of fewer than ``min_words`` words match exactly only; repeated
     items count once, repeated documents each. Other columns are ignored; an
     empty table on either side gives no rows.
