@@ -1,12 +1,15 @@
 """Main text of web pages by the maximum-scoring subsequence of words and tags.
 
 A page is a sequence of words and tags. A word scores positive, a tag negative,
-with weights learned from pages whose markup labels the article; a linear scan
-finds the contiguous region of the largest score. Elements that are never part of
+with weights learned from pages whose markup labels the article (a tag with a
+class that names an outside part has a weight of its own); a linear scan finds
+the contiguous region of the largest score. Elements that are never part of
 an article (scripts, forms, menus, footers, notices, adverts, comments ...) are
-left out by their names, roles and classes, inside the region as well. One that
-holds the page's largest article, or without any most of its words, is a wrapper
-and stays; words that also name parts of a text leave nothing out of an article.
+left out by their names, roles and classes, inside the region as well. A class or
+id says so only if each of its parts does or is neutral: ``cookie-box`` does,
+``related-work`` and ``has-sidebar`` don't. Headings stay. An element that holds
+the page's article, or without any most of its words, is a wrapper and stays;
+words that also name parts of a text leave nothing out of an article.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 from math import log
 
@@ -36,154 +40,156 @@ _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|aria-label
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption hr details summary".split())
-#: Elements, roles and class or id words of what an article leaves out.
+#: Elements, roles and parts of classes and ids of what an article leaves out.
 OUTSIDE = frozenset("nav footer aside form button head menu dialog fieldset input option audio video canvas map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
-_OUTSIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|paywall"
-    r"|sidebar|side|aside|widget|widgets|related|recommended|recommendations|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|toc|skip|share|sharing|social|footer|foot|masthead|topbar|login|signup|search|tags"
-    r"|comment|comments|commentlist|comment-list|disqus|respond|reply|replies|reader-comments|discussion|hidden|sr-only|visually-hidden|copyright|legal|toolbar)(?=$|[\s_-])",
-    re.I,
-)
-#: Class words that tell what an element stands beside or on which screens it shows, not what it is.
-_MODIFIER = re.compile(r"(?:with|without|has|no)[-_].*|hidden-(?:xs|sm|md|lg|xl|xxl|print|phone|tablet|mobile|desktop)(?:-(?:up|down))?", re.I)
-#: Inside an article these name parts of its text as well.
-AMBIGUOUS = frozenset("notice notices alert legal side search tags discussion foot copyright overlay skip toc banner reply replies respond".split())
 #: These hold what readers, shops and lawyers add, however much of it a page has.
-_ADDED = re.compile(r"(?:ads?|advert\w*|advertis\w*|adsense|sponsor\w*|cookies?|consent|gdpr|newsletter|comment\w*|comment-list|disqus|respond|reply|replies|reader-comments)", re.I)
+ADDED = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors cookie cookies consent gdpr newsletter comment comments commentlist disqus respond reply replies".split())
+#: Inside an article these name parts of its text as well.
+AMBIGUOUS = frozenset("notice notices alert alerts legal side search tags discussion foot copyright overlay skip toc banner reply replies respond related".split())
+OUT = ADDED | AMBIGUOUS | frozenset("promo promos promotion promotions popup modal subscribe subscription paywall sidebar aside widget widgets recommended recommendations menu nav navbar navigation breadcrumb breadcrumbs pagination pager share sharing social footer masthead topbar login signup hidden toolbar".split())
+#: Parts that only say how an element is built or where it stands.
+NEUTRAL = frozenset("box block blocks wrapper wrap container area list section bar links link buttons button icons icon form item items inner outer left right top bottom main site page global primary secondary post posts article articles story stories entry module panel region holder message messages group row col column slot unit reader readers user more area thread dropdown toggle mobile desktop sticky fixed js el lg md sm xs wp".split())
+MODIFIERS = frozenset("with without has no is show hide not".split())
+_WHOLE = frozenset("sr-only visually-hidden screen-reader-text".split())
+#: "Related" leaves something out of an article only beside these.
+_SHELF = frozenset("posts articles stories links items content".split())
 #: The token in place of a left-out element; it may stand inside articles, so its weight is not learned.
 LEFT_OUT = "left-out"
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_KEEP = frozenset("article main body html".split())
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+_KEEP = frozenset("main body html h1 h2 h3 h4 h5 h6".split())
 #: An open element is closed by these (what HTML lets authors leave out).
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BLOCK_CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
-def _left_out(name: str, attributes: str, inside: bool) -> str:
-    """Why an element is left out: '' if it isn't, 'always', 'added', or 'unless wrapper'."""
-    if name in OUTSIDE and name != "form" or name == "header" and not inside:
-        return "always"
-    why = "unless wrapper" if name == "form" else ""
+@lru_cache(maxsize=100_000)
+def _named_out(token: str) -> tuple[frozenset, bool]:
+    """Of a class or id: its parts that name what is left out, if the others are neutral; and whether it is a shelf of related texts."""
+    if token.lower() in _WHOLE:
+        return frozenset(["hidden"]), False
+    parts = [p.lower() for p in _PARTS.findall(token)]
+    if parts and parts[0] in MODIFIERS:
+        return frozenset(), False
+    out = frozenset(p for p in parts if p in OUT)
+    if not all(p in OUT or p in NEUTRAL or p in _SHELF or p.isdigit() for p in parts):
+        return frozenset(), False
+    return out, "related" in out and any(p in _SHELF for p in parts)
+
+
+def _left_out(name: str, attributes: str, inside: bool) -> tuple[str, str]:
+    """Why an element may be left out ('' if it isn't, 'element', 'class', 'added'), and the part of its class or id that says so."""
+    why, part = "", ""
+    if name in OUTSIDE or name == "header" and not inside:
+        why = "element"
     if not attributes or name in _KEEP:
-        return why
+        return why, part
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
-            return "always"
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
+            return "element", part
         if key == "role" and value.lower() in ROLES:
-            why = why or "unless wrapper"
+            why = why or "element"
         elif key in ("class", "id"):
-            for part in value.split():
-                words = [] if _MODIFIER.fullmatch(part) else [w.strip("_-").lower() for w in _OUTSIDE_WORDS.findall(part)]
-                if any(_ADDED.fullmatch(w) and not (inside and w in AMBIGUOUS) for w in words):
-                    why = "added"
-                elif any(not (inside and w in AMBIGUOUS) for w in words):
-                    why = why or "unless wrapper"
-    return why
-
-
-class Outline:
-    """Where the elements of a page end, and how many words they hold."""
+            for token in value.split():
+                named, shelf = _named_out(token)
+                for p in sorted(named):
+                    part = part or p
+                    if inside and p in AMBIGUOUS and not shelf:
+                        continue
+                    why = "added" if p in ADDED else why or "class"
+    return why, part
+
+
+class Page:
+    """A page's texts and tags in order, and what its elements hold.
+
+    ``events``: (kind, value, in article); kind 't' is a text, 'b' a tag that ends
+    a block, 'i' an inline one; end tags have a leading slash. ``elements``:
+    [name, why it may be left out, first event, event behind its end, words].
+    """
 
     def __init__(self, html: str):
-        stack: list[tuple[str, int, int]] = []
-        self.ends: dict[int, tuple[int, int]] = {}  # of each element's start
-        self.words, at = 0, 0
-        self.article: tuple[int, int] | None = None  # start of the article or main with the most words, and these
-
-        def leave(depth: int, end: int) -> None:
-            for name, start, words in stack[depth:]:
-                self.ends[start] = end, self.words - words
-                if name in ("article", "main") and self.words - words > (self.article or (0, 0))[1]:
-                    self.article = start, self.words - words
-            del stack[depth:]
+        self.events: list[tuple[str, str, bool]] = []
+        self.elements: list[list] = []
+        stack: list[int] = []
+        is_open: Counter = Counter()  # open elements by name
+        words, at = 0, 0
+        add, elements = self.events.append, self.elements
+
+        def close(name: str) -> None:
+            while True:
+                e = elements[stack.pop()]
+                e[3], e[4] = len(self.events), words - e[4]
+                is_open[e[0]] -= 1
+                if e[0] == name:
+                    return
+
+        def text(raw: str) -> int:
+            raw = unescape(raw).replace("\xa0", " ")
+            if raw:
+                add(("t", raw, is_open["article"] + is_open["main"] > 0))
+            return len(raw.split())
 
         for m in _TOKEN.finditer(html):
-            self.words += len(html[at : m.start()].split())
-            at, name = m.end(), m[3] and m[3].lower()
-            names = [n for n, *_ in stack]
+            if m.start() > at:
+                words += text(html[at : m.start()])
+            at, name = m.end(), m[3]
             if name is None:
                 continue
+            name = name.lower()
+            kind = "i" if name in INLINE else "b"
             if m[2]:
-                if name in names:
-                    leave(len(names) - 1 - names[::-1].index(name), m.start())
+                if is_open[name]:
+                    add((kind, "/" + name, is_open["article"] + is_open["main"] > (name in ("article", "main"))))
+                    close(name)
                 continue
-            if name in _BLOCK_CLOSES_P and "p" in names:
-                leave(len(names) - 1 - names[::-1].index("p"), m.start())
-            elif name in _CLOSES and names and names[-1] in _CLOSES[name]:
-                leave(len(names) - 1, m.start())
-            if not (name in VOID or m[4].endswith("/") and name not in _BLOCK_CLOSES_P and name not in INLINE):
-                stack.append((name, m.start(), self.words))
-        self.words += len(html[at:].split())
-        leave(0, len(html))
-
-    def wraps(self, start: int, why: str) -> bool:
-        """Whether the element from start holds the page's largest article, or without any most of its words."""
-        end, words = self.ends.get(start, (start, 0))
-        if self.article:
-            return start < self.article[0] < end
-        return why != "added" and 2 * words > self.words
-
-
-def tokens(html: str) -> Iterator[tuple[str, str, bool]]:
-    """(kind, value, in article): kind 't' is a text, 'b' a block's edge, and both 'b' and 'i' (inline) are tags.
-
-    Left-out elements are gone; tags are named, end tags with a leading slash.
-    """
-    stack: list[str] = []
-    outline = None  # made for pages that need it
-    out_depth, inside = 0, 0  # depth of the outermost left-out element, of articles
-    at = 0
-
-    def leave(depth: int) -> None:
-        nonlocal out_depth, inside
-        for name in stack[depth:]:
-            inside -= name in ("article", "main")
-        del stack[depth:]
-        if out_depth and len(stack) < out_depth:
-            out_depth = 0
-
-    for m in _TOKEN.finditer(html):
-        if m.start() > at and not out_depth:
-            yield "t", html[at : m.start()], inside > 0
-        at = m.end()
-        name = m[3]
-        if name is None:
-            continue
-        name = name.lower()
-        if m[2]:
-            if name in stack:
-                shown = not out_depth
-                leave(len(stack) - 1 - stack[::-1].index(name))
-                if shown:
-                    yield "i" if name in INLINE else "b", "/" + name, inside > 0
-            continue
-        if name in _BLOCK_CLOSES_P and "p" in stack and not out_depth:
-            leave(len(stack) - 1 - stack[::-1].index("p"))
-        elif name in _CLOSES and stack and stack[-1] in _CLOSES[name]:
-            leave(len(stack) - 1)
-        if name in VOID or m[4].endswith("/") and name not in _BLOCK_CLOSES_P and name not in INLINE:
-            if not out_depth:
-                yield "i" if name in INLINE else "b", name, inside > 0
-            continue
-        stack.append(name)
-        if out_depth:
-            continue
-        why = _left_out(name, m[4], inside > 0)
-        if why and why != "always":
-            outline = outline or Outline(html)
-            why = "" if outline.wraps(m.start(), why) else why
-        if why:
-            out_depth = len(stack)
-            yield "b", LEFT_OUT, inside > 0
-            continue
-        yield "i" if name in INLINE else "b", name, inside > 0  # the article's own edges are outside
-        inside += name in ("article", "main")
-    if at < len(html) and not out_depth:
-        rest = re.sub(r"<[a-zA-Z/!][^>]*\Z", "", html[at:])
-        if rest:
-            yield "t", rest, inside > 0
+            if name in _BLOCK_CLOSES_P and is_open["p"]:
+                close("p")
+            elif name in _CLOSES and stack and elements[stack[-1]][0] in _CLOSES[name]:
+                close(elements[stack[-1]][0])
+            inside = is_open["article"] + is_open["main"] > 0
+            why, part = _left_out(name, m[4], inside)
+            if name in VOID or m[4].endswith("/") and name not in _BLOCK_CLOSES_P and name not in INLINE:
+                if not why:
+                    add((kind, name, inside))
+                continue
+            stack.append(len(elements))
+            elements.append([name, why, len(self.events), 0, words])
+            is_open[name] += 1
+            add((kind, f"{name}.{part}" if part else name, inside))  # the article's own edges are outside
+        if at < len(html):
+            words += text(re.sub(r"<[a-zA-Z/!][^>]*\Z", "", html[at:]))
+        self.words = words
+        while stack:
+            close(elements[stack[-1]][0])
+
+    def tokens(self) -> Iterator[tuple[str, str, bool]]:
+        """The events without those of left-out elements, each of which gives one LEFT_OUT."""
+        article, added = None, 0  # the article or main with the most words that readers and shops did not add
+        for e in self.elements:
+            if e[1] == "added":
+                added = max(added, e[3])
+            elif e[0] in ("article", "main") and e[2] >= added and (article is None or e[4] > article[4]) and e[4]:
+                article = e
+        skipped: dict[int, int] = {}
+        behind = 0
+        for name, why, first, end, words in self.elements:
+            if not why or first < behind:
+                continue
+            holds = article and first <= article[2] and article[3] <= end
+            if holds or not article and why != "added" and 2 * words > self.words:
+                continue
+            skipped[first] = behind = max(end, first + 1)
+        at = 0
+        while at < len(self.events):
+            if at in skipped:
+                yield "b", LEFT_OUT, self.events[at][2]
+                at = skipped[at]
+                continue
+            yield self.events[at]
+            at += 1
 
 
 class Weights:
@@ -198,18 +204,16 @@ class Weights:
 
     def tag(self, name: str) -> float:
         """A tag that no labelled page shows counts little if articles are made of it, more if it divides pages."""
+        if "." in name and name not in self.tags:  # a class that names an outside part
+            return self.tag(name.partition(".")[0]) - 2.0
         plain = name.removeprefix("/")
         return self.tags.get(name, -0.25 if plain in INLINE else -0.5 if plain in CONTENT else -2.0)
 
 
-def _words(text: str) -> str:
-    return unescape(text).replace("\xa0", " ")
-
-
 def main_text(html: str | None, weights: Weights) -> str:
     if not html:
         return ""
-    found = [(kind, _words(v) if kind == "t" else v) for kind, v, _ in tokens(html)]
+    found = [(kind, v) for kind, v, _ in Page(html).tokens()]
     best, best_at, score, start = 0.0, (0, 0), 0.0, 0
     for k, (kind, value) in enumerate(found):
         score += len(value.split()) * weights.word if kind == "t" else weights.tag(value)
@@ -239,7 +243,7 @@ def learned_weights(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Weights
         sums: Counter = Counter()
         for batch in batches:
             for html in batch["html"]:
-                for kind, value, inside in tokens(html):
+                for kind, value, inside in Page(html).tokens() if html else ():
                     if kind == "t":
                         sums["", inside] += len(value.split())
                     else:

@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UND = "und"
-#: n-grams in a profile; most labelled documents of each language that a profile is fitted on.
-PROFILE, TRAIN_DOCS = 400, 3000
+#: n-grams in a profile; most labelled documents of each language that a profile is fitted on; most languages.
+PROFILE, TRAIN_DOCS, MOST_LANGS = 400, 3000, 1000
+#: Characters of a text that are read at a time.
 PIECE = 1_000_000
 
 
@@ -28,41 +29,42 @@ def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-def pieces(text: str, size: int = PIECE) -> Iterator[str]:
-    """The text cut at white space into pieces of at most about ``size`` characters, so that memory is bounded."""
-    at = 0
-    while len(text) - at > size:
-        cut = max(text.rfind(" ", at, at + size), text.rfind("\n", at, at + size))
-        cut = cut if cut > at else at + size  # a word longer than a piece is cut
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
+def grams(text: str, size: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a whole text, packed 21 bits a character, and their counts.
 
-
-def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of a whole text, packed 21 bits a character, and their counts."""
-    if len(text) <= PIECE:
-        return _grams(text)
+    A long text is read in pieces of ``size`` characters, so that memory is
+    bounded. The two places before a piece and whether a letter came last are
+    carried over, so the counts are those of the whole text.
+    """
     keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-    for piece in pieces(text):
-        more, n = _grams(piece)
-        keys, place = np.unique(np.concatenate([keys, more]), return_inverse=True)
-        counts = np.bincount(place, np.concatenate([counts, n])).astype(np.int64)
+    carried, after_letter = np.array([32], dtype=np.int64), False  # a space before the text
+    for at in range(0, max(1, len(text)), size):
+        last = at + size >= len(text)
+        # A sigma's lower case depends on what follows, which a piece may not hold; both forms count as one.
+        piece = text[at : at + size].lower().replace("\u03c2", "\u03c3") + " " * last
+        points = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        letter = _letters()[points]
+        # One space between words: a place stays if it or the one before it is a letter.
+        new = np.where(letter, points, 32).astype(np.int64)[letter | np.r_[after_letter, letter[:-1]]]
+        c = np.r_[carried, new]
+        word, fresh = c != 32, len(new)
+        pairs, pair_ok = (c[:-1] << 21) | c[1:], word[:-1] | word[1:]
+        triples, middle = (pairs[:-1] << 21) | c[2:], word[1:-1]
+        fresh_pairs, fresh_triples = min(fresh, len(pairs)), min(fresh, len(triples))
+        found = [new[new != 32], pairs[len(pairs) - fresh_pairs :][pair_ok[len(pairs) - fresh_pairs :]], triples[len(triples) - fresh_triples :][middle[len(triples) - fresh_triples :]]]
+        more = np.concatenate(found)
+        more.sort()
+        starts = np.flatnonzero(np.r_[True, more[1:] != more[:-1]]) if len(more) else np.empty(0, np.int64)
+        more, n = more[starts], np.diff(np.r_[starts, len(more)])
+        if len(keys):
+            keys, place = np.unique(np.concatenate([keys, more]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, n])).astype(np.int64)
+        else:
+            keys, counts = more, n
+        carried, after_letter = c[-2:], bool(letter[-1]) if len(letter) else after_letter
     return keys, counts
 
 
-def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    letter = _letters()[points]
-    c = np.where(letter, points, 32).astype(np.int64)[np.r_[True, letter[1:] | letter[:-1]]]  # one space between words
-    word = c != 32
-    pairs, middle = (c[:-1] << 21) | c[1:], word[1:-1]
-    keys = np.concatenate([c[word], pairs[word[:-1] | word[1:]], ((pairs[:-1] << 21) | c[2:])[middle]])
-    keys.sort()
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    return keys[starts], np.diff(np.r_[starts, len(keys)])
-
-
 def ranked(keys: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
     """The most frequent n-grams, most frequent first, ties by n-gram."""
     if len(keys) > top:
@@ -92,33 +94,41 @@ class Profiles:
         return self.names[best], float(1 - far[best] / (self.length * len(own)))
 
 
-def learned_profiles(labelled: DataFrame, length: int = PROFILE, train_docs: int = TRAIN_DOCS) -> dict[str, list[int]]:
-    """(doc_id, text, lang) -> each language's profile.
+def learned_profiles(labelled: DataFrame, length: int = PROFILE, train_docs: int = TRAIN_DOCS, most_langs: int = MOST_LANGS) -> dict[str, list[int]]:
+    """(doc_id, text, lang) -> each language's profile, of the ``most_langs`` languages with the most documents.
 
     It is fitted on at most about ``train_docs`` documents of a language, those
     with the smallest hashes of doc_id, so that its cost does not grow with the
-    corpus; the n-grams are counted in the tasks and summed by Spark.
+    corpus; the n-grams are counted in the tasks and summed by Spark. Rows whose
+    lang or text is null are left out, repeated rows count each, no rows give no
+    profile; other columns are ignored.
     """
-    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = {r["lang"]: min(1.0, train_docs / r["n"]) for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not share:
+    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    if not sizes:
         return {}
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, train_docs / r["n"]))))
     draw = F.pmod(F.xxhash64(F.lit("profile"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    least = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(p)) for lang, p in share.items()))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                for piece in (p for at in range(0, len(texts), 100) for p in pieces(" ".join(texts[at : at + 100]))):
-                    keys, counts = grams(piece)
-                    yield pd.DataFrame({"lang": lang, "gram": keys, "n": counts})
-
-    counted = labelled.where(draw < least).select("lang", "text").mapInPandas(count, "lang string, gram long, n long")
+                together, chars = [], 0
+                for k, text in enumerate(texts, 1):
+                    together.append(text)
+                    chars += len(text)
+                    if chars >= PIECE or k == len(texts):
+                        keys, counts = grams(" ".join(together))
+                        yield pd.DataFrame({"lang": lang, "gram": keys, "n": counts})
+                        together, chars = [], 0
+
+    drawn = labelled.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    counted = drawn.select("lang", "text").mapInPandas(count, "lang string, gram long, n long")
     summed = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = summed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= length)
     found: dict[str, list] = {}
-    for r in top.select("lang", "gram", "rank").collect():  # languages x length rows
+    for r in top.select("lang", "gram", "rank").collect():  # at most most_langs x length rows
         found.setdefault(r["lang"], []).append((r["rank"], r["gram"]))
     return {lang: [g for _, g in sorted(rows)] for lang, rows in found.items()}
 
@@ -141,14 +151,14 @@ def _model(length: int, profiles: tuple) -> Profiles:
     return Profiles(dict(profiles), length)
 
 
-def identified(docs: DataFrame, length: int = PROFILE, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """All columns of docs and ``_language`` (lang_pred, score), of whole texts.
+def predictions(docs: DataFrame, length: int = PROFILE, train_docs: int = TRAIN_DOCS):
+    """The column function text -> (lang_pred, score) learned from docs (doc_id, text, lang).
 
     Learned from rows with a known language whose crc32(doc_id) mod 5 is not 0;
     rows without doc_id are never learned from.
     """
     known = docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("doc_id", "text", "lang")
-    return docs.withColumn("_language", _predictor(learned_profiles(known, length, train_docs), length)("text"))
+    return _predictor(learned_profiles(known, length, train_docs), length)
 
 
 def language_id(docs: DataFrame, length: int = PROFILE, train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -159,10 +169,15 @@ def language_id(docs: DataFrame, length: int = PROFILE, train_docs: int = TRAIN_
     predicted but not learned from, and not held out. Repeated rows are each
     predicted; other columns are ignored; an empty table gives no rows.
     """
-    found = identified(docs.select("doc_id", "text", "lang"), length, train_docs)
-    return found.select("doc_id", held_out().alias("held_out"), "_language.lang_pred", "_language.score")
+    found = docs.select("doc_id", predictions(docs, length, train_docs)("text").alias("found"))
+    return found.select("doc_id", held_out().alias("held_out"), "found.lang_pred", "found.score")
 
 
 def drop_unidentified(docs: DataFrame, **settings) -> DataFrame:
-    """The documents in which a language was found; columns as they are."""
-    return identified(docs, **settings).where(F.col("_language.lang_pred") != UND).drop("_language")
+    """The documents in which a language was found; columns as they are, whatever their names.
+
+    Documents whose text is null, empty or without a letter go; repeated rows and
+    rows without doc_id stay each; an empty table stays empty. If no language
+    could be learned, no document stays.
+    """
+    return docs.where(predictions(docs, **settings)("text")["lang_pred"] != UND)

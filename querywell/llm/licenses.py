@@ -1,13 +1,19 @@
 """Licence scans: a trained paragraph classifier in DataFrame and SQL functions.
 
-Paragraphs (lines) are classified into licence families by multinomial logistic
-regression on word 1- to 3-grams. It is fitted here, on templates of each family
-with words left out or wrapped in other text, and on paragraphs of the corpus as
-the unknown class. n-grams that hold a licence word are the features, in
-paragraphs that hold one of a few licence stems; a paragraph without a stem has
-no feature, so it is unknown and need not be scored. The probabilities are calibrated by a temperature fitted on
-held-out examples, and a family below ``least`` is unknown. A prediction counts
-once enough of the family's nearest template stands in the paragraph.
+A paragraph ends at a blank line and at a line that ends a sentence, so that
+wrapped notices are read as one and single lines of prose by themselves.
+Paragraphs are classified into licence families by multinomial logistic
+regression on word 1- to 3-grams that hold an anchor, a word of licences. It is
+fitted here: on sentences of the notices of each family, with words left out or
+wrapped in other text, and on paragraphs of the corpus and prose about licences
+as the unknown class. The probabilities are calibrated by a temperature fitted on
+notices that were held out of the fit as a whole, and a family below ``least`` is
+unknown. A prediction counts once enough of the pairs of words of one of the
+family's templates stand in the paragraph.
+
+A paragraph without an anchor has no feature, so its class is that of the bias,
+unknown (which the classifier asserts); only the others are scored. All features
+of a paragraph meet their weights in one broadcast join and are summed.
 """
 
 from __future__ import annotations
@@ -19,77 +25,81 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drawn
+from .common import drawn, durable
 
-#: Usual notices of each family.
-TEMPLATES = {
+#: Usual notices of each family, a list of sentences each; the last one of a family is held out of the fit.
+NOTICES = {
     "Apache": [
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-        "This project is released under the Apache 2.0 license.",
-        "SPDX-License-Identifier: Apache-2.0",
+        ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", "See the License for the specific language governing permissions and limitations under the License."],
+        ["SPDX-License-Identifier: Apache-2.0", "Apache License Version 2.0, January 2004"],
+        ["This project is released under the Apache 2.0 license."],
     ],
     "MIT": [
-        "Released under the MIT License.",
-        "This software is distributed under the terms of the MIT license.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-        "SPDX-License-Identifier: MIT",
+        ["MIT License", "The MIT License (MIT)", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+        ["Released under the MIT License.", "SPDX-License-Identifier: MIT"],
+        ["This software is distributed under the terms of the MIT license."],
     ],
     "GPL": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-        "Licensed under the GPL version 2 or later.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
+        ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "You should have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses/", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "GNU General Public License, version 2"],
+        ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only"],
+        ["Licensed under the GPL version 2 or later."],
     ],
     "LGPL": [
-        "Licensed under the GNU Lesser General Public License, version 2.1.",
-        "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License",
-        "SPDX-License-Identifier: LGPL-2.1-only",
+        ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "You should have received a copy of the GNU Lesser General Public License along with this library; if not, see http://www.gnu.org/licenses/"],
+        ["SPDX-License-Identifier: LGPL-2.1-only", "GNU LESSER GENERAL PUBLIC LICENSE Version 3"],
+        ["Licensed under the GNU Lesser General Public License, version 2.1."],
     ],
     "BSD": [
-        "Licensed under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Use of this source code is governed by a BSD-style license.",
-        "SPDX-License-Identifier: BSD-3-Clause",
+        ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+        ["Licensed under the BSD 3-Clause License.", "BSD 2-Clause License", "SPDX-License-Identifier: BSD-3-Clause"],
+        ["Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
     ],
     "MPL": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "Licensed under the Mozilla Public License 2.0.",
-        "SPDX-License-Identifier: MPL-2.0",
+        ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"],
+        ["SPDX-License-Identifier: MPL-2.0", "Mozilla Public License Version 2.0"],
+        ["Licensed under the Mozilla Public License 2.0."],
     ],
     "CC-BY": [
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
+        ["This work is licensed under CC BY 4.0."],
+        ["Licensed under CC BY 4.0."],
     ],
     "CC-BY-SA": [
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+        ["This work is licensed under CC BY-SA 4.0."],
+        ["Licensed under CC BY-SA 4.0."],
     ],
     "CC-BY-NC": [
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+        ["This work is licensed under CC BY-NC 4.0."],
+        ["Licensed under CC BY-NC 4.0."],
     ],
     "CC0": [
-        "Released into the public domain under CC0 1.0.",
-        "To the extent possible under law, the author has waived all copyright to this work and dedicates it to the public domain.",
-        "SPDX-License-Identifier: CC0-1.0",
+        ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "SPDX-License-Identifier: CC0-1.0", "This is free and unencumbered software released into the public domain."],
+        ["CC0 1.0 Universal", "Released into the public domain."],
+        ["Released into the public domain under CC0 1.0."],
     ],
     "Proprietary": [
-        "All rights reserved. Unauthorized copying of this file is strictly prohibited.",
-        "Copyright. All rights reserved.",
-        "Proprietary and confidential.",
+        ["All rights reserved. Unauthorized copying of this file is strictly prohibited.", "Proprietary and confidential.", "This software is proprietary and confidential."],
+        ["Copyright. All rights reserved.", "All rights reserved."],
+        ["Copyright by the author, all rights reserved."],
     ],
 }
-#: Strings (lower case) without which a paragraph has no feature.
-STEMS = ("licen", "apache", "gnu", "gpl", "spdx", "creative commons", "copyright", "rights reserved", "public domain", "redistribut", "permission is hereby", "proprietary", "mozilla", "cc by", "cc-by", "cc0", "bsd", "free software", "source code")
+TEMPLATES = {family: [s for notice in notices for s in notice] for family, notices in NOTICES.items()}
+#: Words of licences: a feature holds one of them, and a paragraph without any has no feature.
+ANCHORS = frozenset("license licenses licensed licence licenced sublicense spdx apache mit gnu gpl lgpl bsd mpl mozilla copyright cc cc0 commons attribution noncommercial sharealike redistribute redistribution redistributions hereby granted reserved proprietary unencumbered domain endorse waived warranties clause".split())
 NEGATIVES = [
     "A driver needs a licence to drive a car in this town.", "The hotel has a liquor license and a public bar.", "Apache helicopters flew over the free city.", "He lost his fishing license in the source of the river.",
     "The mit of the hand was cold.", "The rights of the people are reserved by law.", "Copyright law is a subject taught at this school.", "She asked permission to copy the source.", "The general public enjoyed the work.",
     "A creative group of commons members met.", "The public domain of the king was under water.", "Her license plate was version 3 of the design.", "Redistribution of land was under way.", "The gnu grazed under the tree.",
+    "Her poetic license was version two of a creative common work.", "The House of Commons granted the request.", "A room was reserved for all of them.", "The patent was granted and the domain registered.", "I hereby declare that the meeting is open.",
+    "The company sells proprietary tools under many brands.", "The license fee was paid to the office on time.", "Warranties are given for two years in that country.", "He waived his right to speak and left.", "A clause of the contract was disputed.",
 ]
 UNKNOWN, LEAST, OVERLAP, TRAIN_PARAGRAPHS = "unknown", 0.6, 0.5, 500
 _WORD = r"[\p{L}\p{N}]+(?:\.[0-9]+)?"
 _PYTHON_WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)?")
+#: A paragraph ends here: behind a line that ends a sentence, and at lines without a letter or digit.
+BREAK = r"(?<=[.!?:;])[\x20\t\r]*\n|\n(?:[^\p{L}\p{N}\n]*\n)+"
 
 
 def words(text: str) -> list[str]:
@@ -100,22 +110,27 @@ def ngrams(found: list[str]) -> set[str]:
     return {" ".join(found[k : k + n]) for n in (1, 2, 3) for k in range(len(found) - n + 1)}
 
 
-def _examples(negatives: list[str], seed: int) -> list[tuple[list[str], str]]:
-    """Templates whole, with words left out and inside other words; then the unknown ones."""
+def pairs(found: list[str]) -> list[str]:
+    """The neighbours in a text; of a single word the word."""
+    return sorted({" ".join(p) for p in zip(found, found[1:])} or set(found))
+
+
+def _examples(notices: dict[str, list[str]], negatives: list[str], seed: int) -> list[tuple[list[str], str]]:
+    """Sentences whole, with words left out and inside other words; then the unknown ones."""
     rng = random.Random(seed)
-    other = [w for t in negatives for w in words(t)]
+    other = [w for t in negatives for w in words(t) if w not in ANCHORS]
     rows = []
-    for family, templates in TEMPLATES.items():
+    for family, templates in notices.items():
         for t in templates:
             w = words(t)
             rows.append((w, family))
-            for _ in range(6):
+            for _ in range(4):
                 kept = [x for x in w if rng.random() > 0.12]
-                around = [rng.choice(other) for _ in range(rng.randrange(12))] if other else []
+                around = [rng.choice(other) for _ in range(rng.randrange(12))]
                 cut = rng.randrange(len(around) + 1)
                 rows.append((around[:cut] + kept + around[cut:], family))
-    rows += [(words(t), UNKNOWN) for t in negatives]
-    every = sorted({x for t in TEMPLATES.values() for s in t for x in words(s)})
+    rows += [(words(t), UNKNOWN) for t in negatives for _ in range(3 if ANCHORS & set(words(t)) else 1)]
+    every = sorted({x for t in notices.values() for s in t for x in words(s)})
     for _ in range(120):  # licence words in no order, and other words among them
         rows.append(([rng.choice(every if rng.random() < 0.3 else other) for _ in range(rng.randrange(4, 20))], UNKNOWN))
     return rows
@@ -127,53 +142,61 @@ class Classifier:
     def __init__(self, negatives: list[str], seed: int = 3):
         negatives = [*NEGATIVES, *negatives]
         self.families = [*TEMPLATES, UNKNOWN]
-        train, held = _examples(negatives, seed), _examples(negatives, seed + 1)
-        in_templates: dict[str, int] = {}
-        for templates in TEMPLATES.values():
-            for t in templates:
-                for g in ngrams(words(t)):
-                    in_templates[g] = in_templates.get(g, 0) + 1
-        anchors = {w for t in TEMPLATES.values() for s in t for w in words(s) if any(stem in w for stem in STEMS if " " not in stem)}
-        anchors |= {"mit", "mpl", "lgpl", "attribution", "commons", "noncommercial", "sharealike", "reserved", "domain", "cc"}
-        self.vocabulary = sorted(g for g in in_templates if anchors & set(g.split()))
+        fit = {family: [s for notice in notices[:-1] for s in notice] for family, notices in NOTICES.items()}
+        held = {family: notices[-1] for family, notices in NOTICES.items()}
+        self.vocabulary = sorted({g for templates in TEMPLATES.values() for t in templates for g in ngrams(words(t)) if ANCHORS & set(g.split())})
         self.place = {g: k for k, g in enumerate(self.vocabulary)}
-        self.bias = [0.0] * len(self.families)
-        self.weights = [[0.0] * len(self.families) for _ in self.vocabulary]
-        self.temperature = 1.0
-        self._fit([(self._vector(w), self.families.index(f)) for w, f in train])
-        self._calibrate([(self._vector(w), self.families.index(f)) for w, f in held])
+        self._fit(_examples(fit, negatives[::2] + NEGATIVES, seed))
+        self.held = _examples(held, negatives[1::2], seed + 1)
+        self.found = [self.predict(" ".join(w))[0] for w, _ in self.held]  # what the fit says of notices it has not seen
+        self._calibrate([(self._vector(w), self.families.index(f)) for w, f in self.held])
+        temperature = self.temperature
+        self._fit(_examples(TEMPLATES, negatives, seed))  # the calibrated temperature, and all notices
+        self.temperature = temperature
+        assert self.bias[-1] == max(self.bias), "a paragraph without a feature must be unknown"
 
     def _vector(self, found: list[str]) -> list[int]:
-        return [self.place[g] for g in ngrams(found) if g in self.place]
+        return sorted(self.place[g] for g in ngrams(found) if g in self.place)
 
-    def _scores(self, x: list[int]) -> list[float]:
-        return [b + sum(self.weights[k][f] for k in x) for f, b in enumerate(self.bias)]
+    def scores(self, x: list[int]) -> list[float]:
+        """Weights are divided by the square root of their number, so that long and short notices speak as loud."""
+        size = math.sqrt(max(1, len(x)))
+        return [b + sum(self.weights[k][f] for k in x) / size for f, b in enumerate(self.bias)]
 
     def _probabilities(self, scores: list[float]) -> list[float]:
         top = max(scores)
         e = [math.exp((s - top) / self.temperature) for s in scores]
         return [v / sum(e) for v in e]
 
-    def _fit(self, rows: list[tuple[list[int], int]], rounds: int = 12, rate: float = 0.3, shrink: float = 1e-4) -> None:
-        rng = random.Random(0)
+    def predict(self, text: str) -> tuple[str, float]:
+        p = self._probabilities(self.scores(self._vector(words(text))))
+        return max(zip(p, self.families), key=lambda x: x[0])[::-1]
+
+    def _fit(self, examples: list[tuple[list[str], str]], rounds: int = 15, rate: float = 1.0, shrink: float = 1e-4) -> None:
+        rng, rows = random.Random(0), [(self._vector(w), self.families.index(f)) for w, f in examples]
+        self.weights = [[0.0] * len(self.families) for _ in self.vocabulary]
+        self.bias, self.temperature = [0.0] * (len(self.families) - 1) + [1.0], 1.0  # nothing known: unknown
         for r in range(rounds):
             rng.shuffle(rows)
-            step = rate / (1 + 0.1 * r)
+            step = rate / (1 + 0.2 * r)
             for x, y in rows:
-                for f, p in enumerate(self._probabilities(self._scores(x))):
+                size = math.sqrt(max(1, len(x)))
+                for f, p in enumerate(self._probabilities(self.scores(x))):
                     g = step * (p - (f == y))
-                    self.bias[f] -= g
-                    for k in x:
-                        self.weights[k][f] -= g + step * shrink * self.weights[k][f]
+                    if not x:
+                        self.bias[f] -= 0.1 * g
+                    elif abs(g) > 1e-4:
+                        for k in x:
+                            self.weights[k][f] -= g / size + step * shrink * self.weights[k][f]
 
     def _calibrate(self, rows: list[tuple[list[int], int]]) -> None:
-        scored = [(self._scores(x), y) for x, y in rows]
+        scored = [(self.scores(x), y) for x, y in rows]
 
         def loss(t: float) -> float:
             self.temperature = t
             return -sum(math.log(max(1e-12, self._probabilities(s)[y])) for s, y in scored)
 
-        self.temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
+        self.temperature = min((0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8), key=loss)
 
 
 def _tokens(paragraph: Column) -> Column:
@@ -189,54 +212,57 @@ def _ngrams(found: str) -> Column:
     return F.array_distinct(F.concat(*map(from_each, (1, 2, 3))))
 
 
-def _array(values: list[float]) -> str:
-    return f"array({', '.join(f'{v:.6f}D' for v in values)})"
-
-
-def _has_stem(lowered: Column) -> Column:
-    out = lowered.contains(STEMS[0])
-    for s in STEMS[1:]:
-        out = out | lowered.contains(s)
+def has_anchor(text: Column) -> Column:
+    """Whether a text may hold an anchor word: each of them holds one of these strings, the short ones only as words."""
+    lowered = F.lower(text)
+    out = lowered.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(a for a in ANCHORS if len(a) < 5))})(?![\p{{L}}\p{{N}}])")
+    for part in LONG_PARTS:
+        out = out | lowered.contains(part)
     return out
 
 
-def _paragraphs(docs: DataFrame) -> DataFrame:
-    """Those that hold a licence stem, as doc_id, paragraph (number of the line, from 0), body."""
-    some = docs.select("doc_id", "text").where(_has_stem(F.lower("text")))
-    lines = some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "body"))
-    return lines.where(_has_stem(F.lower("body")))
+#: Parts of the longer anchors; the shortest anchors of which the others are longer forms.
+LONG_PARTS = sorted(a for a in ANCHORS if len(a) >= 5 and not any(b != a and b in a for b in ANCHORS if len(b) >= 5))
 
 
-def _once(rows: DataFrame, columns: list[str], **found: Column) -> DataFrame:
-    """Add columns behind a generator, so that the optimizer does not copy their expressions to each of their uses."""
-    return rows.select(*columns, F.inline(F.array(F.struct(*(c.alias(name) for name, c in found.items())))))
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """Those that hold an anchor, as doc_id, at (unique by row and paragraph), paragraph (its number, from 0), found (words)."""
+    some = docs.select("doc_id", "text").where(has_anchor(F.col("text")))
+    parts = some.select("doc_id", F.posexplode(F.split("text", BREAK)).alias("paragraph", "body")).where(has_anchor(F.col("body")))
+    return parts.select("doc_id", "paragraph", _tokens(F.col("body")).alias("found")).withColumn("at", F.monotonically_increasing_id())
 
 
 def license_scan(docs: DataFrame, least: float = LEAST, overlap: float = OVERLAP, train_paragraphs: int = TRAIN_PARAGRAPHS) -> DataFrame:
     """(doc_id, text) -> doc_id, paragraph, family, probability, template_overlap: a row for each licence paragraph.
 
-    Paragraphs are the lines of a text, numbered from 0. Families whose
-    probability is below ``least``, or whose nearest template shares less than
-    ``overlap`` of its words with the paragraph, are unknown and give no row, as
-    do null and empty texts. Repeated rows are each scanned; other columns are
-    ignored; an empty table gives no rows.
+    Paragraphs are numbered from 0. Families whose probability is below ``least``,
+    or whose nearest template shares less than ``overlap`` of its pairs of words
+    with the paragraph, are unknown and give no row, as do null and empty texts.
+    The unknown class is also fitted on the first paragraphs of about
+    ``train_paragraphs`` documents, drawn by hash, that hold no anchor. Repeated
+    rows are each scanned; other columns are ignored; an empty table gives no rows.
     """
-    lines = drawn(docs, train_paragraphs, "doc_id").select(F.substring_index("text", "\n", 1).alias("line"))
-    unknown = lines.where((F.length("line") < 400) & ~_has_stem(F.lower("line"))).limit(4 * train_paragraphs).collect()
+    first = drawn(docs, train_paragraphs, "doc_id").select(F.substring_index("text", "\n", 1).alias("line"))
+    unknown = first.where((F.length("line") < 400) & ~has_anchor(F.col("line"))).distinct().collect()
     model = Classifier(sorted(r["line"] for r in unknown))
-    rows = _once(_paragraphs(docs), ["doc_id", "paragraph"], words=_tokens(F.col("body")))
-    table = F.expr(f"map({', '.join(f"'{g}', {_array(w)}" for g, w in zip(model.vocabulary, model.weights))})")
-    hits = F.filter(F.transform(_ngrams("words"), lambda g: table[g]), lambda w: w.isNotNull())
-    bias = F.expr(_array(model.bias))
-    scores = F.aggregate(hits, bias, lambda s, w: F.zip_with(s, w, lambda a, b: a + b))
-    rows = _once(rows, ["doc_id", "paragraph", "words"], scores=scores)
-    rows = _once(rows, ["doc_id", "paragraph", "words", "scores"], top=F.array_max("scores"))
+    spark = docs.sparkSession
+    held = durable(paragraphs(docs))
+    weights = spark.createDataFrame([(g, w) for g, w in zip(model.vocabulary, model.weights)], "gram string, weights array<double>")
+    templates = [(p, family, k, 1.0 / len(pairs(words(t)))) for family, ts in TEMPLATES.items() for k, t in enumerate(ts) for p in pairs(words(t))]
+    templates = spark.createDataFrame(templates, "gram string, family string, template int, share double")
+
+    grams = held.select("at", F.explode(_ngrams("found")).alias("gram")).where("gram is not null")
+    hits = grams.join(F.broadcast(weights), "gram")
+    sums = [F.sum(F.get("weights", F.lit(f))) for f in range(len(model.families))]
+    size = F.sqrt(F.count(F.lit(1)))
+    scored = hits.groupBy("at").agg(F.array(*(F.lit(b) + s / size for b, s in zip(model.bias, sums))).alias("scores"))
+    top = F.array_max("scores")
     total = F.aggregate("scores", F.lit(0.0), lambda s, v: s + F.exp((v - F.col("top")) / model.temperature))
     family = F.array(*map(F.lit, model.families))[(F.array_position("scores", F.col("top")) - 1).cast("int")]
-    rows = _once(rows, ["doc_id", "paragraph", "words"], family=family, probability=F.lit(1.0) / total)
-    shares = F.lit(None).cast("double")
-    for family, templates in TEMPLATES.items():
-        near = [F.size(F.array_intersect("words", F.split(F.lit(" ".join(sorted(set(words(t))))), " "))) / float(len(set(words(t)))) for t in templates]
-        shares = F.when(F.col("family") == family, F.greatest(*near)).otherwise(shares)
-    rows = rows.select("doc_id", "paragraph", "family", F.round("probability", 4).alias("probability"), F.round(shares, 4).alias("template_overlap"))
-    return rows.where((F.col("family") != UNKNOWN) & (F.col("probability") >= least) & (F.col("template_overlap") >= overlap))
+    named = scored.withColumn("top", top).select("at", family.alias("family"), (F.lit(1.0) / total).alias("probability"))
+    named = named.where((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
+    met = grams.join(F.broadcast(templates), "gram").join(named, ["at", "family"])
+    shares = met.groupBy("at", "family", "template").agg(F.sum("share").alias("share"), F.first("probability").alias("probability"))
+    nearest = shares.groupBy("at", "family").agg(F.max("share").alias("share"), F.first("probability").alias("probability")).where(F.col("share") >= overlap - 1e-9)
+    found = held.select("at", "doc_id", "paragraph").join(nearest, "at")
+    return found.select("doc_id", "paragraph", "family", F.round("probability", 4).alias("probability"), F.round("share", 4).alias("template_overlap"))

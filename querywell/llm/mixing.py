@@ -14,9 +14,9 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable
+from .common import WORD, durable, running
 
-WEIGHTS, MOST_REPEATS, RANGE_ROWS = (1, 2, 3), 3, 8192
+WEIGHTS, MOST_REPEATS, RANGE_ROWS = (1, 2, 3), 3, 2048
 
 
 def words(text: str = "text") -> Column:
@@ -31,32 +31,35 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     target = min(most * size, level * weight) for one level, found from the
     sources in order of most * size / weight: the first whose own level leaves it
     below its ceiling has it, and later ones only give lower levels.
+
+    Null is a source of its own, the last; null sizes count 0; repeated rows count
+    each; an empty table gives no rows. Sources may be as many as rows: their
+    places and sums are taken over ranges.
     """
-    sources = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
-    sources = sources.withColumn("weight", F.array(*map(F.lit, weights))[(place % len(weights)).cast("int")])
-    ceiling = F.col("source_size") * most
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    order = Window.orderBy(ceiling / F.col("weight"), F.asc_nulls_last("source")).rowsBetween(Window.unboundedPreceding, -1)
-    capped, used = (F.coalesce(F.sum(x).over(order), F.lit(0)) for x in (ceiling, F.col("weight")))
-    left = F.sum("source_size").over(every) - capped
-    level = left.cast("double") / (F.sum("weight").over(every) - used)
-    levelled = sources.withColumn("level", F.when(level * F.col("weight") <= ceiling, level))
-    levelled = levelled.withColumn("level", F.max("level").over(every))
-    target = F.least(ceiling.cast("double"), F.coalesce(F.col("level") * F.col("weight"), ceiling.cast("double")))
-    return levelled.select("source", "n", "source_size", target.alias("target"))
+    sources = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"))
+    placed = running(sources, [F.asc_nulls_last("source")], place=F.lit(1).cast("long"))
+    placed = placed.withColumn("weight", F.array(*map(F.lit, weights))[(F.col("place") % len(weights)).cast("int")]).withColumn("ceiling", F.col("source_size") * most)
+    whole = placed.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weights")).first()
+    if whole["weights"] is None:
+        return sources.select("source", "n", "source_size", F.lit(0.0).alias("target"))
+    stepped = durable(running(placed, [(F.col("ceiling") / F.col("weight")).asc(), F.asc_nulls_last("source")], capped=F.col("ceiling"), used=F.col("weight").cast("long")))
+    own = (F.lit(whole["words"]) - F.col("capped")).cast("double") / (F.lit(whole["weights"]) - F.col("used"))
+    level = stepped.agg(F.max(F.when(own * F.col("weight") <= F.col("ceiling"), own)).alias("level")).first()["level"]
+    ceiling = F.col("ceiling").cast("double")
+    target = ceiling if level is None else F.least(ceiling, F.lit(level) * F.col("weight"))
+    return stepped.select("source", "n", "source_size", target.alias("target"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(doc_id, text, source) -> doc_id, source, size, source_size, target, taken; one row per row.
 
-    size counts the words of the whole text (0 if null). Keys are md5 of doc_id,
-    ties go by doc_id and size, so reruns agree; rows equal in both share their
-    place in any order. A null source is a source of its own, the last; a null
-    doc_id has the key of the empty string. A source without words takes none.
-    Other columns are ignored; an empty table gives no rows.
+    size counts the words of the whole text (0 if null). Keys are md5 of doc_id
+    and text, so rows without or with the same id are spread as well; ties go by
+    doc_id and size, so reruns agree; rows equal in both share their place in any
+    order. A null source is a source of its own, the last. A source without words
+    takes none. Other columns are ignored; an empty table gives no rows.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.md5(F.concat_ws("\n", F.col("doc_id").cast("string"), "text"))
     rows = durable(docs.select("doc_id", "source", words().alias("size"), key.alias("key")))
     targets = durable(source_targets(rows.select("source", "size"), weights, most))
     largest = targets.agg(F.max("n")).first()[0] or 0
@@ -64,8 +67,10 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_
     part = F.floor(F.conv(F.substring("key", 1, 7), 16, 10).cast("long") / (1 << (28 - bits))).cast("int")
     ranged = rows.withColumn("part", part)
     sums = ranged.groupBy("source", "part").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
+    # A running sum over all ranges of all sources, less what stands before the source.
+    upto = durable(running(sums, [F.asc_nulls_last("source"), F.col("part").asc()], before=F.col("words")))
+    begins = upto.groupBy(F.col("source").alias("b")).agg(F.min("before").alias("begin"))
+    offsets = upto.join(begins, F.col("source").eqNullSafe(F.col("b"))).select(F.col("source").alias("s"), F.col("part").alias("p"), (F.col("before") - F.col("begin")).alias("offset"))
     offsets = offsets.join(targets.select(F.col("source").alias("t"), "source_size", "target"), F.col("s").eqNullSafe(F.col("t")))
     within = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = ranged.withColumn("upto", F.sum("size").over(within))
@@ -81,7 +86,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_
 MIX_SQL = r"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-    md5(coalesce(doc_id::varchar, '')) as key
+    md5(concat_ws(chr(10), doc_id::varchar, text)) as key
   from {docs}
 ), sources as (
   select source, sum(size)::bigint as source_size, 1 + (row_number() over (order by source nulls last) - 1) % 3 as weight

@@ -1,20 +1,26 @@
 """Personal data by weak supervision, in DataFrame and SQL functions only.
 
 Candidates of four kinds come from regexes: the strict patterns (base spans) and
-looser ones (digit groups that may be phone numbers without a plus sign, digit
-runs that may be cards, dotted quads, addresses written with "at" and "dot").
-Four labelers vote +1, -1 or 0 on every candidate:
-
-* regex: the strict rule holds (ranges, lengths, Luhn digit);
+looser ones (digit groups that may be phone numbers without a plus sign or with
+00, card numbers grouped by other marks, IPv6 and defanged addresses, e-mail
+addresses written with "at" and "dot"). Loose patterns run over the text with its
+base spans masked by as many characters, so both speak of the same positions and
+never overlap. Four labelers vote +1, -1 or 0 on every candidate:
+
+* regex: the strict rule holds (ranges, lengths, Luhn digit); of loose candidates
+  it says nothing but where a rule can be tried on them;
 * gazetteer: top-level domains, issuer prefixes, calling codes, address blocks;
-* context: words for the kind shortly before the candidate;
+* context: words for the kind shortly before or after the candidate;
 * shape: separators and grouping are those the kind is usually written with.
 
 The votes of all candidates of all documents are counted by pattern (at most
 81 patterns a kind); expectation-maximisation over those counts estimates how
 reliable each labeler is and how likely each pattern is to be personal data.
-A logistic span classifier is then fitted to these probabilities on features of
-the span, again over counts. Base spans always stay; the classifier adds others.
+A logistic span classifier is then trained to these probabilities on features
+that are no votes: the pattern that found the span, its number of digits, its
+separators, the word before it (hashed) and what follows it. So a span without a
+word of the context lists is found where its like elsewhere has them. Base spans
+always stay; the classifier adds others.
 
 The models are fitted on the driver over these few counts; all work on rows is
 native. Positions come from the gaps between matches: ``split`` and
@@ -28,7 +34,7 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, once
 
 KINDS = ("email", "ip", "card", "phone")
 #: The four base patterns. Possessive repeats and the look-arounds only keep the
@@ -41,11 +47,13 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+(?=[0-9](?:[\x20().-]*[0-9]){8})[0-9][\x20().0-9-]+[0-9]",
 }
-#: Looser candidates that only the classifier can accept.
-LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:\x20\(at\)\x20|\x20\[at\]\x20|\x20at\x20)[A-Za-z0-9-]{1,63}+(?:(?:\x20\(dot\)\x20|\x20\[dot\]\x20|\x20dot\x20)[A-Za-z0-9-]{1,63}+)++",
-    "phone": r"(?<![0-9+.-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])",
-}
+#: Looser candidates that only the classifier can accept: (kind, pattern, what a text must hold to match).
+LOOSE = [
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|(?<=\x20)at(?=\x20))\x20?[A-Za-z0-9-]{1,63}+(?:(?:\x20?(?:\(dot\)|\[dot\]|(?<=\x20)dot(?=\x20))\x20?|\.)[A-Za-z0-9-]{1,63}+)++", r"\x20at\x20|\(at\)|\[at\]"),
+    ("ip", r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){2,7}+(?::?[0-9A-Fa-f]{1,4})++(?![0-9A-Fa-f:])|(?<![0-9.])[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3}(?![0-9.])", r"[0-9A-Fa-f]:[0-9A-Fa-f:]|\[\.\]"),
+    ("card", r"(?<![0-9./_])[0-9]{4}([./_\u00A0])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9./_])", r"[0-9][./_\u00A0][0-9]"),
+    ("phone", r"(?<![0-9+.-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])|(?<![0-9+.-])00[1-9](?:[\x20().-]?[0-9]){7,13}+(?![0-9.-])", r"[0-9].[0-9]|00[1-9]"),
+]
 #: Gazetteers.
 DOMAINS = "com org net edu gov mil int info biz io de fr es it nl be at ch uk eu us ca au jp cn in br ru pl se no dk fi pt".split()
 CONTEXT = {
@@ -55,7 +63,10 @@ CONTEXT = {
     "phone": "phone tel telephone call mobile fax cell telefon telefono",
 }
 LABELERS = ("regex", "gazetteer", "context", "shape")
-CONTEXT_CHARS, ROUNDS, BLOCK = 32, 50, 256
+CONTEXT_CHARS, RIGHT_CHARS, ROUNDS, BLOCK, CHUNK = 32, 12, 50, 256, 2048
+#: Of the classifier: buckets of digits and of words, inputs, and steps of training.
+DIGITS, WORDS, TRAINING = 24, 31, 150
+INPUTS = 68 + DIGITS
 
 
 def _quad() -> str:
@@ -88,96 +99,178 @@ def strict(kind: str, surface: Column) -> Column:
     return surface.startswith("+") & n.between(9, 15)
 
 
-def _votes(kind: str, surface: Column, left: Column) -> dict[str, Column]:
+def _votes(kind: str, loose: bool, surface: Column, left: Column, right: Column) -> dict[str, Column]:
     yes, no, unsure = F.lit(1), F.lit(-1), F.lit(0)
-    digits, context = _digits(surface), left.rlike(rf"(?i)(?<![\p{{L}}])(?:{'|'.join(CONTEXT[kind].split())})(?![\p{{L}}])")
+    digits, around = _digits(surface), F.concat(left, F.lit(" "), F.left(right, F.lit(RIGHT_CHARS)))
+    context = around.rlike(rf"(?i)(?<![\p{{L}}])(?:{'|'.join(CONTEXT[kind].split())})(?![\p{{L}}])")
     against = "|".join(w for k in KINDS if k != kind for w in CONTEXT[k].split() if w not in CONTEXT[kind].split())
-    other = left.rlike(rf"(?i)(?<![\p{{L}}])(?:{against}|version|order|invoice|isbn|section)(?![\p{{L}}])")
-    votes = {"context": F.when(context, yes).when(other, no).otherwise(unsure), "regex": F.when(strict(kind, surface), yes).otherwise(no)}
+    other = around.rlike(rf"(?i)(?<![\p{{L}}])(?:{against}|version|order|invoice|isbn|section|serial|part)(?![\p{{L}}])")
+    votes = {"context": F.when(context, yes).when(other, no).otherwise(unsure)}
+    if not loose:
+        votes["regex"] = F.when(strict(kind, surface), yes).otherwise(no)
+    elif kind == "card":
+        votes["regex"] = F.when(luhn(digits), yes).otherwise(no)
+    elif kind == "ip":
+        votes["regex"] = F.when(surface.contains(":"), unsure).when(F.replace(F.replace(surface, F.lit("["), F.lit("")), F.lit("]"), F.lit("")).rlike(_quad()), yes).otherwise(no)
+    else:
+        votes["regex"] = unsure
     if kind == "email":
         top = F.lower(F.regexp_extract(surface, r"([A-Za-z0-9-]+)$", 1))
-        votes["gazetteer"] = F.when(top.isin(DOMAINS), yes).when(top.rlike("^[a-z]{2,}$"), unsure).otherwise(no)
-        votes["shape"] = F.when(surface.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}(?:@|\x20)"), yes).otherwise(no)
+        votes["gazetteer"] = F.when(top.isin(DOMAINS), yes).when(top.rlike("^[a-z]{2,}$"), no if loose else unsure).otherwise(no)
+        votes["shape"] = F.when(surface.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}(?:@|\x20?[(\[]at|\x20at\x20[^\x20]+(?:\x20dot\x20|\.)[a-z]+$)"), yes).otherwise(no)
     elif kind == "ip":
-        votes["gazetteer"] = F.when(surface.rlike(r"^(?:0|127|255)\."), no).when(strict(kind, surface), yes).otherwise(unsure)
-        votes["shape"] = F.when(surface.rlike(r"^(?:[1-9][0-9]{0,2}|0)(?:\.(?:[1-9][0-9]{0,2}|0)){3}$"), yes).otherwise(no)
+        votes["gazetteer"] = F.when(surface.rlike(r"^(?:0|127|255)\[?\."), no).when(surface.rlike(r"^(?:2[0-9A-Fa-f]{3}|[Ff][CcDdEe][0-9A-Fa-f]{2}):"), yes).when(F.lit(not loose) & strict(kind, surface), yes).otherwise(unsure)
+        votes["shape"] = F.when(surface.rlike(r"^(?:[1-9][0-9]{0,2}|0)(?:\[?\.\]?(?:[1-9][0-9]{0,2}|0)){3}$|^[0-9A-Fa-f:]*(?:::|(?::[0-9A-Fa-f]{1,4}){7})[0-9A-Fa-f:]*$"), yes).otherwise(no)
     elif kind == "card":
         votes["gazetteer"] = F.when(digits.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6)"), yes).otherwise(no)
-        votes["shape"] = F.when(surface.rlike(r"^(?:[0-9]{13,19}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})$"), yes).otherwise(no)
+        votes["shape"] = F.when(surface.rlike(r"^(?:[0-9]{13,19}|[0-9]{4}([\x20./_\u00A0-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})$"), yes).otherwise(no)
     else:
-        votes["gazetteer"] = F.when(surface.rlike(r"^\+(?:1|7|2[07]|3[0-469]|4[0134-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"), yes).otherwise(unsure)
-        votes["shape"] = F.when(surface.rlike(r"^\+?[0-9]{0,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,5}$"), yes).otherwise(no)
+        votes["gazetteer"] = F.when(surface.rlike(r"^(?:\+|00)(?:1|7|2[07]|3[0-469]|4[0134-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"), yes).otherwise(unsure)
+        votes["shape"] = F.when(surface.rlike(r"^\+?[0-9]{0,3}[\x20.-]?\([0-9]{2,4}\)[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,5}$|^(?:\+[0-9]{0,3}[\x20.-]?)?[0-9]{2,4}([\x20.-])[0-9]{3,4}\1[0-9]{3,5}$|^00"), yes).otherwise(no)
     return votes
 
 
-def _placed(matches: str, gaps: str) -> Column:
-    """array<struct<start, end, surface, gap>> of the matches and the gaps before them."""
-    pairs = F.filter(F.arrays_zip(F.col(matches).alias("m"), F.col(gaps).alias("g")), lambda x: x["m"].isNotNull())
-    # Positions add up in blocks, so that the work stays in proportion to the matches.
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(matches) - 1, F.lit(0)), F.lit(BLOCK)), lambda at: F.slice(pairs, at + 1, F.lit(BLOCK)))
-    span = "struct<start:bigint,end:bigint,surface:string,gap:string>"
-    zero, nothing, no_blocks = F.lit(0).cast("long"), F.from_json(F.lit("[]"), f"array<{span}>"), F.from_json(F.lit("[]"), f"array<array<{span}>>")
+def _separators(surface: Column) -> Column:
+    """0 none, 1 spaces, 2 dashes, 3 dots, 4 brackets, 5 others or several."""
+    held = F.array_sort(F.array_distinct(F.regexp_extract_all(F.regexp_replace(surface, r"[()\[\]]+", "("), F.lit(r"[^\p{L}\p{N}]"), F.lit(0))))
+    one = F.array_join(held, "")
+    return F.when(one == "", 0).when(one == " ", 1).when(one == "-", 2).when(one == ".", 3).when(one.contains("("), 4).otherwise(5)
+
+
+def _features(pattern: int, surface: Column, left: Column, right: Column) -> dict[str, Column]:
+    word = F.lower(F.regexp_extract(left, r"([\p{L}\p{N}]+)[^\p{L}\p{N}]{0,8}$", 1))
+    return {
+        "pattern": F.lit(pattern),
+        "digits": F.least(F.length(_digits(surface)), F.lit(DIGITS - 1)).cast("int"),
+        "separators": _separators(surface).cast("int"),
+        "before": F.when(word == "", WORDS).otherwise(F.pmod(F.xxhash64(word), F.lit(WORDS))).cast("int"),
+        "after": F.when(right == "", 0).when(right.rlike(r"^\s"), 1).when(right.rlike(r"^[\p{L}\p{N}]"), 2).otherwise(3).cast("int"),
+    }
 
-    def step(s: Column, x: Column) -> Column:
-        begin = s["end"] + F.length(x["g"])
-        end = begin + F.length(x["m"])
-        return F.struct(end.alias("end"), F.concat(s["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("surface"), F.right(x["g"], F.lit(CONTEXT_CHARS)).alias("gap")))).alias("out"))
+
+def _in_blocks(name: str, state: Column, of: str, step) -> Column:
+    """Fold a long array, a column by its name (an expression would be computed again for each block): step(state, item) -> state with ``end`` and ``out``; out is gathered a block at a time, so that
+    the work stays in proportion to the items. ``of`` is the type of an item of out."""
+    items = F.col(name)
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(BLOCK)), lambda at: F.slice(items, at + 1, F.lit(BLOCK)))
+    none, no_blocks = F.from_json(F.lit("[]"), f"array<{of}>"), F.from_json(F.lit("[]"), f"array<array<{of}>>")
 
     def block(done: Column, part: Column) -> Column:
-        begin = F.struct(done["end"].alias("end"), nothing.alias("out"))
+        begin = F.struct(done["end"].alias("end"), none.alias("out"))
         return F.aggregate(part, begin, step, lambda s: F.struct(s["end"].alias("end"), F.concat(done["out"], F.array(s["out"])).alias("out")))
 
-    found = F.aggregate(blocks, F.struct(zero.alias("end"), no_blocks.alias("out")), block, lambda s: F.flatten(s["out"]))
-    return F.when(F.size(matches) > 0, found).otherwise(nothing)
+    found = F.aggregate(blocks, F.struct(state.alias("end"), no_blocks.alias("out")), block, lambda s: F.flatten(s["out"]))
+    return F.when(F.size(items) > 0, found).otherwise(none)
 
 
-def _voting(kind: str):
-    return lambda x: _voted(kind, _votes(kind, x["surface"], x["gap"]), x)
+def _sides(matches: str, gaps: str) -> Column:
+    """array<struct<m, n, left, right>>: matches, the length of the gap before each and the near ends of the gaps around it."""
+    sides = F.filter(F.arrays_zip(F.col(matches).alias("m"), F.col(gaps).alias("g"), F.slice(gaps, 2, F.greatest(F.size(gaps), F.lit(1))).alias("h")), lambda x: x["m"].isNotNull())
+    return F.transform(sides, lambda x: F.struct(x["m"].alias("m"), F.length(x["g"]).alias("n"), F.right(x["g"], F.lit(CONTEXT_CHARS)).alias("left"), F.left(x["h"], F.lit(CONTEXT_CHARS)).alias("right")))
 
 
-def _of_kind(k: int):
-    return lambda x: x["kind"] == k
+def _placed(sides: str) -> Column:
+    """array<struct<start, end, surface, left, right>> of the matches."""
+    of = "struct<start:bigint,end:bigint,surface:string,left:string,right:string>"
+
+    def step(s: Column, x: Column) -> Column:
+        begin = s["end"] + x["n"]
+        end = begin + F.length(x["m"])
+        return F.struct(end.alias("end"), F.concat(s["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("surface"), x["left"].alias("left"), x["right"].alias("right")))).alias("out"))
+
+    return _in_blocks(sides, F.lit(0).cast("long"), of, step)
+
+
+def _covered(spans: str) -> Column:
+    """Sorted spans cut to what those before leave over: array<struct<start, end, kind, joined>>; joined if it follows one that it overlaps."""
+
+    def step(s: Column, x: Column) -> Column:
+        part = F.struct(F.greatest(x["start"], s["end"]).alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), (x["start"] < s["end"]).alias("joined"))
+        return F.when(x["end"] > s["end"], F.struct(x["end"].alias("end"), F.concat(s["out"], F.array(part)).alias("out"))).otherwise(s)
+
+    return _in_blocks(spans, F.lit(0).cast("long"), "struct<start:bigint,end:bigint,kind:int,joined:boolean>", step)
 
 
-def _voted(kind: str, votes: dict[str, Column], x: Column) -> Column:
-    return F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"), strict(kind, x["surface"]).alias("base"), *(votes[k].alias(k) for k in LABELERS), F.length(_digits(x["surface"])).alias("digits"), x["surface"].rlike(r"[\x20().-]").alias("split"))
+def _apart(spans: str, of: str) -> Column:
+    """Of sorted spans those that begin behind the last one taken."""
+    step = lambda s, x: F.when(x["start"] >= s["end"], F.struct(x["end"].alias("end"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s)
+    return _in_blocks(spans, F.lit(0).cast("long"), of, step)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """docs with __cands, all candidates of ``text``: array<struct<start, kind, end, base, votes, features>>, sorted.
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
 
-    Each step is a column of its own, so that no pattern runs twice on a text.
+
+def _rewritten(chunks: str, parts: str, fill) -> Column:
+    """A text with fill(part) in place of each of the covered parts, from chunks of it, so that no place is counted from the begin."""
+    held, spans = F.col(chunks), F.col(parts)
+
+    def piece(begin: Column, n: Column) -> Column:
+        first, last = F.floor(begin / CHUNK).cast("int"), F.floor((begin + n) / CHUNK).cast("int")
+        near = F.concat(F.coalesce(F.get(held, first), F.lit("")), F.coalesce(F.get(held, first + 1), F.lit("")))
+        some = F.when(last <= first + 1, near).otherwise(F.array_join(F.slice(held, first + 1, last - first + 1), ""))
+        return F.substring(some, (begin % CHUNK + 1).cast("int"), n.cast("int"))
+
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda x: x["end"]))
+    each = F.filter(F.arrays_zip(spans.alias("x"), begins.alias("b")), lambda z: z["x"].isNotNull())
+    pieces = F.transform(each, lambda z: F.concat(piece(z["b"], z["x"]["start"] - z["b"]), fill(z["x"])))
+    last = F.element_at(spans, -1)["end"]
+    rest = F.floor(last / CHUNK).cast("int")
+    tail = F.substring(F.array_join(F.slice(held, rest + 1, F.greatest(F.size(held) - rest, F.lit(0))), ""), (last % CHUNK + 1).cast("int"), F.lit(1 << 30))
+    return F.concat(F.array_join(pieces, ""), tail)
+
+
+def _voted(kind: str, loose: bool, pattern: int):
+    def of(x: Column) -> Column:
+        surface, left, right = x["surface"], x["left"], x["right"]
+        votes = _votes(kind, loose, surface, left, right)
+        base = F.lit(False) if loose else strict(kind, surface)
+        return F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"), base.alias("base"), *(votes[k].alias(k) for k in LABELERS), *(c.alias(n) for n, c in _features(pattern, surface, left, right).items()))
+
+    return of
+
+
+CANDIDATE = f"struct<start:bigint,kind:int,end:bigint,base:boolean,{','.join(f'{k}:int' for k in LABELERS)},pattern:int,digits:int,separators:int,before:int,after:int>"
+
+
+def _candidates(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """rows (text, ...) -> the columns of keep, base and loose: arrays of candidates, sorted; base ones pass the strict rule.
+
+    Each step is a column of its own behind a generator, so that no pattern runs twice on a text.
     """
-    text, none = F.coalesce(F.col("text"), F.lit("")), F.array().cast("array<string>")
-    digit = text.rlike("[0-9]")
-    patterns = [
-        ("email", BASE["email"], text.contains("@")),
-        ("ip", BASE["ip"], F.col("__digit") & text.rlike(r"[0-9]\.[0-9]")),
-        ("card", BASE["card"], F.col("__digit")),
-        ("phone", BASE["phone"], F.col("__digit") & text.contains("+")),
-        ("email", LOOSE["email"], text.rlike(r"\x20dot\x20|\(dot\)|\[dot\]")),
-        ("phone", LOOSE["phone"], F.col("__digit")),
-    ]
-    out = docs.withColumn("__digit", digit)
-    out = out.withColumns({f"__m{k}": F.when(possible, F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none) for k, (_, p, possible) in enumerate(patterns)})
-    out = out.withColumns({f"__g{k}": F.when(F.size(f"__m{k}") > 0, F.split(text, p, -1)).otherwise(none) for k, (_, p, _) in enumerate(patterns)})
-    out = out.withColumns({f"__p{k}": _placed(f"__m{k}", f"__g{k}") for k in range(len(patterns))})
-    voted = [F.transform(f"__p{k}", _voting(kind)) for k, (kind, _, _) in enumerate(patterns)]
-    out = out.withColumn("__cands", F.array_sort(F.concat(*voted)))
-    return out.drop("__digit", *(f"__{c}{k}" for c in "mgp" for k in range(len(patterns))))
+    text, digit, none = F.col("text"), F.col("text").rlike("[0-9]"), F.array().cast("array<string>")
+    possible = {"email": text.contains("@"), "ip": digit & text.rlike(r"[0-9]\.[0-9]"), "card": digit, "phone": digit & text.contains("+")}
+    names = [*keep, "text"]
+    rows = once(rows, names, **{f"m{k}": F.when(possible[kind], F.regexp_extract_all(text, F.lit(BASE[kind]), F.lit(0))).otherwise(none) for k, kind in enumerate(KINDS)})
+    rows = once(rows, [*names, *(f"m{k}" for k in range(4))], **{f"g{k}": F.when(F.size(f"m{k}") > 0, F.split(text, BASE[kind], -1)).otherwise(none) for k, kind in enumerate(KINDS)})
+    rows = once(rows, names, **{f"s{k}": _sides(f"m{k}", f"g{k}") for k in range(4)})
+    rows = once(rows, names, **{f"p{k}": _placed(f"s{k}") for k in range(4)})
+    every = F.array_sort(F.concat(*(F.transform(f"p{k}", _voted(kind, False, k)) for k, kind in enumerate(KINDS))))
+    rows = once(rows, names, tried=every)
+    rows = once(rows, [*names, "tried"], spans=F.filter("tried", lambda x: x["base"]))
+    rows = once(rows, [*names, "tried"], parts=_covered("spans"))
+    rows = once(rows, [*names, "tried", "parts"], chunks=F.when(F.size("parts") > 0, _chunks(text)))
+    mask = F.when(F.size("parts") > 0, _rewritten("chunks", "parts", lambda x: F.repeat(F.lit("\ufffc"), (x["end"] - x["start"]).cast("int")))).otherwise(text)
+    rows = once(rows, [*keep, "tried"], masked=mask)
+    masked = F.col("masked")
+    rows = once(rows, [*keep, "tried", "masked"], **{f"m{k}": F.when(masked.rlike(some), F.regexp_extract_all(masked, F.lit(pattern), F.lit(0))).otherwise(none) for k, (_, pattern, some) in enumerate(LOOSE)})
+    rows = once(rows, [*keep, "tried", *(f"m{k}" for k in range(len(LOOSE)))], **{f"g{k}": F.when(F.size(f"m{k}") > 0, F.split(masked, pattern, -1)).otherwise(none) for k, (_, pattern, _) in enumerate(LOOSE)})
+    rows = once(rows, [*keep, "tried"], **{f"s{k}": _sides(f"m{k}", f"g{k}") for k in range(len(LOOSE))})
+    rows = once(rows, [*keep, "tried"], **{f"p{k}": _placed(f"s{k}") for k in range(len(LOOSE))})
+    loose = F.array_sort(F.concat(F.filter("tried", lambda x: ~x["base"]), *(F.transform(f"p{k}", _voted(kind, True, 4 + k)) for k, (kind, _, _) in enumerate(LOOSE))))
+    return once(rows, keep, base=F.filter("tried", lambda x: x["base"]), loose=loose)
 
 
 class SpanModel:
     """Labeler reliabilities and the span classifier of each kind."""
 
     def __init__(self, counts: dict[int, dict[tuple, int]]):
-        """counts: of each kind, rows by (base, votes..., digit bin, split)."""
+        """counts: of each kind, candidates by their votes."""
         self.prior: dict[int, float] = {}
         self.reliability: dict[int, list[dict[int, tuple[float, float]]]] = {}
         self.weights: dict[int, list[float]] = {}
         for kind, rows in counts.items():
             self._estimate(kind, rows)
-            self._fit(kind, rows)
 
     def _estimate(self, kind: int, rows: dict[tuple, int]) -> None:
         """EM for independent labelers; each starts as right 9 times in 10."""
@@ -186,7 +279,7 @@ class SpanModel:
         for _ in range(ROUNDS):
             yes_n = no_n = 1.0
             sums = [{v: [0.1, 0.1] for v in (1, 0, -1)} for _ in LABELERS]
-            for (_, *votes, _, _), n in rows.items():
+            for votes, n in sorted(rows.items()):
                 p = self._posterior(prior, tables, votes)
                 yes_n, no_n = yes_n + n * p, no_n + n * (1 - p)
                 for s, v in zip(sums, votes):
@@ -211,63 +304,76 @@ class SpanModel:
         return 1 / (1 + exp(-max(-30.0, min(30.0, score))))
 
     @staticmethod
-    def features(base, regex, gazetteer, context, shape, digits, split) -> list[float]:
-        return [1.0, float(regex == 1), float(gazetteer == 1), float(gazetteer == -1), float(context == 1), float(context == -1), float(shape == 1), float(digits), float(split)]
-
-    def _fit(self, kind: int, rows: dict[tuple, int]) -> None:
-        total = sum(rows.values())
-        data = [(self.features(*key), self._posterior(self.prior[kind], self.reliability[kind], key[1:5]), n / total) for key, n in rows.items()]
-        w = [0.0] * 9
-        for _ in range(400):
-            grad = [1e-3 * x for x in w]
-            for x, y, n in data:
-                p = 1 / (1 + exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, x))))))
-                for k, v in enumerate(x):
-                    grad[k] += n * (p - y) * v
-            w = [a - 2.0 * g for a, g in zip(w, grad)]
-        self.weights[kind] = w
+    def features(key: tuple) -> list[int]:
+        """The places of the ones in a classifier's input: bias, pattern, digits, separators, word before, what follows."""
+        pattern, digits, separators, before, after = key
+        return [0, 1 + pattern, 16 + digits, 16 + DIGITS + separators, 32 + DIGITS + before, 64 + DIGITS + after]
+
+    def train(self, counts: dict[int, dict[tuple, tuple[int, float]]]) -> None:
+        """counts: of each kind and features, how many candidates and the sum of their probabilities."""
+        for kind, rows in counts.items():
+            data, w, square = [(self.features(key), n, p / n) for key, (n, p) in sorted(rows.items())], [0.0] * INPUTS, [1e-8] * INPUTS
+            total = sum(n for _, n, _ in data)
+            for _ in range(TRAINING):
+                grad = [1e-4 * v for v in w]
+                for x, n, y in data:
+                    g = n / total * (1 / (1 + exp(-max(-30.0, min(30.0, sum(w[k] for k in x))))) - y)
+                    for k in x:
+                        grad[k] += g
+                for k, g in enumerate(grad):
+                    if g:
+                        square[k] += g * g
+                        w[k] -= 0.5 * g / square[k] ** 0.5
+            self.weights[kind] = w
+
+    def probability(self, x: Column) -> Column:
+        """What expectation-maximisation says of a candidate's votes."""
+        out = F.lit(0.0)
+        for kind, prior in sorted(self.prior.items()):
+            score = F.lit(log(prior / (1 - prior)))
+            for labeler, table in zip(LABELERS, self.reliability[kind]):
+                ratio = {v: log(t[0] / t[1]) for v, t in table.items()}
+                score = score + F.when(x[labeler] == 1, ratio[1]).when(x[labeler] == 0, ratio[0]).otherwise(ratio[-1])
+            out = F.when(x["kind"] == kind, 1 / (1 + F.exp(-score))).otherwise(out)
+        return out
 
     def accepts(self, x: Column) -> Column:
-        """Base, or probability 0.5 or more."""
-        terms = [F.lit(1.0), x["regex"] == 1, x["gazetteer"] == 1, x["gazetteer"] == -1, x["context"] == 1, x["context"] == -1, x["shape"] == 1, _bin(x["digits"]), x["split"]]
+        """The classifier's probability is 0.5 or more."""
         score = F.lit(-1.0)
         for kind, w in sorted(self.weights.items()):
-            total = sum((t.cast("double") * F.lit(v) for t, v in zip(terms, w)), F.lit(0.0))
+            values = lambda a, b, w=w: F.array(*map(F.lit, w[a:b]))
+            total = F.lit(w[0]) + F.get(values(1, 16), x["pattern"]) + F.get(values(16, 16 + DIGITS), x["digits"]) + F.get(values(16 + DIGITS, 32 + DIGITS), x["separators"])
+            total = total + F.get(values(32 + DIGITS, 64 + DIGITS), x["before"]) + F.get(values(64 + DIGITS, INPUTS), x["after"])
             score = F.when(x["kind"] == kind, total).otherwise(score)
-        return x["base"] | (score >= 0)
-
-
-def _bin(digits: Column) -> Column:
-    """Whether the number of digits is usual for a phone number or card, as one flag."""
-    return digits.between(9, 16)
+        return score >= 0
 
 
 def fitted(found: DataFrame) -> SpanModel:
-    """(__cands) -> the models, from counts of all candidates of all documents."""
-    x = found.select(F.inline("__cands"))
-    keys = ["base", *LABELERS]
-    rows = x.groupBy("kind", *keys, _bin(F.col("digits")).alias("digits"), "split").count().collect()  # at most 4 x 2 x 81 x 4
+    """(base, loose) -> the models, from counts of all candidates of all documents; no candidate gives a model that adds none."""
+    x = found.select(F.inline(F.concat("base", "loose")))
+    features = ["pattern", "digits", "separators", "before", "after"]
     counts: dict[int, dict[tuple, int]] = {}
-    for r in rows:
-        counts.setdefault(r["kind"], {})[tuple(r[k] for k in (*keys, "digits", "split"))] = r["count"]
-    return SpanModel(counts)
-
-
-def accepted(found: DataFrame, model: SpanModel) -> DataFrame:
-    """found with __base and __spans: the base spans, and these with those that the classifier adds apart from them."""
-    found = found.withColumn("__base", F.filter("__cands", lambda x: x["base"]))
-    free = lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    found = found.withColumn("__extra", F.filter("__cands", lambda x: ~x["base"] & model.accepts(x) & free(x)))
-    empty = F.struct(F.lit(0).cast("long").alias("end"), F.filter("__extra", lambda x: F.lit(False)).alias("out"))
-    apart = F.aggregate(
-        "__extra", empty,
-        lambda s, x: F.when(x["start"] >= s["end"], F.struct(x["end"].alias("end"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s),
-        lambda s: s["out"],
-    )
-    return found.withColumn("__spans", F.array_sort(F.concat("__base", apart))).drop("__extra")
-
-
-def _joined(spans: Column) -> Column:
+    for r in x.groupBy("kind", *LABELERS).count().collect():  # at most 4 x 81
+        counts.setdefault(r["kind"], {})[tuple(r[k] for k in LABELERS)] = r["count"]
+    model = SpanModel(counts)
+    each: dict[int, dict[tuple, tuple[int, float]]] = {}
+    votes = x.select("kind", *features, model.probability({c: F.col(c) for c in ("kind", *LABELERS)}).alias("p"))
+    for r in votes.groupBy("kind", *features).agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("p")).collect():  # at most 8 x DIGITS x 6 x (WORDS + 1) x 4
+        each.setdefault(r["kind"], {})[tuple(r[k] for k in features)] = (r["n"], r["p"])
+    model.train(each)
+    return model
+
+
+def _accepted(found: DataFrame, model: SpanModel, keep: list[str]) -> DataFrame:
+    """(base, loose) -> base and spans: the base spans, and these with those that the classifier adds apart from each other."""
+    own = "base"
+    free = F.filter("loose", lambda x: model.accepts(x))
+    found = once(found, [*keep, own], free=free)
+    found = once(found, [*keep, own], extra=_apart("free", CANDIDATE))
+    return once(found, [*keep, own], spans=F.array_sort(F.concat(own, "extra")))
+
+
+def _joined(spans: str) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", names[x["kind"]], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
@@ -279,29 +385,36 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     kind:start:end in code points. Null and empty texts have none. Repeated rows
     each keep a row, other columns are ignored, an empty table gives no rows.
     """
-    found = durable(candidates(docs.select("doc_id", "text")).drop("text"))
-    found = accepted(found, fitted(found))
-    numbers = [F.size(F.filter("__base", _of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("doc_id", *numbers, F.sha2(_joined("__base"), 256).alias("base_sha256"), _joined("__spans").alias("spans"))
+    found = durable(_candidates(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["doc_id"]))
+    found = _accepted(found, fitted(found), ["doc_id"])
+    numbers = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select("doc_id", *numbers, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
+def _of_kind(k: int):
+    return lambda x: x["kind"] == k
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with all spans in ``text`` replaced by [EMAIL], [IP], [CARD] or [PHONE]; n_chars follows if present.
 
-    Overlapping spans give one mark, of the first. Other columns and null texts stay.
+    Overlapping spans give one mark, of the first. Other columns, whatever their
+    names, null and empty texts stay; repeated rows stay each; an empty table
+    stays empty. The texts are scanned twice, for the models and for the marks:
+    to keep them with their candidates in between would write the whole corpus.
     """
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    model = fitted(candidates(docs.select("text")))
-    found = accepted(candidates(docs), model)
-    begin = F.struct(F.lit(0).cast("long").alias("end"), F.lit("").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        before = F.substring(F.col("text"), (s["end"] + 1).cast("int"), (x["start"] - s["end"]).cast("int"))
-        return F.when(x["start"] >= s["end"], F.struct(x["end"].alias("end"), F.concat(s["out"], before, names[x["kind"]]).alias("out"))).otherwise(
-            F.struct(F.greatest(s["end"], x["end"]).alias("end"), s["out"].alias("out"))
-        )
-
-    clean = F.aggregate("__spans", begin, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["end"] + 1).cast("int"), F.length("text"))))
-    columns = {"text": F.when(F.col("text").isNotNull(), clean)}
-    out = found.select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    plain = F.coalesce("text", F.lit("")).alias("text")
+    model = fitted(_candidates(docs.select(plain), []))
+    own = [f"c{k}" for k in range(len(docs.columns))]  # the columns by place, so that no name of theirs can clash
+    at = dict(zip(docs.columns, own))
+    rows = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in at.items()), plain)
+    rows = _accepted(_candidates(rows, own), model, own)
+    rows = once(rows, own, parts=_covered("spans"))
+    rows = once(rows, [*own, "parts"], chunks=F.when(F.size("parts") > 0, _chunks(F.col(at["text"]))))
+    clean = F.when(F.size("parts") > 0, _rewritten("chunks", "parts", lambda x: F.when(x["joined"], "").otherwise(names[x["kind"]]))).otherwise(F.col(at["text"]))
+    rows = once(rows, own, clean=clean)
+    columns = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.length("clean").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(columns.get(c, F.col(k)).alias(c) for c, k in at.items()))

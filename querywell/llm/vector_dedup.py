@@ -4,7 +4,7 @@ Cosine >= t means that the normalised vectors lie within eps = sqrt(2 - 2t).
 Vectors are rotated onto their leading principal directions (distances only
 shrink), put into grid cells of width eps and sorted by label and cell, in the
 lexicographic order of the cells. The sorted sequence is cut into intervals of
-at most ``interval_rows`` vectors. Two intervals are joined only if their first
+about ``interval_rows`` vectors. Two intervals are joined only if their first
 cells and their bounds on all leading directions allow a distance of eps; within
 a pair, both sequences are halved again and again, provably distant halves are
 skipped, and small ones are compared exactly in double precision.
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import drawn, durable, min_labels
 from .components import connected_components
 
-COSINE, INTERVAL_ROWS, DIRECTIONS, SAMPLE = 0.93, 4096, 16, 4096
-LEAF, SLACK = 256, 1e-6
+COSINE, INTERVAL_ROWS, DIRECTIONS, SAMPLE = 0.93, 16_384, 16, 4096
+#: Rows that are packed into a run, at most; runs that follow each other share an interval.
+RUN_ROWS, LEAF, SLACK = 4096, 256, 1e-6
 
 
 def principal_directions(classes: DataFrame, directions: int = DIRECTIONS, sample: int = SAMPLE) -> dict[int, np.ndarray]:
@@ -115,8 +116,8 @@ class _PairJoin:
         return pd.DataFrame({"rep": ids[own], "root": ids[labels[own]], "links": links[own]})
 
 
-def _intervals(sorted_rows: DataFrame, bases: dict[int, np.ndarray], directions: int, interval_rows: int) -> DataFrame:
-    """The sorted sequence, packed: a row for each run of one label, at most interval_rows long."""
+def _intervals(sorted_rows: DataFrame, bases: dict[int, np.ndarray], directions: int, run_rows: int) -> DataFrame:
+    """The sorted sequence, packed: a row for each run of one label, at most run_rows long."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -125,7 +126,7 @@ def _intervals(sorted_rows: DataFrame, bases: dict[int, np.ndarray], directions:
         def flush():
             run = pd.concat(held, ignore_index=True)
             dim = int(run["dim"].iloc[0])
-            x = np.stack(run["embedding"].to_numpy()).astype(np.float32)
+            x = np.stack(run["embedding"].to_numpy())
             p = _unit(x.astype(np.float64)) @ _basis(bases, dim, directions)
             return pd.DataFrame({"label": [run["label"].iloc[0]], "dim": [dim], "seq": [seq], "n": [len(run)], "low": [p.min(0)], "high": [p.max(0)], "reps": [run["rep"].to_numpy("<i8").tobytes()], "counts": [run["n"].to_numpy("<i8").tobytes()], "vectors": [x.tobytes()]})
 
@@ -136,10 +137,10 @@ def _intervals(sorted_rows: DataFrame, bases: dict[int, np.ndarray], directions:
                 at = start
                 while at < end:
                     have = sum(map(len, held))
-                    if held and (have == interval_rows or (held[0]["label"].iloc[0], held[0]["dim"].iloc[0]) != (batch["label"].iloc[at], batch["dim"].iloc[at])):
+                    if held and (have == run_rows or (held[0]["label"].iloc[0], held[0]["dim"].iloc[0]) != (batch["label"].iloc[at], batch["dim"].iloc[at])):
                         yield flush()
                         held, have, seq = [], 0, seq + 1
-                    upto = min(end, at + interval_rows - have)
+                    upto = min(end, at + run_rows - have)
                     held.append(batch.iloc[at:upto])
                     at = upto
         if held:
@@ -150,7 +151,12 @@ def _intervals(sorted_rows: DataFrame, bases: dict[int, np.ndarray], directions:
 
 
 def linked_classes(classes: DataFrame, cosine: float = COSINE, interval_rows: int = INTERVAL_ROWS, directions: int = DIRECTIONS) -> DataFrame:
-    """Distinct vectors (label, rep, n, embedding) -> rep, root, links for those with links; several rows of a rep add up."""
+    """Distinct vectors (label, rep, n, embedding) -> rep, root, links for those with links; several rows of a rep add up.
+
+    No column may hold null, vectors must be finite and not zero (see
+    ``vector_groups``); vectors of different length are not compared; no rows
+    give no rows. Other columns are ignored.
+    """
     bases, eps = principal_directions(classes, directions), float(np.sqrt(2 - 2 * cosine))
     shared = classes.sparkSession.sparkContext.broadcast(bases)
 
@@ -166,11 +172,12 @@ def linked_classes(classes: DataFrame, cosine: float = COSINE, interval_rows: in
 
     placed = classes.select(F.col("label").cast("long").alias("label"), F.size("embedding").alias("dim"), "rep", "n", "embedding").withColumn("cell", cells("embedding"))
     order = ["label", "dim", "cell", "rep"]
-    partitions = max(1, ceil(classes.count() / interval_rows))
+    run_rows = min(RUN_ROWS, interval_rows)
+    partitions = max(1, ceil(classes.count() / run_rows))
     sequence = placed.repartitionByRange(partitions, *order).sortWithinPartitions(*order).drop("cell")
-    packed = durable(_intervals(sequence, bases, directions, interval_rows))
+    packed = durable(_intervals(sequence, bases, directions, run_rows))
 
-    # Short runs that follow each other share an interval, so that few partners read each vector.
+    # Runs that follow each other share an interval: a vector is sent once for each interval near its own, not for each run.
     before = Window.partitionBy("label", "dim").orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     runs = packed.select("label", "dim", "part", "seq", "low", "high", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / interval_rows).alias("interval"))
     runs = durable(runs)
@@ -190,11 +197,13 @@ def linked_classes(classes: DataFrame, cosine: float = COSINE, interval_rows: in
     members = needed.join(runs.select("label", "dim", "interval", "part", "seq"), ["label", "dim", "interval"])
     loads = members.join(packed.select("part", "seq", "reps", "counts", "vectors"), ["part", "seq"])
 
+    kind = np.dtype(np.float32 if classes.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64)
+
     def join(pair: pd.DataFrame) -> pd.DataFrame:
         dim = int(pair["dim"].iloc[0])
         sides = []
         for _, rows in pair.sort_values(["part", "seq"]).groupby("side"):
-            x = _unit(np.frombuffer(b"".join(rows["vectors"]), dtype=np.float32).reshape(-1, dim).astype(np.float64))
+            x = _unit(np.frombuffer(b"".join(rows["vectors"]), dtype=kind).reshape(-1, dim).astype(np.float64))
             sides.append((x, np.frombuffer(b"".join(rows["counts"]), dtype="<i8"), x @ _basis(shared.value, dim, directions), np.frombuffer(b"".join(rows["reps"]), dtype="<i8")))
         a, b = sides[0], sides[-1]
         return _PairJoin(a[0], b[0], a[1], b[1], a[2], b[2], cosine, len(sides) == 1).result(a[3], b[3])
@@ -211,7 +220,8 @@ def vector_groups(embeddings: DataFrame, cosine: float = COSINE, interval_rows:
     different length to each other. Rows that repeat a vector link with each
     other. Other columns are ignored; an empty table gives no rows.
     """
-    rows = embeddings.select("vec_id", "label", F.col("embedding").cast("array<float>").alias("embedding"))
+    exact = embeddings.schema["embedding"].dataType.elementType.typeName() == "float"
+    rows = embeddings.select("vec_id", "label", F.col("embedding").cast("array<float>" if exact else "array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
     valid = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     good, bad = rows.where(valid), rows.where(~valid)
