@@ -34,3 +34,9 @@ def sparse_dot(a: Column, b: Column) -> Column:
     """Of two maps from token to weight."""
     shared = F.array_intersect(F.map_keys(a), F.map_keys(b))
     return F.aggregate(F.transform(shared, lambda k: a[k].cast("double") * b[k].cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def unit(v: Column) -> Column:
+    """The vector over its length; a zero vector stays."""
+    n = F.sqrt(dot(v, v))
+    return F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))

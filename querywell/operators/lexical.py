@@ -1,13 +1,29 @@
-"""Lexical index and BM25 over batches of queries."""
+"""Lexical index and BM25 over batches of queries.
+
+Queries are the stated set: they go out in blocks. For each block the documents
+are read twice where they lie, once for the statistics of the block's terms and
+once for the scores; only k rows a query leave a task, so neither texts nor
+(query, document) pairs are ever shuffled.
+"""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
-K1, B, MOST_TERMS = 1.5, 0.75, 200_000
+K1, B = 1.5, 0.75
+#: Queries of a block, and cells of a block of scores.
+BLOCK, CELLS = 256, 1 << 22
+#: The rule of ``functions.text.tokens`` on lower-case texts.
+_TOKEN = re.compile("[a-z0-9_A-Z]{2,}|[一-鿿]+")
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -28,30 +44,140 @@ def term_stats(docs: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 
+class Block:
+    """Queries and the places of their terms: ``asked`` is terms x queries, how often a query names a term."""
+
+    def __init__(self, queries: list[tuple[int, str]]):
+        self.ids = np.array([q for q, _ in queries], dtype=np.int64)
+        found = [Counter(_TOKEN.findall((t or "").lower())) for _, t in queries]
+        self.place = {t: k for k, t in enumerate(sorted({t for c in found for t in c}))}
+        self.asked = np.zeros((len(self.place), len(queries)))
+        for j, c in enumerate(found):
+            for t, n in c.items():
+                self.asked[self.place[t], j] = n
+
+    def counted(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts: document and term of each posting with a term of the block, its count, and the documents' lengths."""
+        place, docs, terms, lengths = self.place, [], [], []
+        for k, text in enumerate(texts):
+            found = _TOKEN.findall((text or "").lower())
+            lengths.append(len(found))
+            known = [place[t] for t in found if t in place]
+            terms += known
+            docs += [k] * len(known)
+        keys, n = np.unique(np.array(docs, dtype=np.int64) * max(1, len(place)) + np.array(terms, dtype=np.int64), return_counts=True)
+        return keys // max(1, len(place)), keys % max(1, len(place)), n, np.array(lengths, dtype=np.int64)
+
+
+def _blocks(queries: DataFrame) -> Iterator[Block]:
+    n = -(-queries.count() // BLOCK)
+    for k in range(n):
+        part = queries if n == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == k)
+        yield Block([tuple(r) for r in part.select("qid", "query").collect()])
+
+
+def _statistics(texts: DataFrame, shared) -> tuple[int, float, np.ndarray]:
+    """Documents, their mean length, and of each term of the block how many hold it."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, words, held = 0, 0, np.zeros(len(shared.value.place), dtype=np.int64)
+        for batch in batches:
+            _, terms, _, lengths = shared.value.counted(batch["text"].tolist())
+            n, words = n + len(lengths), words + int(lengths.sum())
+            held += np.bincount(terms, minlength=len(held))
+        at = np.flatnonzero(held)
+        yield pd.DataFrame({"term": np.r_[-2, -1, at], "n": np.r_[n, words, held[at]]})
+
+    rows = {r["term"]: r["n"] for r in texts.select("text").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # the block's terms
+    n = rows.get(-2, 0)
+    return n, rows.get(-1, 0) / max(1, n), np.array([rows.get(k, 0) for k in range(len(shared.value.place))], dtype=np.float64)
+
+
+def scored_topk(docs: DataFrame, queries: DataFrame, k: int, weigh: Callable, tie_as_text: bool = False, with_statistics: bool = True) -> DataFrame:
+    """docs (doc_id, text, keep) and queries (qid, query) -> qid, doc_id, score, rank: positive scores only, ties by doc_id.
+
+    A score is the sum over shared terms of how often the query names the term
+    times weigh(n, df, avgdl)(count, term, length of the document).
+    """
+    parts, context = [], docs.sparkSession.sparkContext
+    for block in _blocks(queries):
+        shared = context.broadcast(block)
+        weight = weigh(*_statistics(docs, shared)) if with_statistics else weigh(0, 0.0, np.zeros(0))
+
+        def score(batches: Iterator[pd.DataFrame], shared=shared, weight=weight) -> Iterator[pd.DataFrame]:
+            own, step = shared.value, max(1, CELLS // max(1, len(shared.value.place), len(shared.value.ids)))
+            best = pd.DataFrame({"q": np.empty(0, np.int64), "doc_id": np.empty(0, np.int64), "score": np.empty(0)})
+            for batch in batches:
+                for at in range(0, len(batch), step):
+                    rows = batch.iloc[at : at + step]
+                    doc, term, n, lengths = own.counted(rows["text"].tolist())
+                    matrix = np.zeros((len(rows), len(own.place)))
+                    matrix[doc, term] = weight(n, term, lengths[doc])
+                    scores = np.round(matrix @ own.asked, 6)
+                    least = -np.partition(-scores, k - 1, axis=0)[k - 1] if len(rows) > k else np.zeros(scores.shape[1])
+                    d, q = np.nonzero((scores > 0) & (scores >= least))
+                    found = pd.DataFrame({"q": q, "doc_id": rows["doc_id"].to_numpy()[d], "score": scores[d, q]})
+                    best = pd.concat([best, found], ignore_index=True)
+                best = best.assign(tie=best["doc_id"].astype(str) if tie_as_text else best["doc_id"]).sort_values(["q", "score", "tie"], ascending=[True, False, True]).drop(columns="tie").groupby("q", sort=False).head(k)
+            yield pd.DataFrame({"qid": own.ids[best["q"].to_numpy(dtype=np.int64)], "doc_id": best["doc_id"].to_numpy(dtype=np.int64), "score": best["score"].to_numpy()})
+
+        parts.append(docs.where("keep and doc_id is not null").select("doc_id", "text").mapInPandas(score, "qid long, doc_id long, score double"))
+    if not parts:
+        return queries.select(F.col("qid").cast("long"), F.lit(0).cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.col("doc_id").cast("string") if tie_as_text else F.col("doc_id"))
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, keep: Column | None = None) -> DataFrame:
     """docs (doc_id, text, ...) and queries (qid, query) -> qid, doc_id, score, rank.
 
     A filter drops documents but not their part in the statistics. Repeated terms
     of a query count repeatedly; only positive scores survive; ties by doc_id.
-
-    Token lists are dealt out by document once; counting terms, meeting the
-    queries' weights and adding up scores then stay in the document's partition,
-    so the many (query, document) pairs are never shuffled before the top k. The
-    weights are broadcast if the queries have at most ``MOST_TERMS`` terms in all;
-    beyond that Spark joins them by term.
     """
-    wanted = queries.select("qid", F.explode(tokens("query")).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qf"))
     marked = docs.select("doc_id", "text", (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("keep"))
-    split = marked.select("doc_id", "keep", tokens(F.coalesce(F.col("text"), F.lit(""))).alias("t")).repartition("doc_id")
-    corpus = split.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    df = split.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = wanted.join(df, "term").crossJoin(F.broadcast(corpus)).select("qid", "term", "qf", idf.alias("idf"), "avgdl")
-    if wanted.count() <= MOST_TERMS:
-        weights = F.broadcast(weights)
-    each = split.where("keep").select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    tf = each.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    term = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    total = tf.join(weights, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(term), 6).alias("score")).where("score > 0")
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
-    return total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    def weigh(n: int, avgdl: float, df: np.ndarray) -> Callable:
+        idf, mean = np.log((n - df + 0.5) / (df + 0.5) + 1), max(avgdl, 1e-9)
+        return lambda tf, term, dl: idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+
+    return scored_topk(marked, queries, k, weigh)
+
+
+def sparse_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Inner product of term counts; ties by the id as a string."""
+    marked = docs.select("doc_id", "text", F.lit(True).alias("keep"))
+    return scored_topk(marked, queries, k, lambda n, avgdl, df: lambda tf, term, dl: tf.astype(float), tie_as_text=True, with_statistics=False)
+
+
+def holders(docs: DataFrame, passages: DataFrame, block_chars: int = 32_000_000) -> DataFrame:
+    """docs (doc_id, text) and passages (qid, passage) -> qid, doc_id: documents that hold a passage as it is.
+
+    Passages go out in blocks as one automaton each, with which a text is read once.
+    """
+    known = passages.where(F.length("passage") > 0).select("qid", "passage")
+    n = -(-(known.agg(F.sum(F.length("passage"))).first()[0] or 0) // block_chars)
+    found = None
+    for block in range(n):
+        part = known if n == 1 else known.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == block)
+        ids: dict[str, list[int]] = {}
+        for r in part.collect():
+            ids.setdefault(r["passage"], []).append(r["qid"])
+        shared = docs.sparkSession.sparkContext.broadcast(ids)
+
+        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for passage, qids in shared.value.items():
+                automaton.add_word(passage, qids)
+            automaton.make_automaton()
+            for batch in batches:
+                hits = [(q, d) for d, text in zip(batch["doc_id"], batch["text"]) if text for q in {q for _, qids in automaton.iter(text) for q in qids}]
+                yield pd.DataFrame(hits, columns=["qid", "doc_id"], dtype="int64")
+
+        each = docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(search, "qid long, doc_id long")
+        found = each if found is None else found.unionByName(each)
+    return found if found is not None else known.selectExpr("cast(qid as long) qid", "0L doc_id").limit(0)

@@ -189,9 +189,22 @@ def per_doc_select(df: DataFrame, group: str, score: str, tie: str, least: float
 
 def hard_negatives(docs: DataFrame, positives: DataFrame, n: int, seed: str = "seed") -> DataFrame:
     """positives (qid, doc_id) -> for each query n other documents: those relevant to other queries first, then by sha256 of seed, query and id."""
-    queries = positives.select("qid").distinct()
-    other = docs.select("doc_id").join(positives.select("doc_id").distinct().withColumn("judged", F.lit(0)), "doc_id", "left").select("doc_id", F.coalesce("judged", F.lit(1)).alias("judged"))
-    rows = other.crossJoin(F.broadcast(queries)).join(positives, ["qid", "doc_id"], "left_anti")
+    judged = positives.select("doc_id").distinct()
+    # Documents that nobody judged are only tried for queries that the judged ones of others can't fill.
+    own = positives.distinct().groupBy("qid").agg(F.count(F.lit(1)).alias("own"))
+    short = own.where(F.lit(judged.count()) - F.col("own") < n).select("qid")
+    pools = [(judged, own.select("qid"), 0)]
+    if short.limit(1).count():
+        pools.append((docs.select("doc_id").join(judged, "doc_id", "left_anti"), short, 1))
+    drawn = None
+    for pool, queries, rank in pools:
+        blocks = -(-queries.count() // BLOCK)
+        for k in range(blocks):
+            part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k)
+            block = part.agg(F.collect_list("qid").alias("qids"))
+            some = pool.crossJoin(F.broadcast(block)).select(F.explode("qids").alias("qid"), "doc_id", F.lit(rank).alias("judged"))
+            drawn = some if drawn is None else drawn.unionByName(some)
+    rows = drawn.join(positives, ["qid", "doc_id"], "left_anti")
     order = Window.partitionBy("qid").orderBy("judged", F.sha2(F.concat_ws(":", F.lit(seed), F.col("qid").cast("string"), F.col("doc_id").cast("string")), 256))
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 

@@ -91,15 +91,11 @@ def bm25_doc_lengths(t):
 q as (select item_id as qid, term, count(*) as qf from (select item_id, unnest({TOKENS}) as term from benchmark) group by all)
 select qid, doc_id, sum(tf * qf)::double as score, row_number() over (partition by qid order by sum(tf * qf) desc, doc_id::varchar)::int as rank from d join q using (term) group by qid, doc_id qualify rank <= 10""")
 def sparse_dot_topk(t):
-    docs = lexical.postings(t("documents")).select("doc_id", "term", "tf")
-    asked = lexical.postings(t("benchmark"), key="item_id").select(F.col("doc_id").alias("qid"), "term", F.col("tf").alias("qf"))
-    scored = docs.join(asked, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("tf") * F.col("qf")).cast("double").alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.col("doc_id").cast("string"))
-    return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
+    return lexical.sparse_topk(t("documents"), passages(t))
 
 
-# Dense search: the query set is every vector whose id is divisible by 50.
-DENSE = """with q as (select vec_id as qid, embedding as e from embeddings where vec_id % 50 = 0),
+# Dense search: the query set is every vector whose id is divisible by 20.
+DENSE = """with q as (select vec_id as qid, embedding as e from embeddings where vec_id % 20 = 0),
 s as (select qid, vec_id as id, round({score}, 6) as score from embeddings, q {where})
 select qid, id, score, row_number() over (partition by qid order by score desc, id::varchar)::int as rank from s qualify rank <= 10"""
 IP = "list_dot_product(embedding::double[], e::double[])"
@@ -107,7 +103,7 @@ IP = "list_dot_product(embedding::double[], e::double[])"
 
 def _vectors(t):
     e = t("embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label"), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
 
 
 @query(DENSE.format(score=IP, where=""))
@@ -132,14 +128,17 @@ def mmr_rerank(t):
     return ranking.mmr(pool, asked, 10)
 
 
-@query("""with m as (select label, list(embedding::double[] order by vec_id) as v from (select * from embeddings where label is not null qualify row_number() over (partition by label order by vec_id) <= 8) group by label),
-c as (select a.label as a, b.label as b, unnest(a.v) as q, b.v as d from m a, m b)
+# A label's vectors as a token matrix; at most 64 tokens of a query and 512 of a document count.
+@query("""with n as (select *, row_number() over (partition by label order by vec_id) as n from embeddings where label is not null),
+m as (select label, list(embedding::double[] order by vec_id) filter (n <= 64) as v, list(embedding::double[] order by vec_id) as w from n where n <= 512 group by label),
+c as (select a.label as a, b.label as b, unnest(a.v) as q, b.w as d from m a, m b)
 select a, b, round(avg(list_max(list_transform(d, lambda x: list_dot_product(q, x) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(x, x)))))), 6) as score from c group by a, b""")
 def maxsim(t):
-    first = t("embeddings").where("label is not null").withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("n <= 8")
-    matrix = first.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: vectors.doubles(x["embedding"])).alias("v"))
-    pairs = matrix.select(F.col("label").alias("a"), F.col("v").alias("va")).crossJoin(F.broadcast(matrix.select(F.col("label").alias("b"), F.col("v").alias("vb"))))
-    return pairs.select("a", "b", F.round(vectors.maxsim(F.col("va"), F.col("vb")), DECIMALS).alias("score"))
+    first = t("embeddings").where("label is not null").withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("n <= 512")
+    tokens = first.select("label", "n", vectors.unit(vectors.doubles(F.col("embedding"))).alias("v"))
+    best = tokens.where("n <= 64").select(F.col("label").alias("a"), "n", F.col("v").alias("q")).join(tokens.select(F.col("label").alias("b"), F.col("v").alias("d")))
+    most = best.groupBy("a", "b", "n").agg(F.max(vectors.dot(F.col("q"), F.col("d"))).alias("most"))
+    return most.groupBy("a", "b").agg(F.round(F.avg("most"), DECIMALS).alias("score"))
 
 
 # Fusion: lexical and shared-word channels over the same passages, and a graph channel for some.
@@ -313,7 +312,7 @@ QRELS = "qrels as (select item_id as qid, d.doc_id, 1 + coalesce(l.quality, 0) a
 
 def _qrels(t):
     asked = t("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
-    held = t("documents").select("doc_id", "text").crossJoin(F.broadcast(asked)).where(F.col("text").contains(F.col("passage"))).select("qid", "doc_id")
+    held = lexical.holders(t("documents"), asked)
     return held.join(t("labels").select("doc_id", "quality"), "doc_id", "left").select("qid", "doc_id", (1 + F.coalesce("quality", F.lit(0))).alias("grade"))
 
 
@@ -506,9 +505,11 @@ def recursive_window_chunks(t):
     return chunking.window_chunks(t("documents")).select("doc_id", "parent_id", "place", F.sha1("chunk").alias("chunk"))
 
 
-@query(r"select doc_id, len(list_filter(regexp_split_to_array(split_part(text, chr(10), 1), '\||\t| {2,}'), lambda c: trim(c) <> '')) >= 2 as is_row from documents")
+@query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as place from documents)
+select doc_id, place::int as place, len(list_filter(regexp_split_to_array(line, '\||\t| {2,}'), lambda c: trim(c) <> '')) >= 2 as is_row from l""")
 def table_rows(t):
-    return t("documents").select("doc_id", chunking.table_row(F.substring_index("text", "\n", 1)).alias("is_row"))
+    lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    return lines.select("doc_id", "place", chunking.table_row(F.col("line")).alias("is_row"))
 
 
 @query("select doc_id, md5('【source】' || source || ' | 【lang】' || lang || chr(10) || chr(10) || text) as indexed from documents")

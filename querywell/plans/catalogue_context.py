@@ -71,13 +71,13 @@ def title_merge(t):
     return chunking.merged_by_title(rows.select("doc_id", "place", F.concat(mark, F.trim("raw")).alias("line")))
 
 
-@query("""with t as (select label as doc, vec_id * 10 as "begin", vec_id * 10 + 8 as "end", embedding as vec from embeddings where label is not null and vec_id > 0), s as (select distinct doc, g as span, g * 100 as "begin", g * 100 + 50 as "end" from t, range(0, 20) r(g)),
+@query("""with t as (select label as doc, vec_id * 10 as "begin", vec_id * 10 + 8 as "end", embedding as vec from embeddings where label is not null and vec_id > 0), s as (select doc, g as span, g * 100 as "begin", g * 100 + 50 as "end" from (select doc, unnest(range(0, max("end") // 100 + 1)) as g from t group by doc)),
 o as (select s.doc, s.span, (t."begin" < s."end" and t."end" > s."begin") as over, unnest(vec)::double as x, generate_subscripts(vec, 1) as i from s join t using (doc)),
 m as (select doc, span, i, coalesce(avg(x) filter (over), avg(x)) as x from o group by all) select doc, span, round(sum(x * i), 6) as weighted from m group by all""")
 def mean_pool(t):
     n = F.col("vec_id")
     tokens = t("embeddings").where("label is not null and vec_id > 0").select(F.col("label").alias("doc"), (n * 10).alias("begin"), (n * 10 + 8).alias("end"), F.col("embedding").alias("vec"))
-    spans = tokens.select("doc").distinct().select("doc", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("span"))
+    spans = tokens.groupBy("doc").agg(F.max("end").alias("most")).select("doc", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("most") / 100))).alias("span"))
     spans = spans.select("doc", "span", (F.col("span") * 100).alias("begin"), (F.col("span") * 100 + 50).alias("end"))
     weights = F.transform("vec", lambda _, i: (i + 1).cast("double"))
     return chunking.pooled(tokens, spans).select("doc", "span", F.round(vectors.dot(F.col("vec"), weights), DECIMALS).alias("weighted"))

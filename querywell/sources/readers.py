@@ -45,7 +45,7 @@ def html_sections(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     return rows.select(key, "place", text.alias("section")).where(F.length("section") >= 4)
 
 
-def write_by_source(chunks: DataFrame, path: str, mode: str = "append") -> None:
-    """Rows capped as the store caps them, in one folder a source."""
-    capped = chunks.withColumn("text", F.substring("text", 1, 4000))
-    capped.write.mode(mode).partitionBy("source").parquet(path)
+def write_by_source(chunks: DataFrame, path: str, mode: str = "append", most_chars: int | None = None) -> None:
+    """In one folder a source; texts whole, or cut to ``most_chars`` for a store that takes no more."""
+    rows = chunks if most_chars is None else chunks.withColumn("text", F.substring("text", 1, most_chars))
+    rows.write.mode(mode).partitionBy("source").parquet(path)

@@ -59,20 +59,51 @@ def circuit_breaker(calls: DataFrame, threshold: int = 5, successes: int = 2, wa
     return calls.groupBy("service").applyInPandasWithState(step, "service string, at double, before string, after string", "mode string, failures long, good long, opened double", "append", GroupStateTimeout.NoTimeout)
 
 
-def upserted(rows: DataFrame, path: str, key: str = "id", order: str = "at"):
-    """A sink that keeps the last row of each key: each batch writes a new version, then moves the pointer table to it."""
+def upserted(rows: DataFrame, path: str, key: str = "id", order: str = "at", parts: int = 64):
+    """A sink that keeps the last row of each key, in ``parts`` parts by hash of the key.
+
+    A batch writes new versions of the parts that it touches, each under a name of
+    its own attempt, and then adds them to the pointer table. A batch that the
+    pointer already holds is skipped, so a replay changes nothing; an attempt that
+    fails before the pointer leaves only files that nobody reads.
+    """
+    import uuid
+
     from ..operators.generations import latest
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        try:
-            before = spark.read.parquet(f"{path}/pointer").orderBy(F.desc("version")).first()["version"]
-            every = spark.read.parquet(f"{path}/version={before}").unionByName(batch)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-                raise
-            every = batch
-        latest(every, key, order).write.mode("overwrite").parquet(f"{path}/version={n}")
-        spark.createDataFrame([(n,)], "version long").write.mode("append").parquet(f"{path}/pointer")
+        pointer = current_parts(spark, path)
+        if any(r["batch"] >= n for r in pointer):
+            return
+        own = batch.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)))
+        touched = [r["part"] for r in own.select("part").distinct().collect()]  # at most ``parts``
+        folders = [r["folder"] for r in pointer if r["part"] in touched]
+        every = own
+        if folders:
+            every = every.unionByName(spark.read.parquet(*folders).withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts))))
+        attempt = f"{path}/batch={n}-{uuid.uuid4().hex}"
+        latest(every, key, order).write.partitionBy("part").parquet(attempt)
+        moved = [(n, p, f"{attempt}/part={p}") for p in touched]
+        if moved:
+            spark.createDataFrame(moved, "batch long, part long, folder string").coalesce(1).write.mode("append").parquet(f"{path}/pointer")
 
     return rows.writeStream.foreachBatch(write)
+
+
+def current_parts(spark, path: str) -> list:
+    """The newest (batch, part, folder) of each part of an upserted table; none before the first batch."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        pointer = spark.read.schema("batch long, part long, folder string").parquet(f"{path}/pointer")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return pointer.groupBy("part").agg(F.max_by(F.struct("batch", "folder"), "batch").alias("x")).select("x.batch", "part", "x.folder").collect()
+
+
+def upserted_rows(spark, path: str) -> DataFrame:
+    """What an upserted table holds now."""
+    return spark.read.parquet(*(r["folder"] for r in current_parts(spark, path)))
