@@ -93,3 +93,11 @@ def keyword_seeds(entities: DataFrame, queries: DataFrame) -> DataFrame:
     """entities (id, name) and queries (qid, query) -> qid, id: entities whose name is a token of the query."""
     asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("name")).where(F.length("name") > 1)
     return asked.join(entities.select("id", F.lower("name").alias("name")), "name").select("qid", "id")
+
+
+def resolved_relations(said: DataFrame, entities: DataFrame, kind: str) -> DataFrame:
+    """said (chunk, a, b) and entities (chunk, name) -> id, a, b: relations whose ends are both entities of their chunk, once each."""
+    ends = lambda c: entities.select(F.col("chunk"), F.col("name").alias(c))
+    known = said.join(ends("a"), ["chunk", "a"], "left_semi").join(ends("b"), ["chunk", "b"], "left_semi")
+    key = F.substring(F.sha1(F.concat_ws("::", F.col("a").cast("string"), F.lit(kind), F.col("b").cast("string"))), 1, 16)
+    return known.select(key.alias("id"), "a", "b").distinct()
