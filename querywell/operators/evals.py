@@ -155,3 +155,42 @@ def order_pairs(runs: DataFrame, by: str, order: str, metric: str, limit: float
     mean = lambda o: F.avg(F.when(F.col(order) == o, F.col(metric)))
     both = runs.groupBy(by).agg(mean("AB").alias("ab"), mean("BA").alias("ba"))
     return both.select(by, F.round(F.col("ab") - F.col("ba"), 6).alias("delta"), F.coalesce(F.abs(F.col("ab") - F.col("ba")) <= limit, F.lit(False)).alias("independent"))
+
+
+def unavailable(rows: DataFrame, status: str) -> DataFrame:
+    """(status map) -> channel, n: how often a channel was asked and gave nothing."""
+    each = rows.select(F.explode(status).alias("channel", "state")).where("state = 'unavailable_or_no_match'")
+    return each.groupBy("channel").agg(F.count(F.lit(1)).alias("n"))
+
+
+def channel_status(asked: Column, gave: Column) -> Column:
+    return F.when(~asked, "disabled").when(gave, "contributed").otherwise("unavailable_or_no_match")
+
+
+def balanced_schedule(variants: DataFrame, name: str) -> DataFrame:
+    """A configuration's few variants -> round, position, name: cyclic rotations, so that each stands once in every position."""
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    placed = variants.select(name, (F.row_number().over(Window.orderBy(name)) - 1).alias("k"), n.alias("n"))
+    rounds = placed.select(name, "k", "n", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("round"))
+    return rounds.select("round", F.pmod(F.col("k") - F.col("round"), F.col("n")).cast("int").alias("position"), name)
+
+
+def grid(rows: DataFrame, **values: list) -> DataFrame:
+    """Each row once for every combination of the parameters' values."""
+    for name, some in values.items():
+        rows = rows.withColumn(name, F.explode(F.array(*map(F.lit, some))))
+    return rows
+
+
+def answer_relevancy(cosine: Column) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (cosine + 1) / 2))
+
+
+def first_failure(checks: dict[str, Column]) -> Column:
+    """Name of the first check that does not hold, null if all do; one that can't be made fails."""
+    return F.get(not_comparable(checks), F.lit(0))
+
+
+def coverage(text: Column, expected: Column) -> Column:
+    """Share of the expected strings in the text; 1 where none are."""
+    return F.when(F.size(expected) == 0, 1.0).otherwise(F.size(F.filter(expected, lambda k: text.contains(k))) / F.size(expected))
