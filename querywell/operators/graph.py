@@ -10,6 +10,8 @@ from .ranking import dense_topk
 from .state import cut
 
 DAMPING, ROUNDS, TOLERANCE = 0.85, 30, 1e-6
+#: Rounds of a plan: ranks are cut and compared once for so many.
+STEP = 5
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -53,27 +55,33 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 3) -> DataFr
 def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised: (id, rank, converged), mass of dead ends goes back to the seeds, ranks add up to 1.
 
-    Rounds end when the ranks together change by ``tolerance`` at most, and converged
-    is true, or after ``rounds``. Each is a join on the node and a sum, cuts the plan
-    and sends two numbers to the driver.
+    Rounds end when the ranks together change by ``tolerance`` at most over STEP of
+    them, and converged is true, or after ``rounds``. Each is a join on the node and
+    a sum; STEP of them are one plan that is cut and sends a number to the driver.
     """
     links = cut(adjacency(edges).where("weight > 0"))
     out = links.groupBy("src").agg(F.sum("weight").alias("total"))
-    steps = cut(links.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")))
+    # Kept dealt by source, so that a round moves ranks and sums but no links; a lost part is made again from the checkpoint.
+    steps = cut(links.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p"))).repartition("src").persist()
     nodes = links.select(F.col("src").alias("id")).unionByName(seeds.select("id")).distinct()
     n = seeds.select("id").distinct().count()
     start = nodes.join(seeds.select("id", F.lit(1.0 / max(1, n)).alias("seed")).distinct(), "id", "left").select("id", F.coalesce("seed", F.lit(0.0)).alias("seed"))
     start = start.join(out.select(F.col("src").alias("id"), F.lit(False).alias("dead")), "id", "left").select("id", "seed", F.coalesce("dead", F.lit(True)).alias("dead"))
-    ranks = cut(start.select("*", F.col("seed").alias("rank"), F.lit(0.0).alias("before")))
-    numbers = F.coalesce(F.sum(F.abs(F.col("rank") - F.col("before"))), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("dead"), F.col("rank"))), F.lit(0.0))
-    change, lost = ranks.agg(*numbers).first()
-    for _ in range(rounds):
-        if change <= tolerance:
-            break
-        flow = steps.join(ranks, steps["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
-        new = F.col("seed") * (1 - damping + damping * lost) + damping * F.coalesce("flow", F.lit(0.0))
-        ranks = cut(ranks.join(flow, ranks["id"] == flow["dst"], "left").select("id", "seed", "dead", new.alias("rank"), F.col("rank").alias("before")))
-        change, lost = ranks.agg(*numbers).first()
+    start = cut(start)
+    # Links go both ways, so a dead end has none at all: only its seed gives it rank, and their mass follows from a number.
+    lone = start.agg(F.coalesce(F.sum(F.when(F.col("dead"), F.col("seed"))), F.lit(0.0))).first()[0]
+    ranks, lost, change, done = start.select("id", F.col("seed").alias("rank")), lone, 1.0, 0
+    while done < rounds and change > tolerance:
+        before = ranks
+        for _ in range(min(STEP, rounds - done)):
+            flow = steps.join(ranks, steps["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
+            new = F.col("seed") * (1 - damping + damping * lost) + damping * F.coalesce("flow", F.lit(0.0))
+            ranks = start.join(flow, start["id"] == flow["dst"], "left").select("id", new.alias("rank"))
+            lost, done = lone * (1 - damping + damping * lost), done + 1
+        ranks = cut(ranks)
+        moved = ranks.join(before.select("id", F.col("rank").alias("was")), "id").agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("was"))), F.lit(0.0)))
+        change = moved.first()[0]
+    steps.unpersist()
     return ranks.select("id", "rank", F.lit(change <= tolerance).alias("converged"))
 
 
