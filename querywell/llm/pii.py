@@ -405,7 +405,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     """
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     plain = F.coalesce("text", F.lit("")).alias("text")
-    model = fitted(_candidates(docs.select(plain), []))
+    model = fitted(durable(_candidates(docs.select(plain), []).where((F.size("base") > 0) | (F.size("loose") > 0))))
     own = [f"c{k}" for k in range(len(docs.columns))]  # the columns by place, so that no name of theirs can clash
     at = dict(zip(docs.columns, own))
     rows = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in at.items()), plain)
