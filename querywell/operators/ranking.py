@@ -172,8 +172,10 @@ def unweighted_rrf(variants: DataFrame, k: int = RRF_K) -> DataFrame:
 
 def weighted_rrf(channels: DataFrame, k: int = RRF_K) -> DataFrame:
     """(qid, channel, weight, key, rank) -> sum of weight / all weights of the query's channels / (k+rank); ties by first appearance."""
-    weights = channels.select("qid", "channel", "weight").distinct().groupBy("qid").agg(F.sum("weight").alias("all"))
-    total = channels.join(weights, "qid").groupBy("qid", "key").agg(F.round(F.sum(F.col("weight") / F.col("all") / (k + F.col("rank"))), 9).alias("score"), F.min(F.struct("channel", "rank")).alias("seen"))
+    first = F.row_number().over(Window.partitionBy("qid", "channel").orderBy("rank", "key")) == 1
+    once = channels.withColumn("once", F.when(first, F.col("weight")).otherwise(0.0))
+    every = once.withColumn("all", F.sum("once").over(Window.partitionBy("qid")))
+    total = every.groupBy("qid", "key").agg(F.round(F.sum(F.col("weight") / F.col("all") / (k + F.col("rank"))), 9).alias("score"), F.min(F.struct("channel", "rank")).alias("seen"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "seen")
     return total.withColumn("rank", F.row_number().over(order)).drop("seen")
 
