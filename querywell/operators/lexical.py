@@ -44,6 +44,12 @@ def term_stats(docs: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 
+def updated_stats(whole: DataFrame, gone: DataFrame, added: DataFrame) -> DataFrame:
+    """(term, df) of a corpus after documents went and others came: only their terms are counted anew; terms in no document go."""
+    counts = whole.select("term", "df").unionByName(gone.select("term", (-F.col("df")).alias("df"))).unionByName(added.select("term", "df"))
+    return counts.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+
+
 class Block:
     """Queries and the places of their terms: ``asked`` is terms x queries, how often a query names a term."""
 
