@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.answers import stripped
 from ..functions.text import content_id
 from .state import cut
 
 #: Characters of a passage and chunks a case expects at most: fixed values of the adapters.
 PASSAGE, EXPECTED = 1000, 3
+#: Characters of a chunk of a context, of the overlap with the next, and where its sentences end.
+CHUNK, OVERLAP, ENDS = 400, 40, "(?<=[。！？!?])"
 
 
 def selected_passages(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -37,6 +40,36 @@ def supported_passages(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _expected(marked.where((F.col("__any") == 1) & F.col("__fact") | (F.col("__any") == 0) & (F.col("__n") <= 2)).select("qid", "place", "id")), _chunks(joined)
 
 
+def context_chunks(context: Column) -> Column:
+    """Sentences put together up to CHUNK characters; the next chunk begins with the last OVERLAP ones. A sentence is never cut."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def step(state: Column, sentence: Column) -> Column:
+        tail = F.when(F.length(state["open"]) > OVERLAP, F.substring(state["open"], -OVERLAP, OVERLAP)).otherwise("")
+        full = (F.length(state["open"]) + F.length(sentence) > CHUNK) & (state["open"] != "")
+        done = F.when(full, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"])
+        return F.struct(done.alias("done"), F.concat(F.when(full, tail).otherwise(state["open"]), sentence).alias("open"))
+
+    finish = lambda state: F.when(state["open"] == "", state["done"]).otherwise(F.concat(state["done"], F.array(state["open"])))
+    return F.aggregate(F.split(context, ENDS), start, step, finish)
+
+
+def span_passages(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (qid, question, context, gold, start) -> cases (qid, expected) and chunks (id, text); qid is unique.
+
+    Rows without a question, a context or an answer are left out. The expected chunk is the one in whose share of the
+    summed lengths the answer starts, else the first that holds it; a row with neither has chunks but no case.
+    """
+    usable = rows.where((F.col("question") != "") & (F.col("context") != "") & (F.col("gold") != ""))
+    parts = usable.select("qid", "gold", "start", F.posexplode(context_chunks(F.col("context"))).alias("place", "part"))
+    past = F.sum(F.length("part")).over(Window.partitionBy("qid").orderBy("place"))
+    placed = parts.withColumn("past", past).withColumn("text", F.substring(stripped(F.col("part")), 1, PASSAGE)).withColumn("id", content_id(F.col("text")))
+    there = F.coalesce((F.col("start") >= F.col("past") - F.length("part")) & (F.col("start") < F.col("past")), F.lit(False))
+    met = placed.withColumn("miss", F.when(there, 0).when(F.contains("part", F.col("gold")), 1)).where("miss is not null")
+    cases = met.groupBy("qid").agg(F.array(F.min_by("id", F.struct("miss", "place"))).alias("expected"))
+    return cases, _chunks(placed)
+
+
 def _expected(rows: DataFrame) -> DataFrame:
     """The first EXPECTED distinct ids of a question, in order of place."""
     first = rows.groupBy("qid", "id").agg(F.min("place").alias("place"))
@@ -49,18 +82,18 @@ def _chunks(rows: DataFrame) -> DataFrame:
 
 
 def title_links(elements: DataFrame, separator: str = " -> ") -> DataFrame:
-    """elements (doc, idx, parent, is_title, body), parents known and before -> doc, idx, title, path.
+    """elements (doc, idx, parent, is_title, body) -> doc, idx, title, path; a parent that is unknown or not before counts as none.
 
     A title is its own nearest one; its path is the titles from the root to it. Each round joins every open element
     with where its pointer stands and doubles the way gone, so the rounds grow with the logarithm of the depth.
     """
     own = F.coalesce(F.col("is_title"), F.lit(False))
     none = F.array().cast("array<string>")
-    rows = cut(elements.select("doc", "idx", F.col("parent").alias("up"), F.when(own, F.col("idx")).alias("title"), F.when(own, F.array(F.coalesce("body", F.lit("")))).otherwise(none).alias("titles")))
+    rows = cut(elements.select("doc", "idx", F.when(F.col("parent") < F.col("idx"), F.col("parent")).alias("up"), F.when(own, F.col("idx")).alias("title"), F.when(own, F.array(F.coalesce("body", F.lit("")))).otherwise(none).alias("titles")))
     while rows.where("up is not null").limit(1).count():
         above = rows.select("doc", F.col("idx").alias("__at"), F.col("up").alias("__up"), F.col("title").alias("__title"), F.col("titles").alias("__titles"))
-        met = rows.where("up is not null").join(above, (rows["doc"] == above["doc"]) & (rows["up"] == above["__at"])).drop(above["doc"])
-        stepped = met.select("doc", "idx", F.col("__up").alias("up"), F.coalesce("title", "__title").alias("title"), F.concat("__titles", "titles").alias("titles"))
+        met = rows.where("up is not null").join(above, (rows["doc"] == above["doc"]) & (rows["up"] == above["__at"]), "left").drop(above["doc"])
+        stepped = met.select("doc", "idx", F.col("__up").alias("up"), F.coalesce("title", "__title").alias("title"), F.concat(F.coalesce("__titles", none), "titles").alias("titles"))
         rows = cut(rows.where("up is null").unionByName(stepped))
     return rows.select("doc", "idx", "title", F.array_join("titles", separator).alias("path"))
 

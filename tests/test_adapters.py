@@ -1,5 +1,7 @@
 """Question sets, title links and feedback on small fixtures, odd rows among them."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,12 +31,14 @@ def test_supported_paragraphs_or_the_first_two(spark):
 def test_title_links_are_those_of_a_plain_walk(spark):
     rows = [(d, i, None if i % 9 == 0 else i - 1 - (i * d) % min(i % 9, 3), i % 4 == d, f"t{i}") for d in (1, 2) for i in range(40)]
     rows += [(3, i, i - 1 if i else None, None if i == 5 else i % 7 == 0, None if i == 7 else f"t{i}") for i in range(70)]  # deep
+    rows += [(4, 0, 9, True, "a"), (4, 1, 1, False, "b"), (4, 3, 2, True, "c"), (4, 4, 3, False, "d")]  # after, itself, unknown
     by = {(d, i): (p, bool(t), b) for d, i, p, t, b in rows}
 
     def walk(d, i):
         titles, near = [], None
         while i is not None:
             p, is_title, body = by[d, i]
+            p = p if (d, p) in by and p < i else None
             if is_title:
                 near = i if near is None else near
                 titles.insert(0, body or "")
@@ -59,3 +63,23 @@ def test_feedback_and_escalation(spark):
 @pytest.mark.parametrize("query, want", [("WHO are you", True), ("12345", True), ("none", False), (None, False), ("", False)])
 def test_matches(spark, query, want):
     assert spark.createDataFrame([(query,)], "q string").select(adapters.matches(F.col("q"), ["who"], [r"\d{4}"])).first()[0] is want
+
+
+def test_contexts_in_overlapping_chunks(spark):
+    def plain(context):
+        out, now = [], ""
+        for s in re.split("(?<=[。！？!?])", context):
+            if now and len(now) + len(s) > 400:
+                out.append(now)
+                now = (now[-40:] if len(now) > 40 else "") + s
+            else:
+                now += s
+        return out + [now] if now else out
+
+    texts = ["", "no end", "a" * 399 + "。b", "x。" * 700, "y" * 900 + "！" + "z?" * 5, ("w" * 120 + "。") * 9, "q" * 30 + "。" + "r" * 500 + "。"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "t string").select(adapters.context_chunks(F.col("t"))).collect()]
+    assert got == [plain(x) for x in texts]
+    rows = [(1, "q", texts[5], "www", 300), (2, "q", texts[5], "www", -1), (3, "q", texts[5], "none", -1), (4, "", "c", "c", 0), (5, "q", None, "c", 0), (6, "q", "c", None, 0)]
+    cases, chunks = adapters.span_passages(spark.createDataFrame(rows, "qid int, question string, context string, gold string, start int"))
+    parts = ids(spark, *plain(texts[5]))
+    assert dict(cases.collect()) == {1: [parts[0]], 2: [parts[0]]} and {r["id"] for r in chunks.collect()} == set(parts)
