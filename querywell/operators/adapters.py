@@ -91,8 +91,8 @@ def title_links(elements: DataFrame, separator: str = " -> ") -> DataFrame:
     none = F.array().cast("array<string>")
     rows = cut(elements.select("doc", "idx", F.when(F.col("parent") < F.col("idx"), F.col("parent")).alias("up"), F.when(own, F.col("idx")).alias("title"), F.when(own, F.array(F.coalesce("body", F.lit("")))).otherwise(none).alias("titles")))
     while rows.where("up is not null").limit(1).count():
-        above = rows.select("doc", F.col("idx").alias("__at"), F.col("up").alias("__up"), F.col("title").alias("__title"), F.col("titles").alias("__titles"))
-        met = rows.where("up is not null").join(above, (rows["doc"] == above["doc"]) & (rows["up"] == above["__at"]), "left").drop(above["doc"])
+        above = rows.select(F.col("doc").alias("__doc"), F.col("idx").alias("__at"), F.col("up").alias("__up"), F.col("title").alias("__title"), F.col("titles").alias("__titles"))
+        met = rows.where("up is not null").join(above, (F.col("doc") == F.col("__doc")) & (F.col("up") == F.col("__at")), "left")
         stepped = met.select("doc", "idx", F.col("__up").alias("up"), F.coalesce("title", "__title").alias("title"), F.concat(F.coalesce("__titles", none), "titles").alias("titles"))
         rows = cut(rows.where("up is null").unionByName(stepped))
     return rows.select("doc", "idx", "title", F.array_join("titles", separator).alias("path"))
