@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .common import table
 from .decontaminate import contaminated
+from .fill_middle import FIM_SQL, fill_middle_digests
 from .html_extract import extracted
 from .language_id import language_id
 from .licenses import license_scan
+from .line_dedup import LINES_SQL, line_dedup_digests
 from .mixing import MIX_SQL, mixed
 from .pii import pii_spans
 from .quality import quality
@@ -27,8 +29,14 @@ def queries() -> dict:
         "op8_mixing": lambda spark, d: mixed(table(spark, d, "documents")).drop("source"),
         "op9_html_extract": lambda spark, d: extracted(table(spark, d, "pages")),
         "op10_licenses": lambda spark, d: license_scan(table(spark, d, "documents")),
+        "op11_line_dedup": lambda spark, d: line_dedup_digests(table(spark, d, "documents")),
+        "op12_fill_middle": lambda spark, d: fill_middle_digests(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": f"select doc_id, size, source_size, target, taken from ({MIX_SQL.format(docs='documents')})"}
+    return {
+        "op8_mixing": f"select doc_id, size, source_size, target, taken from ({MIX_SQL.format(docs='documents')})",
+        "op11_line_dedup": LINES_SQL.format(docs="documents"),
+        "op12_fill_middle": FIM_SQL.format(docs="documents"),
+    }
