@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .conversations import repaired
 from .decontaminate import contaminated
 from .fill_middle import FIM_SQL, fill_middle_digests
 from .html_extract import extracted
@@ -31,6 +32,7 @@ def queries() -> dict:
         "op10_licenses": lambda spark, d: license_scan(table(spark, d, "documents")),
         "op11_line_dedup": lambda spark, d: line_dedup_digests(table(spark, d, "documents")),
         "op12_fill_middle": lambda spark, d: fill_middle_digests(table(spark, d, "documents")),
+        "op13_conversation_repair": lambda spark, d: repaired(table(spark, d, "conversations")),
     }
 
 
