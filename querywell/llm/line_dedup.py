@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import once
+from .common import durable, once
 
 #: White space of the key rule.
 BLANKS = "".join(map(chr, (32, 9, 10, 11, 12, 13)))
@@ -44,7 +44,8 @@ def _row_key(doc_id: Column, text: Column) -> Column:
 
 def long_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, text) -> doc_id, row_key, position, h1, h2; one row per line whose key has ``min_chars`` code points."""
-    rows = docs.select("doc_id", _row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.posexplode(_lines_of(F.col("text"))).alias("position", "line"))
+    keyed = once(docs, ["doc_id"], row_key=_row_key(F.col("doc_id"), F.col("text")), lines=_lines_of(F.col("text")))
+    rows = keyed.select("doc_id", "row_key", F.posexplode("lines").alias("position", "line"))
     keyed = rows.where(F.char_length(F.trim("line", F.lit(BLANKS))) >= min_chars).withColumn("line", line_key(F.col("line")))
     return keyed.select("doc_id", "row_key", "position", F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"))
 
@@ -53,9 +54,11 @@ def lost_lines(lines: DataFrame, min_docs: int = MIN_DOCS, prefixes: int = PREFI
     """(doc_id, row_key, position, h1, h2) -> row_key, position of the lines that go.
 
     ``min_docs`` is 2 or more. Documents are told apart by doc_id; null is an id, the smallest.
+    The lines are written once, so that counting, sampling the ranges and dealing out do not split the texts again.
     """
+    lines = durable(lines)
     prefix = F.pmod("h1", F.lit(prefixes)).cast("int")
-    counts = lines.groupBy(prefix.alias("hot_prefix")).count()
+    counts = durable(lines.groupBy(prefix.alias("hot_prefix")).count())
     total = counts.agg(F.sum("count")).first()[0] or 0
     most = max(part_rows, PART_MEANS * total // prefixes)
     # At most prefixes / PART_MEANS prefixes hold more than PART_MEANS times the mean.
