@@ -95,18 +95,21 @@ class Profiles:
 
 
 def learned_profiles(labelled: DataFrame, length: int = PROFILE, train_docs: int = TRAIN_DOCS, most_langs: int = MOST_LANGS) -> dict[str, list[int]]:
-    """(doc_id, text, lang) -> each language's profile, of the ``most_langs`` languages with the most documents.
+    """(doc_id, text, lang) -> each language's profile.
 
     It is fitted on at most about ``train_docs`` documents of a language, those
     with the smallest hashes of doc_id, so that its cost does not grow with the
     corpus; the n-grams are counted in the tasks and summed by Spark. Rows whose
     lang or text is null are left out, repeated rows count each, no rows give no
-    profile; other columns are ignored.
+    profile; other columns are ignored. All profiles are sent to every task, so more than
+    ``most_langs`` languages are refused with a ValueError, none is left out.
     """
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs + 1).collect()
     if not sizes:
         return {}
+    if len(sizes) > most_langs:
+        raise ValueError(f"lang holds more than {most_langs} languages; raise most_langs if that is meant")
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, train_docs / r["n"]))))
     draw = F.pmod(F.xxhash64(F.lit("profile"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
 

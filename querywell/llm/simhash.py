@@ -163,14 +163,18 @@ def drop_near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = SHING
     repeated = durable(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("repeated_id")))
     # An id of one row says which row it is; rows of null and repeated ids are told apart by their fingerprint as well.
     no_repeats, no_nulls = is_empty(repeated), is_empty(groups.where("doc_id is null"))
+    own = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # the columns by place, so that no name of theirs can clash
+    rows = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in own.items()))
+    back = [F.col(k).alias(c) for c, k in own.items()]
+    doc_id, text = own["doc_id"], own["text"]
     if no_repeats and no_nulls:
-        return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
-    known = docs.where(F.col("doc_id").isNotNull())
-    single, several = known.join(gone, known["doc_id"] == gone["gone_id"], "left_anti"), docs.where(F.col("doc_id").isNull())
+        return rows.join(gone, rows[doc_id] == gone["gone_id"], "left_anti").select(*back)
+    known = rows.where(F.col(doc_id).isNotNull())
+    single, several = known.join(gone, known[doc_id] == gone["gone_id"], "left_anti"), rows.where(F.col(doc_id).isNull())
     if not no_repeats:
-        single = single.join(repeated, single["doc_id"] == repeated["repeated_id"], "left_anti")
-        several = several.unionByName(known.join(repeated, known["doc_id"] == repeated["repeated_id"], "left_semi"))
+        single = single.join(repeated, single[doc_id] == repeated["repeated_id"], "left_anti")
+        several = several.unionByName(known.join(repeated, known[doc_id] == repeated["repeated_id"], "left_semi"))
     first = groups.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp")).distinct()
-    several = several.withColumn("__own_fp", _print_of(shingle)("text"))
-    several = several.join(first, several["doc_id"].eqNullSafe(first["kept_id"]) & (several["__own_fp"] == first["kept_fp"]), "left_semi")
-    return single.unionByName(several.dropDuplicates(["doc_id", "__own_fp"]).drop("__own_fp"))
+    several = several.withColumn("own_fp", _print_of(shingle)(text))
+    several = several.join(first, several[doc_id].eqNullSafe(first["kept_id"]) & (several["own_fp"] == first["kept_fp"]), "left_semi")
+    return single.unionByName(several.dropDuplicates([doc_id, "own_fp"]).drop("own_fp")).select(*back)

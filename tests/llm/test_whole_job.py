@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from querywell.llm import decontaminate, html_extract, simhash
+from querywell.llm import decontaminate, html_extract, language_id, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -117,3 +117,19 @@ PLAIN = "A headline of the story\nFirst paragraph of the story with a good many
 def test_wrappers_and_parts_of_articles_stay(page, want):
     even = html_extract.Weights({"": 100, "p": 10, "/p": 10, "h1": 2, "/h1": 2, "div": 10, "/div": 10}, {"": 50, "div": 10, "/div": 10})
     assert html_extract.main_text(page.format(STORY), even) == want
+
+
+def test_near_copies_keep_columns_of_any_name(spark):
+    a, b = "one text of a few words that all differ", "quite another text about some other thing altogether"
+    rows = [(None, a, 1), (None, b, 2), (7, a, 3), (7, b, 4), (8, b, 5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, `c0` int").selectExpr("*", "'x' __own_fp", "'x' own_fp", "'x' gone_id", "'x' fp", "'x' kept_fp", "'x' c1", "'x' `a.b`")
+    got = simhash.drop_near_copies(table)
+    assert got.columns == table.columns and sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted([(7, a), (7, b)])
+
+
+def test_more_languages_than_can_be_sent_are_refused(spark):
+    rows = [(k, f"words of language number {k}", f"l{k}") for k in range(5)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language_id.learned_profiles(labelled, most_langs=5)) == 5
+    with pytest.raises(ValueError, match="more than 4 languages"):
+        language_id.learned_profiles(labelled, most_langs=4)
