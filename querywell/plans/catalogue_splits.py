@@ -126,14 +126,14 @@ FILES = "case when doc_id % 11 = 0 then 'pdf' when doc_id % 2 = 0 then 'md' else
 a as (select *, allowed and row_number() over (partition by batch, filename, allowed order by file_hash, doc_id::varchar) = 1 as f1 from f),
 b as (select *, f1 and row_number() over (partition by batch, file_hash, f1 order by filename) = 1 as f2 from a),
 c as (select * from b where batch = 0),
-late as (select *, allowed and filename not in (select filename from c where f2 and trim(text) <> '') and file_hash not in (select file_hash from c where f2 and trim(text) <> '') as fresh from f where batch = 1),
+late as (select *, allowed and filename not in (select filename from c where f2 and regexp_matches(text, '\S')) and file_hash not in (select file_hash from c where f2 and regexp_matches(text, '\S')) as fresh from f where batch = 1),
 d as (select *, fresh and row_number() over (partition by filename, fresh order by file_hash, doc_id::varchar) = 1 as f1 from late),
 e as (select *, f1 and row_number() over (partition by file_hash, f1 order by filename) = 1 as f2 from d),
 j as (select doc_id, batch, filename, file_hash, size_bytes, allowed, f2, text from b where batch = 0 union all select doc_id, batch, filename, file_hash, size_bytes, allowed, f2, text from e),
 {SEGMENTS.replace('<where>', 'and length(text) > 3840')},
 n as (select doc_id, count(*) as n from segments group by doc_id)
-select filename, file_hash, case when not allowed then 'rejected' when not f2 then 'duplicate' when trim(text) = '' then 'failed' else 'indexed' end as status, size_bytes,
-  case when allowed and f2 and trim(text) <> '' then coalesce(n, 1) else 0 end::bigint as chunks, batch::bigint as batch from j left join n using (doc_id)""")
+select filename, file_hash, case when not allowed then 'rejected' when not f2 then 'duplicate' when not regexp_matches(text, '\S') then 'failed' else 'indexed' end as status, size_bytes,
+  case when allowed and f2 and regexp_matches(text, '\S') then coalesce(n, 1) else 0 end::bigint as chunks, batch::bigint as batch from j left join n using (doc_id)""")
 def ingested_files(t):
     kind = F.when(F.col("doc_id") % 11 == 0, "pdf").when(F.col("doc_id") % 2 == 0, "md").otherwise("txt")
     number = F.when(F.col("doc_id") % 13 == 0, F.col("doc_id") % 26 + 100_000_000).otherwise(F.col("doc_id"))

@@ -75,7 +75,7 @@ class Ingestion:
         taken = files.join(judged.where("status = 'processing'"), "path")
         texts = taken.select(F.struct("file_hash", "filename").alias("doc_id"), F.col("filename").alias("source"), body_of(F.col("content"), F.col("extension")).alias("text"))
         now = F.lit(batch).cast("long").alias("batch")
-        parts = sized_chunks(texts.where(F.trim("text") != ""))
+        parts = sized_chunks(texts.where(F.col("text").rlike(r"\S")))
         chunks = cut(parts.select(F.col("doc_id.filename").alias("source"), F.col("doc_id.file_hash").alias("file_hash"), "parent_id", "place", "chunk", now))
         counts = chunks.groupBy("file_hash").agg(F.count(F.lit(1)).alias("made"))
         rows = judged.join(counts, "file_hash", "left")

@@ -156,19 +156,21 @@ def _rows(key: str, found: list[dict]) -> pd.DataFrame:
     return pd.DataFrame([(key, x["number"], x["paragraph"], x["conditions"], x.get("status")) for x in found], columns=["stream_id", "number", "paragraph", "conditions", "status"])
 
 
-def _parts(parts: DataFrame) -> DataFrame:
-    return parts.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("seq").cast("long").alias("seq"), F.coalesce("piece", F.lit("")).alias("piece"), F.col("finish").cast("string").alias("finish"))
+def _parts(parts: DataFrame, *more: str) -> DataFrame:
+    return parts.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("seq").cast("long").alias("seq"), F.coalesce("piece", F.lit("")).alias("piece"), F.col("finish").cast("string").alias("finish"), *more)
 
 
-def released_paragraphs(parts: DataFrame, idle: str = "10 minutes") -> DataFrame:
-    """A stream of (stream_id, seq from 0, piece, finish on the last piece) -> stream_id, number, paragraph, conditions, status.
+def released_paragraphs(parts: DataFrame, idle: str = "10 minutes", lateness: str = "1 minute") -> DataFrame:
+    """A stream of (stream_id, seq from 0, piece, finish on the last piece, at timestamp) -> stream_id, number, paragraph, conditions, status.
 
     A row a paragraph, as soon as it is complete; the conditions come with the first. The last row of a stream has no number
     but a status: complete, incomplete_answer, incomplete_generation, generation_buffer_limit, invalid_conditions,
     invalid_paragraph or invalid_paragraph_delimiter. Pieces may come late, early or twice. A stream
-    that stays idle ends as incomplete_generation.
+    that stays idle until the watermark has passed it by ``idle`` ends as incomplete_generation.
     """
 
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         reply = Reply(state.get[0] if state.exists else None)
         if state.hasTimedOut:
@@ -176,14 +178,16 @@ def released_paragraphs(parts: DataFrame, idle: str = "10 minutes") -> DataFrame
             yield _rows(key[0], [{"number": None, "paragraph": None, "conditions": [], "status": reply.failure or "incomplete_generation"}])
             return
         found: list[dict] = []
+        last = 0
         for batch in batches:
+            last = max(last, int(batch["at"].max().timestamp() * 1000))
             for seq, piece, finish in zip(batch["seq"], batch["piece"], batch["finish"]):
                 found += reply.arrived(int(seq), piece, None if pd.isna(finish) else finish)
         ended = any("status" in x for x in found)
         if ended:  # what comes after is left out; the mark of the end goes with the idle time
             reply.rest, reply.failure, reply.waiting = "", "ended", {}
         state.update((reply.saved(),))
-        state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + wait)
         yield _rows(key[0], found)
 
     def unless_ended(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -193,7 +197,8 @@ def released_paragraphs(parts: DataFrame, idle: str = "10 minutes") -> DataFrame
             return iter(())
         return step(key, batches, state)
 
-    return _parts(parts).groupBy("stream_id").applyInPandasWithState(unless_ended, OUT, "reply string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = _parts(parts.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", lateness), "at")
+    return rows.groupBy("stream_id").applyInPandasWithState(unless_ended, OUT, "reply string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def paragraphs(parts: DataFrame) -> DataFrame:
