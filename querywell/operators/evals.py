@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import skyline
+
 #: A drop of a metric beyond this is a regression; the gates' limits.
 REGRESSION, GATE_DROP, PARETO_LOSS, PARETO_SLOWDOWN = 0.05, 0.02, 0.02, 1.25
 
@@ -57,11 +59,7 @@ def reference_delta(variants: DataFrame, dataset: str, variant: str, metric: str
 
 def pareto(rows: DataFrame, key: str, quality: str, price: str) -> DataFrame:
     """Rows that no other beats: sorted by price, those whose quality exceeds all cheaper ones'. Rows without a price are left out."""
-    known = rows.where(F.col(price).isNotNull() & F.col(quality).isNotNull())
-    best = known.groupBy(F.col(price).alias("__price")).agg(F.max(quality).alias("__best"))
-    cheaper = Window.orderBy("__price").rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("__before", F.max("__best").over(cheaper)).where("__before is null or __best > __before")
-    return known.join(front, (F.col(price) == F.col("__price")) & (F.col(quality) == F.col("__best"))).select(key, quality, price)
+    return skyline(rows, quality, price).select(key, quality, price)
 
 
 def drift(runs: DataFrame, group: str, position: str, value: str, limit: float = 0.25) -> DataFrame:

@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import quantiles
+
 
 def nearest_rank(value: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) within group (order by {value})")
 
 
 def latency_summary(log: DataFrame, by: str, value: str, order: str) -> DataFrame:
-    """The first request of each group is cold and left out; p50 is the median, p95 the nearest rank."""
-    warm = log.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where("__n > 1")
-    return warm.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.median(value), 6).alias("p50"), F.round(nearest_rank(value, 0.95), 6).alias("p95"))
+    """The first request of each group (all that share its place) is cold and left out; p50 is the median, p95 the nearest rank."""
+    first = log.groupBy(F.col(by).alias("__by")).agg(F.min(order).alias("__first"))
+    warm = log.join(first, F.col(by).eqNullSafe(F.col("__by"))).where(F.col(order) > F.col("__first"))
+    found = quantiles(warm, [by], value, {"p95": 0.95}, {"p50": 0.5})
+    counts = warm.groupBy(F.col(by).alias("__by")).agg(F.count(F.lit(1)).alias("all"))
+    joined = counts.join(found, F.col(by).eqNullSafe(F.col("__by")), "left")
+    return joined.select(F.col("__by").alias(by), F.col("all").alias("n"), F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 def rates(log: DataFrame, kind: str, positive: str) -> DataFrame:

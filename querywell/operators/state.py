@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,3 +22,8 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def once(rows: DataFrame, columns: list[str], **found: Column) -> DataFrame:
+    """These columns and found, computed behind a generator, so that the optimizer does not copy their expressions to each of their uses."""
+    return rows.select(*columns, F.inline(F.array(F.struct(*(c.alias(name) for name, c in found.items())))))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import maths, text, vectors
-from ..operators import chunking, evals, generations, graph, guard, lexical, logs, ranking
+from ..operators import chunking, evals, generations, graph, guard, lexical, logs, ranges, ranking
 from ..sources.readers import html_sections
 from .planner import evidence_state, planned
 
@@ -36,7 +36,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from . import catalogue_adapters, catalogue_answers, catalogue_channels, catalogue_checks, catalogue_context, catalogue_more, catalogue_splits, catalogue_stores  # noqa: F401  register their own
+    from . import catalogue_adapters, catalogue_answers, catalogue_channels, catalogue_checks, catalogue_context, catalogue_judged, catalogue_more, catalogue_splits, catalogue_stores  # noqa: F401  register their own
 
     return dict(QUERIES)
 
@@ -394,7 +394,8 @@ def latency_summary(t):
 
 @query("select date_trunc('day', ts) as day, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, quantile_disc(value, 0.99) as p99 from events group by 1")
 def percentile_report(t):
-    return t("events").groupBy(F.date_trunc("day", "ts").alias("day")).agg(*(logs.nearest_rank("value", p).alias(f"p{round(100 * p)}") for p in (0.5, 0.95, 0.99)))
+    rows = t("events").select(F.date_trunc("day", "ts").alias("day"), "value")
+    return ranges.quantiles(rows, ["day"], "value", {f"p{round(100 * p)}": p for p in (0.5, 0.95, 0.99)}).drop("n")
 
 
 @query("select user_id, sum(json_extract(props, '$.k')::bigint)::bigint as tokens, round(sum(json_extract(props, '$.k')::bigint) / 1e6 * 2.5, 9) as cost from events group by user_id")

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import answers, cleaning, text, vectors
-from ..operators import channels, chunking, graph, lexical
-from .catalogue import DECIMALS, SQL, TOKENS, _edges, bm25_sql, bm25_topk, bm25_topk_source_filter, ppr, query, sparse_dot_topk
+from ..operators import channels, chunking, graph, lexical, ranking
+from ..operators.workflow import corrective_search
+from .catalogue import DECIMALS, SQL, TOKENS, _edges, bm25_sql, bm25_topk, bm25_topk_source_filter, passages, ppr, query, sparse_dot_topk
 from .catalogue_stores import CHUNKS, _chunks, entity_search, neighbour_chunks
 from .planner import evidence_state
 
@@ -48,10 +49,44 @@ def optional_channels(t):
 @query(f"""with few as ({SQL['bm25_topk_source_filter']}), wide as ({bm25_sql('')}), m as (select qid, max(score) as most, bool_or(doc_id % 50 = 0) as conflict from few group by qid),
 a as (select qid from m where not conflict and most / 100 >= 0.35) select qid, doc_id, rank, false as retried from few where qid in (select qid from a) union all select qid, doc_id, rank, true from wide where qid not in (select qid from a)""")
 def retrieval_workflow(t):
-    few = bm25_topk_source_filter(t)
-    hits = few.select("qid", (F.col("score") / 100).alias("relevance"), (F.col("doc_id") % 50 == 0).alias("conflict"))
+    docs = t("documents")
     plans = t("benchmark").select(F.col("item_id").alias("qid"), F.lit("multi_query").alias("retry_action"))
-    return channels.with_second_pass(few, evidence_state(hits, plans), bm25_topk(t)).select("qid", "doc_id", "rank", "retried")
+
+    def judge(hits):
+        return evidence_state(hits.select("qid", (F.col("score") / 100).alias("relevance"), (F.col("doc_id") % 50 == 0).alias("conflict")), plans)
+
+    few = lambda asked: lexical.bm25_topk(docs, asked, keep=F.col("source").isin("src0", "src1"))
+    rows = corrective_search(passages(t), few, lambda asked: lexical.bm25_topk(docs, asked), lambda hits: hits, judge)
+    return rows.select("qid", "doc_id", "rank", "retried")
+
+
+# The same with the stage of authority: a document's source says its status and authority, its number its revision.
+KINDS = "case source when 'src0' then 'obsolete' when 'src1' then 'draft' else 'current' end as status, case when doc_id % 3 = 0 then 'official' when doc_id % 3 = 1 then 'internal' else 'draft' end as authority"
+AUTHORITY = "case status when 'obsolete' then 0 when 'draft' then 1 else 2 end desc, case authority when 'official' then 5 when 'internal' then 3 else 1 end desc, doc_id % 7 desc, 'r' || (doc_id % 7) desc, score desc, doc_id"
+
+
+@query(f"""with few as ({SQL['bm25_topk_source_filter']}), wide as ({bm25_sql('')}), k as (select doc_id, {KINDS} from documents),
+m as (select qid, max(score) as most, bool_or(doc_id % 50 = 0) as conflict from few group by qid), a as (select qid from m where not conflict and most / 100 >= 0.35),
+h as (select qid, doc_id, score, false as retried from few where qid in (select qid from a) union all select qid, doc_id, score, true from wide where qid not in (select qid from a)),
+w as (select qid, case when bool_or(doc_id % 50 = 0) then 'conflict' when max(score) / 100 < 0.35 then 'weak' else 'accept' end as state from h group by qid)
+select qid, doc_id, retried, state, row_number() over (partition by qid order by {AUTHORITY})::int as rank from h join k using (doc_id) join w using (qid)""")
+def corrective_search_authority(t):
+    docs = t("documents")
+    plans = t("benchmark").select(F.col("item_id").alias("qid"), F.lit("multi_query").alias("retry_action"))
+    n = F.col("doc_id")
+    kinds = docs.select(
+        "doc_id", F.when(F.col("source") == "src0", "obsolete").when(F.col("source") == "src1", "draft").otherwise("current").alias("status"),
+        F.when(n % 3 == 0, "official").when(n % 3 == 1, "internal").otherwise("draft").alias("authority"), F.concat(F.lit("r"), (n % 7).cast("string")).alias("revision"), F.lit(None).cast("string").alias("effective_date"),
+    )
+
+    def judge(hits):
+        return evidence_state(hits.select("qid", (F.col("score") / 100).alias("relevance"), (F.col("doc_id") % 50 == 0).alias("conflict")), plans)
+
+    def ranked(hits):
+        return ranking.authority_order(hits.drop("rank").join(kinds, "doc_id"), "qid", "score", "doc_id").select("qid", "doc_id", "score", "rank")
+
+    few = lambda asked: lexical.bm25_topk(docs, asked, keep=F.col("source").isin("src0", "src1"))
+    return corrective_search(passages(t), few, lambda asked: lexical.bm25_topk(docs, asked), ranked, judge).select("qid", "doc_id", "retried", "state", "rank")
 
 
 @query(f"with lex as ({bm25_sql('')}) select qid, doc_id, rank, false as rerank_applied, 'timeout' as rerank_error from lex where rank <= 3")

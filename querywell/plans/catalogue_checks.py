@@ -33,12 +33,15 @@ def table_blocks(t):
     return checks.table_blocks(t("documents"))
 
 
-@query(r"""with l as (select doc_id, string_split(text, chr(10))[1] as line from documents), c as (select doc_id, list_filter(list_transform(regexp_split_to_array(line, '\||\t| {2,}'), lambda c: trim(c)), lambda c: c <> '') as cells from l)
-select doc_id, '| ' || array_to_string(cells, ' | ') || ' |' || chr(10) || '|' || repeat(' --- |', len(cells)) || chr(10) || '| ' || array_to_string(list_transform(cells, lambda c: upper(c)), ' | ') || ' |' as markdown from c where len(cells) >= 2""")
+@query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as place from documents),
+c as (select doc_id, place, list_filter(list_transform(regexp_split_to_array(line, '\||\t| {2,}'), lambda c: trim(c)), lambda c: c <> '') as cells from l), r as (select * from c where len(cells) >= 2),
+w as (select doc_id, max(len(cells)) as w, min(place) as first from r group by doc_id), m as (select doc_id, place, first, w, '| ' || array_to_string(list_resize(cells, w, ''), ' | ') || ' |' as line from r join w using (doc_id))
+select doc_id, md5(concat_ws(chr(10), max(line) filter (where place = first), '|' || repeat(' --- |', any_value(w)), string_agg(line, chr(10) order by place) filter (where place > first))) as markdown from m group by doc_id""")
 def table_markdown(t):
-    cells = F.filter(F.transform(F.split(F.substring_index("text", "\n", 1), r"\||\t| {2,}"), lambda c: F.trim(c)), lambda c: c != "")
-    rows = t("documents").select("doc_id", cells.alias("cells")).where(F.size("cells") >= 2)
-    return rows.select("doc_id", checks.markdown_table(F.array(F.col("cells"), F.transform("cells", F.upper))).alias("markdown"))
+    cells = F.filter(F.transform(F.split("line", r"\||\t| {2,}"), lambda c: F.trim(c)), lambda c: c != "")
+    lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line")).select("doc_id", "place", cells.alias("cells")).where(F.size("cells") >= 2)
+    rows = lines.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "cells"))), lambda x: x["cells"]).alias("rows"))
+    return rows.select("doc_id", F.md5(checks.markdown_table(F.col("rows"))).alias("markdown"))
 
 
 @query(r"""select doc_id, left(trim(regexp_replace(text, '[\x00-\x1F\x7F]', ' ', 'g')), 100) as description from documents""")
