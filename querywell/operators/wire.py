@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 DROPPED = frozenset(["_late_chunk_dense", "embedding", "dense", "sparse", "vector"])
 LEVELS, ITEMS, CHARS = 6, 64, 4000
 LEAST, MOST = -(2**63), 2**64 - 1
-_NOTHING = object()
+_NOTHING = ...  # pickled as itself
 
 
 def _single(value: Any) -> tuple[Any, bool]:
