@@ -9,7 +9,10 @@ left out by their names, roles and classes, inside the region as well. A class o
 id says so only if each of its parts does or is neutral: ``cookie-box`` does,
 ``related-work`` and ``has-sidebar`` don't. Headings stay. An element that holds
 the page's article, or without any most of its words, is a wrapper and stays;
-words that also name parts of a text leave nothing out of an article.
+words that also name parts of a text leave nothing out of an article. An article
+that the page names (its <article> with the most words) is never cut: the tags inside it
+cost nothing, so that its tables, leads and captions stay whatever the weights. Its own class
+says what it is about, and leaves it out only if the page has another one.
 """
 
 from __future__ import annotations
@@ -165,17 +168,33 @@ class Page:
         while stack:
             close(elements[stack[-1]][0])
 
-    def tokens(self) -> Iterator[tuple[str, str, bool]]:
-        """The events without those of left-out elements, each of which gives one LEFT_OUT."""
-        article, added = None, 0  # the article or main with the most words that readers and shops did not add
+    def _article(self) -> list | None:
+        """The article or main with the most words that readers and shops did not add; of a page that has none but such, the largest that lies in no other such element."""
+        article, added = None, 0
         for e in self.elements:
             if e[1] == "added":
                 added = max(added, e[3])
             elif e[0] in ("article", "main") and e[2] >= added and (article is None or e[4] > article[4]) and e[4]:
                 article = e
+        added = 0
+        for e in self.elements if article is None else ():
+            if e[0] == "article" and e[2] >= added and e[4] and (article is None or e[4] > article[4]):
+                article = e
+            if e[1] == "added":
+                added = max(added, e[3])
+        return article
+
+    def kept(self) -> Iterator[tuple[tuple[str, str, bool], bool]]:
+        """The events without those of left-out elements, each of which gives one LEFT_OUT; and whether they lie in the named article."""
+        article = self._article()
+        named = article
+        if article and article[0] == "main":  # the <article> in it, if that is most of it
+            within = [e for e in self.elements if e[0] == "article" and article[2] <= e[2] and e[3] <= article[3] and e[1] != "added" and 2 * e[4] > article[4]]
+            named = max(within, key=lambda e: e[4], default=None)
         skipped: dict[int, int] = {}
         behind = 0
-        for name, why, first, end, words in self.elements:
+        for e in self.elements:
+            _, why, first, end, words = e
             if not why or first < behind:
                 continue
             holds = article and first <= article[2] and article[3] <= end
@@ -184,13 +203,18 @@ class Page:
             skipped[first] = behind = max(end, first + 1)
         at = 0
         while at < len(self.events):
+            inside = named is not None and named[2] <= at < named[3]
             if at in skipped:
-                yield "b", LEFT_OUT, self.events[at][2]
+                yield ("b", LEFT_OUT, self.events[at][2]), inside
                 at = skipped[at]
                 continue
-            yield self.events[at]
+            yield self.events[at], inside
             at += 1
 
+    def tokens(self) -> Iterator[tuple[str, str, bool]]:
+        """The events of ``kept``."""
+        return (event for event, _ in self.kept())
+
 
 class Weights:
     """Scores of words and tags."""
@@ -207,19 +231,20 @@ class Weights:
         if "." in name and name not in self.tags:  # a class that names an outside part
             return self.tag(name.partition(".")[0]) - 2.0
         plain = name.removeprefix("/")
-        return self.tags.get(name, -0.25 if plain in INLINE else -0.5 if plain in CONTENT else -2.0)
+        return self.tags.get(name, -0.25 if plain in INLINE or plain in CONTENT else -2.0)
 
 
 def main_text(html: str | None, weights: Weights) -> str:
     if not html:
         return ""
-    found = [(kind, v) for kind, v, _ in Page(html).tokens()]
-    best, best_at, score, start = 0.0, (0, 0), 0.0, 0
-    for k, (kind, value) in enumerate(found):
-        score += len(value.split()) * weights.word if kind == "t" else weights.tag(value)
-        if score <= 0:
+    found, best, best_at, score, start = [], 0.0, (0, 0), 0.0, 0
+    for k, ((kind, value, _), named) in enumerate(Page(html).kept()):
+        found.append((kind, value))
+        own = len(value.split()) * weights.word if kind == "t" else weights.tag(value)
+        score += max(0.0, own) if named else own
+        if score < 0 or score == 0 and not named:
             score, start = 0.0, k + 1
-        elif score > best:
+        elif score > best or score == best > 0 and start == best_at[0]:  # of equal ones the longer
             best, best_at = score, (start, k + 1)
     blocks, block = [], []
     for kind, value in [*found[best_at[0] : best_at[1]], ("b", "")]:
@@ -251,7 +276,8 @@ def learned_weights(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Weights
         yield pd.DataFrame([(k, i, n) for (k, i), n in sums.items()], columns=["token", "inside", "n"])
 
     counted = sample.select("html").mapInPandas(count, "token string, inside boolean, n long")
-    names = counted.groupBy("token", "inside").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(1000).collect()  # tags by name
+    # As many names as the sampled pages use more than once; the others weigh like tags that no page shows.
+    names = counted.groupBy("token", "inside").agg(F.sum("n").alias("n")).where("n > 1").collect()
     return Weights({r["token"]: r["n"] for r in names if r["inside"]}, {r["token"]: r["n"] for r in names if not r["inside"]})
 
 
@@ -259,7 +285,8 @@ def extracted(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
     """(page_id, url, html) -> page_id, url, text, n_chars; one row per row.
 
     Null, empty and textless pages give an empty text. Cut-off pages are read to
-    their end. Where two regions score the same, the first wins. Repeated rows
+    their end. Where two regions score the same, the first wins, and of those that
+    begin together the longest. Repeated rows
     are each extracted; other columns are ignored; an empty table gives no rows.
     """
     shared = pages.sparkSession.sparkContext.broadcast(learned_weights(pages, train_pages))

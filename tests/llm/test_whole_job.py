@@ -133,3 +133,27 @@ def test_more_languages_than_can_be_sent_are_refused(spark):
     assert len(language_id.learned_profiles(labelled, most_langs=5)) == 5
     with pytest.raises(ValueError, match="more than 4 languages"):
         language_id.learned_profiles(labelled, most_langs=4)
+
+
+TABLE = "".join(f"<tr><td>a{k}</td><td>{k}</td></tr>" for k in range(20))
+CELLS = [x for k in range(20) for x in (f"a{k}", str(k))]
+FIGURES = "".join(f"<figure><img src=x.png><figcaption>Figure{k}</figcaption></figure>" for k in range(15))
+RUN = " ".join(f"word{k}" for k in range(40)) + "."
+
+
+@pytest.mark.parametrize("weights", [html_extract.Weights({"": 100}, {"": 50}), html_extract.Weights({"": 300, "p": 30, "/p": 30}, {"": 40, "div": 30, "/div": 30, "li": 90, "/li": 90, "td": 40, "/td": 40, "tr": 20, "/tr": 20, "h1": 9, "/h1": 9})])
+def test_named_articles_are_kept_to_their_ends(weights):
+    around = "<body><nav><a>Menu</a></nav>{}<footer>All rights</footer></body>"
+    text = lambda html: html_extract.main_text(around.format(html), weights).split()
+    assert text(f"<article><p>{RUN}</p><table>{TABLE}</table></article>") == RUN.split() + CELLS
+    assert text(f"<article><table>{TABLE}</table><p>{RUN}</p></article>") == CELLS + RUN.split()
+    assert text(f"<main><article><h1>Title</h1><p>By A.</p><p>Lead</p>{FIGURES}<p>{RUN}</p></article></main>") == ["Title", "By", "A.", "Lead", *(f"Figure{k}" for k in range(15)), *RUN.split()]
+    assert text(f"<article><h1>Title</h1><ul><li>one</li><li>two</li></ul><p>{RUN}</p><div class='ad'>Buy</div><ol><li>end</li></ol></article>") == ["Title", "one", "two", *RUN.split(), "end"]
+
+
+@pytest.mark.parametrize("name", ["gdpr", "newsletter", "comment", "cookies", "sponsored"])
+def test_an_article_stays_whatever_it_is_about(name):
+    weights = html_extract.Weights({"": 100}, {"": 50})
+    assert html_extract.main_text(f'<body><nav>Menu</nav><article class="{name}"><p>{RUN}</p></article><footer>End</footer>', weights) == RUN
+    two = f'<body><article><p>{RUN}</p></article><article class="comment"><p>{"I think so. " * 30}</p></article>'
+    assert html_extract.main_text(two, weights) == RUN
