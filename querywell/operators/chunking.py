@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import parent_id
+from .ranges import numbered
 
 KEEP_CHARS, CHUNK, OVERLAP = 3840, 900, 120
 
@@ -59,8 +60,8 @@ def summary_tree(chunks: DataFrame, group: int = 8, each: int = 600, most: int =
 
     A summary is the begin of each text, in order, up to a total.
     """
-    order = Window.partitionBy("source").orderBy("doc_id")
-    placed = chunks.select("source", "doc_id", F.substring("text", 1, each).alias("part")).withColumn("node", F.floor((F.row_number().over(order) - 1) / group))
+    rows = chunks.select("source", "doc_id", F.substring("text", 1, each).alias("part"))
+    placed = numbered(rows, "source", [F.col("doc_id").asc()]).withColumn("node", F.floor(F.col("number") / group))
     joined = lambda items: F.substring(F.array_join(F.transform(F.array_sort(items), lambda x: x["part"]), "\n"), 1, most)
     first = placed.groupBy("source", "node").agg(joined(F.collect_list(F.struct("doc_id", "part"))).alias("summary"), F.count(F.lit(1)).alias("children")).withColumn("level", F.lit(1))
     # A root reads only as many nodes as its summary can hold, whatever the source's size.
@@ -84,14 +85,18 @@ def merged_by_title(lines: DataFrame) -> DataFrame:
     return alone.unionByName(merged)
 
 
-def pooled(tokens: DataFrame, spans: DataFrame) -> DataFrame:
+def pooled(tokens: DataFrame, spans: DataFrame, width: int = 1024) -> DataFrame:
     """tokens (doc, begin, end, vec) and spans (doc, span, begin, end) -> doc, span, vec: the mean of the vectors that overlap each span.
 
-    Special tokens (0, 0) do not count; a span without any token has the mean of all of its document.
+    Special tokens (0, 0) do not count; a span without any token has the mean of all of its document. Both meet in the
+    stretches of ``width`` characters that they touch, so a span meets only the tokens near it, and a pair counts in the first stretch it shares.
     """
+    stretch = lambda c: F.floor(F.col(c) / width)
+    touched = lambda rows, begin, end: rows.withColumn("stretch", F.explode(F.sequence(stretch(begin), F.greatest(stretch(begin), F.floor((F.col(end) - 1) / width)))))
     real = tokens.where((F.col("begin") != 0) | (F.col("end") != 0)).select("doc", F.col("begin").alias("b"), F.col("end").alias("e"), "vec")
-    found = spans.join(real, "doc").withColumn("over", (F.col("b") < F.col("end")) & (F.col("e") > F.col("begin")))
-    each = found.select("doc", "span", "over", F.posexplode("vec").alias("at", "x")).groupBy("doc", "span", "at")
-    means = each.agg(F.avg(F.when(F.col("over"), F.col("x").cast("double"))).alias("near"), F.avg(F.col("x").cast("double")).alias("every"))
-    one = F.struct("at", F.coalesce("near", "every").alias("x"))
-    return means.groupBy("doc", "span").agg(F.transform(F.array_sort(F.collect_list(one)), lambda v: v["x"]).alias("vec"))
+    near = touched(spans.where(F.col("begin") < F.col("end")), "begin", "end").join(touched(real, "b", "e"), ["doc", "stretch"])
+    near = near.where((F.col("b") < F.col("end")) & (F.col("e") > F.col("begin")) & (F.col("stretch") == F.greatest(stretch("begin"), stretch("b"))))
+    mean = lambda rows, *by: rows.select(*by, F.posexplode("vec").alias("at", "x")).groupBy(*by, "at").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda v: v["x"]).alias("vec"))
+    own, whole = mean(near, "doc", "span"), mean(real, "doc")
+    empty = spans.select("doc", "span").join(own.select("doc", "span"), ["doc", "span"], "left_anti")
+    return own.unionByName(empty.join(whole, "doc").select("doc", "span", "vec"))

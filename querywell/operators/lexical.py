@@ -76,6 +76,7 @@ class Block:
 
 
 def _blocks(queries: DataFrame) -> Iterator[Block]:
+    queries = queries.where(F.col("qid").isNotNull())
     n = -(-queries.count() // BLOCK)
     for k in range(n):
         part = queries if n == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == k)
@@ -102,6 +103,8 @@ def _statistics(texts: DataFrame, shared) -> tuple[int, float, np.ndarray]:
 def scored_topk(docs: DataFrame, queries: DataFrame, k: int, weigh: Callable, tie_as_text: bool = False, with_statistics: bool = True) -> DataFrame:
     """docs (doc_id, text, keep) and queries (qid, query) -> qid, doc_id, score, rank: positive scores only, ties by doc_id.
 
+    Ids are integers; documents and queries without one are left out.
+
     A score is the sum over shared terms of how often the query names the term
     times weigh(n, df, avgdl)(count, term, length of the document).
     """

@@ -27,6 +27,13 @@ def prefixes(rows: DataFrame, order: list[Column], sums: dict[str, Column] | Non
     return placed.select(*rows.columns, *found)
 
 
+def numbered(rows: DataFrame, by: str, order: list[Column]) -> DataFrame:
+    """rows with ``number``: their place from 0 among those of their group, in order. A group of any size is spread over ranges."""
+    placed = prefixes(rows, [F.asc_nulls_first(by), *order], {"number": F.lit(1).cast("long")})
+    first = placed.groupBy(F.col(by).alias("of_group")).agg(F.min("number").alias("first_number"))
+    return placed.join(first, F.col(by).eqNullSafe(F.col("of_group"))).withColumn("number", F.col("number") - F.col("first_number")).select(*rows.columns, "number")
+
+
 def quantiles(rows: DataFrame, by: list[str], value: str, nearest: dict[str, float] | None = None, between: dict[str, float] | None = None) -> DataFrame:
     """Exact quantiles of a column by group -> by, n, a column a quantile. Nulls do not count; a group of nulls has no row.
 

@@ -92,3 +92,16 @@ def neighbour_chunks(scores: DataFrame, seeds: DataFrame, edges: DataFrame, chun
     near = near.join(seeds, ["qid", "id"], "left_anti")
     scored = near.join(chunks, "id").join(scores, "qid").select("qid", "id", "chunk", F.round(F.col("score") * decay * F.col("weight"), 6).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id", "chunk"))).where(F.col("rank") <= k)
+
+
+def corpus_digest(rows: DataFrame, by: str, order: str, body: Column, block: int = 4096) -> DataFrame:
+    """by, digest: sha256 over the rows of a group in order, an integer from 0 without repeats.
+
+    Each text is digested by itself, then the digests of ``block`` neighbours together, and those once more, so that no list of a
+    group holds texts, or more than its own ``block`` digests; the last one holds a digest for each block * block places.
+    """
+    level = rows.select(by, F.col(order).cast("long").alias("place"), F.sha2(body, 256).alias("digest"))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "digest"))), lambda x: x["digest"]), "|"), 256).alias("digest")
+    for _ in range(2):
+        level = level.groupBy(by, F.expr(f"place div {block}").alias("block")).agg(joined).withColumnRenamed("block", "place")
+    return level.groupBy(by).agg(joined)

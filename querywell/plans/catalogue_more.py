@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import maths, text
-from ..operators import evals, generations, graph, guard, ranking
+from ..operators import evals, generations, graph, guard, ranking, stores
 from .catalogue import CHANNELS, DECIMALS, GENERATIONS, QRELS, RUNS, TOKENS, _channels, _generations, _qrels, _runs, bm25_sql, bm25_topk, query
 
 VARIANTS = f"""{CHANNELS}, u as (select qid, 1 as variant, 'chunk:' || doc_id as key, rank from lex union all select qid, 2, 'chunk:' || doc_id, rank from bag)"""
@@ -169,10 +169,13 @@ def keyword_coverage(t):
     return t("conversations").select("conv_id", "turn", text.keyword_coverage(F.col("text"), keys).alias("coverage"))
 
 
-@query("select sha256(string_agg(trim(regexp_replace(text, '\\s+', ' ', 'g')), '|' order by item_id)) as digest, source from (select item_id, text, item_id % 4 as source from benchmark) group by source")
+# Digests of 4096 texts each, of 4096 such digests each, and of those.
+@query("""with r as (select item_id % 4 as source, item_id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as d from benchmark),
+b as (select source, item_id // 4096 as k, sha256(string_agg(d, '|' order by item_id)) as d from r group by all), c as (select source, k // 4096 as k, sha256(string_agg(d, '|' order by k)) as d from b group by source, k // 4096)
+select source, sha256(string_agg(d, '|' order by k)) as digest from c group by source""")
 def corpus_digest(t):
-    rows = t("benchmark").select((F.col("item_id") % 4).alias("source"), F.struct("item_id", text.collapsed(F.col("text")).alias("body")).alias("x"))
-    return rows.groupBy("source").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["body"]), "|"), 256).alias("digest"))
+    rows = t("benchmark").select((F.col("item_id") % 4).alias("source"), "item_id", "text")
+    return stores.corpus_digest(rows, "source", "item_id", text.collapsed(F.col("text")))
 
 
 @query("select p_partkey, round(p_size * 1.8::double + 32, 2) as fahrenheit, round(p_retailprice / 25.4, 4) as inches, round(p_retailprice::decimal(12, 2) * 0.145038, 4)::double as psi from part")

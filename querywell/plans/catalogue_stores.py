@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, doubles
 from ..operators import evidence, graph, ranking, stores
+from ..operators.ranges import numbered
 from .catalogue import DECIMALS, _vectors, query
 
 # Evidence: documents, with scores of some.
@@ -177,8 +178,8 @@ NODES = "d as (select doc_id, source, lang, (row_number() over (partition by sou
 
 
 def _nodes(t):
-    order = Window.partitionBy("source").orderBy("doc_id")
-    d = t("documents").where("source is not null").select("doc_id", "source", "lang", F.floor((F.row_number().over(order) - 1) / 8).alias("node"))
+    rows = t("documents").where("source is not null").select("doc_id", "source", "lang")
+    d = numbered(rows, "source", [F.col("doc_id").asc()]).select("doc_id", "source", "lang", F.floor(F.col("number") / 8).alias("node"))
     d = d.withColumn("id", F.concat_ws("/", "source", F.col("node").cast("string")))
     return d.select("id", "source").distinct(), d.where("lang in ('en', 'fr')").select(F.col("id").alias("node"), F.col("doc_id").alias("ordinal"), "source", F.floor(F.col("doc_id") / 2).alias("chunk"))
 
