@@ -3,7 +3,7 @@
 A paragraph ends at a blank line and at a line that ends a sentence, so that
 wrapped notices are read as one and single lines of prose by themselves.
 Paragraphs are classified into licence families by multinomial logistic
-regression on word 1- to 3-grams that hold an anchor, a word of licences. It is
+regression on word 1- to 4-grams that hold an anchor, a word of licences. It is
 fitted here: on sentences of the notices of each family, with words left out or
 wrapped in other text, and on paragraphs of the corpus and prose about licences
 as the unknown class. The probabilities are calibrated by a temperature fitted on
@@ -75,27 +75,94 @@ NOTICES = {
         ["Licensed under CC BY-NC 4.0."],
     ],
     "CC0": [
-        ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "SPDX-License-Identifier: CC0-1.0", "This is free and unencumbered software released into the public domain."],
+        ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "SPDX-License-Identifier: CC0-1.0"],
         ["CC0 1.0 Universal", "Released into the public domain."],
         ["Released into the public domain under CC0 1.0."],
     ],
+    "CC-BY-NC-SA": [
+        ["This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-SA-4.0"],
+        ["This work is licensed under CC BY-NC-SA 4.0."],
+        ["Licensed under CC BY-NC-SA 4.0."],
+    ],
+    "CC-BY-ND": [
+        ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "SPDX-License-Identifier: CC-BY-ND-4.0"],
+        ["This work is licensed under CC BY-ND 4.0."],
+        ["Licensed under CC BY-ND 4.0."],
+    ],
+    "AGPL": [
+        ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "You should have received a copy of the GNU Affero General Public License along with this program. If not, see http://www.gnu.org/licenses/"],
+        ["SPDX-License-Identifier: AGPL-3.0-or-later", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3"],
+        ["Licensed under the GNU Affero General Public License, version 3."],
+    ],
+    "EPL": [
+        ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+        ["SPDX-License-Identifier: EPL-2.0", "Eclipse Public License - v 2.0"],
+        ["Licensed under the Eclipse Public License 2.0."],
+    ],
+    "ISC": [
+        ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+        ["SPDX-License-Identifier: ISC", "ISC License"],
+        ["Licensed under the ISC License."],
+    ],
+    "Boost": [
+        ["Distributed under the Boost Software License, Version 1.0.", "See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt"],
+        ["SPDX-License-Identifier: BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"],
+        ["Licensed under the Boost Software License 1.0."],
+    ],
+    "Unlicense": [
+        ["This is free and unencumbered software released into the public domain.", "For more information, please refer to https://unlicense.org"],
+        ["SPDX-License-Identifier: Unlicense", "The Unlicense"],
+        ["Released under the Unlicense."],
+    ],
     "Proprietary": [
         ["All rights reserved. Unauthorized copying of this file is strictly prohibited.", "Proprietary and confidential.", "This software is proprietary and confidential."],
         ["Copyright. All rights reserved.", "All rights reserved."],
         ["Copyright by the author, all rights reserved."],
     ],
 }
-TEMPLATES = {family: [s for notice in notices for s in notice] for family, notices in NOTICES.items()}
+#: Short names of the families.
+NAMES = {
+    "Apache": ["Apache", "Apache 2", "Apache 2.0", "Apache License 2.0", "ASL 2.0"],
+    "MIT": ["MIT", "MIT/X11", "Expat"],
+    "GPL": ["GPL", "GPLv2", "GPLv3", "GPL v3", "GPL 2", "GPL-2.0", "GPL-3.0", "GPL-3.0-only", "GNU GPL", "GNU GPL v2", "GNU GPLv3", "GNU General Public License"],
+    "LGPL": ["LGPL", "LGPLv2", "LGPLv3", "LGPL-2.1", "LGPL-3.0-or-later", "GNU LGPL", "GNU LGPL v3", "GNU Lesser General Public License"],
+    "BSD": ["BSD", "BSD-2-Clause", "BSD-3-Clause", "3-clause BSD", "new BSD", "simplified BSD"],
+    "MPL": ["MPL", "MPL 2.0", "MPLv2", "Mozilla Public License"],
+    "CC-BY": ["CC BY", "CC-BY-4.0", "CC BY 3.0", "Creative Commons Attribution", "Creative Commons Attribution 4.0"],
+    "CC-BY-SA": ["CC BY-SA", "CC-BY-SA-4.0", "CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike"],
+    "CC-BY-NC": ["CC BY-NC", "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial"],
+    "CC-BY-NC-SA": ["CC BY-NC-SA", "CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike"],
+    "CC-BY-ND": ["CC BY-ND", "CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives"],
+    "CC0": ["CC0", "CC0 1.0", "CC0-1.0"],
+    "AGPL": ["AGPL", "AGPLv3", "AGPL-3.0", "GNU AGPL", "GNU AGPLv3", "GNU Affero General Public License"],
+    "EPL": ["EPL", "EPL-2.0", "EPL 1.0", "Eclipse Public License"],
+    "ISC": ["ISC"],
+    "Boost": ["BSL-1.0", "Boost Software License", "Boost License"],
+    "Unlicense": ["Unlicense"],
+}
+#: What stands around a short name where it is a licence; the last two are held out of the fit.
+PHRASES = ["{}", "license: {}", "licence: {}", "{} license", "{} licence", "{} licensed", "licensed under {}", "under {}", "license {}", "the {} license for"]
+#: Short names that are words of other things too and stand for a licence only in a phrase.
+AMBIGUOUS = frozenset(["Apache", "MIT", "Expat", "BSD", "ISC"])
+
+
+def _named(family: str, phrases: list[str]) -> list[str]:
+    return list(dict.fromkeys(phrase.format(name) for name in NAMES.get(family, []) for phrase in phrases if phrase != "{}" or name not in AMBIGUOUS))
+
+
+TEMPLATES = {family: [s for notice in notices for s in notice] + _named(family, PHRASES) for family, notices in NOTICES.items()}
 #: Words of licences: a feature holds one of them, and a paragraph without any has no feature.
-ANCHORS = frozenset("license licenses licensed licence licenced sublicense spdx apache mit gnu gpl lgpl bsd mpl mozilla copyright cc cc0 commons attribution noncommercial sharealike redistribute redistribution redistributions hereby granted reserved proprietary unencumbered domain endorse waived warranties clause".split())
+ANCHORS = frozenset("license licenses licensed licence licenced sublicense spdx apache mit gnu gpl lgpl bsd mpl mozilla copyright cc cc0 commons attribution noncommercial sharealike redistribute redistribution redistributions hereby granted reserved proprietary unencumbered domain endorse waived warranties clause gplv2 gplv3 lgplv2 lgplv3 agpl agplv3 mplv2 epl isc asl bsl expat unlicense affero noderivatives".split())
 NEGATIVES = [
     "A driver needs a licence to drive a car in this town.", "The hotel has a liquor license and a public bar.", "Apache helicopters flew over the free city.", "He lost his fishing license in the source of the river.",
     "The mit of the hand was cold.", "The rights of the people are reserved by law.", "Copyright law is a subject taught at this school.", "She asked permission to copy the source.", "The general public enjoyed the work.",
     "A creative group of commons members met.", "The public domain of the king was under water.", "Her license plate was version 3 of the design.", "Redistribution of land was under way.", "The gnu grazed under the tree.",
     "Her poetic license was version two of a creative common work.", "The House of Commons granted the request.", "A room was reserved for all of them.", "The patent was granted and the domain registered.", "I hereby declare that the meeting is open.",
     "The company sells proprietary tools under many brands.", "The license fee was paid to the office on time.", "Warranties are given for two years in that country.", "He waived his right to speak and left.", "A clause of the contract was disputed.",
+    "The expat moved under the bridge for the summer.", "The isc of the town met on Monday.", "She got a boost from the eclipse of the moon.", "Under the apache rule of the valley the people were free.", "His cc of the letter went to the office.",
+    "He studied at MIT for two years.", "The Apache scouts rode over the hill.", "Work at MIT and at the Apache reservation went on.",
 ]
-UNKNOWN, LEAST, OVERLAP, TRAIN_PARAGRAPHS = "unknown", 0.6, 0.5, 500
+UNKNOWN, LEAST, OVERLAP, TRAIN_PARAGRAPHS, SHORT = "unknown", 0.6, 0.5, 500, 7
 _WORD = r"[\p{L}\p{N}]+(?:\.[0-9]+)?"
 _PYTHON_WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)?")
 #: A paragraph ends here: behind a line that ends a sentence, and at lines without a letter or digit.
@@ -107,7 +174,7 @@ def words(text: str) -> list[str]:
 
 
 def ngrams(found: list[str]) -> set[str]:
-    return {" ".join(found[k : k + n]) for n in (1, 2, 3) for k in range(len(found) - n + 1)}
+    return {" ".join(found[k : k + n]) for n in (1, 2, 3, 4) for k in range(len(found) - n + 1)}
 
 
 def pairs(found: list[str]) -> list[str]:
@@ -125,7 +192,8 @@ def _examples(notices: dict[str, list[str]], negatives: list[str], seed: int) ->
             w = words(t)
             rows.append((w, family))
             for _ in range(4):
-                kept = [x for x in w if rng.random() > 0.12]
+                # A short name without one of its words may be another family's.
+                kept = [x for x in w if len(w) <= SHORT or rng.random() > 0.12]
                 around = [rng.choice(other) for _ in range(rng.randrange(12))]
                 cut = rng.randrange(len(around) + 1)
                 rows.append((around[:cut] + kept + around[cut:], family))
@@ -142,8 +210,8 @@ class Classifier:
     def __init__(self, negatives: list[str], seed: int = 3):
         negatives = [*NEGATIVES, *negatives]
         self.families = [*TEMPLATES, UNKNOWN]
-        fit = {family: [s for notice in notices[:-1] for s in notice] for family, notices in NOTICES.items()}
-        held = {family: notices[-1] for family, notices in NOTICES.items()}
+        fit = {family: [s for notice in notices[:-1] for s in notice] + _named(family, PHRASES[:-2]) for family, notices in NOTICES.items()}
+        held = {family: notices[-1] + _named(family, PHRASES[-2:]) for family, notices in NOTICES.items()}
         self.vocabulary = sorted({g for templates in TEMPLATES.values() for t in templates for g in ngrams(words(t)) if ANCHORS & set(g.split())})
         self.place = {g: k for k, g in enumerate(self.vocabulary)}
         self._fit(_examples(fit, negatives[::2] + NEGATIVES, seed))
@@ -209,7 +277,7 @@ def _ngrams(found: str) -> Column:
     def from_each(k: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.when(i + k - 1 <= n, F.array_join(F.slice(found, i, k), " ")))
 
-    return F.array_distinct(F.concat(*map(from_each, (1, 2, 3))))
+    return F.array_distinct(F.concat(*map(from_each, (1, 2, 3, 4))))
 
 
 def has_anchor(text: Column) -> Column:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from querywell.llm import decontaminate, html_extract, language_id, simhash
+from querywell.llm import decontaminate, html_extract, language_id, licenses, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -157,3 +157,23 @@ def test_an_article_stays_whatever_it_is_about(name):
     assert html_extract.main_text(f'<body><nav>Menu</nav><article class="{name}"><p>{RUN}</p></article><footer>End</footer>', weights) == RUN
     two = f'<body><article><p>{RUN}</p></article><article class="comment"><p>{"I think so. " * 30}</p></article>'
     assert html_extract.main_text(two, weights) == RUN
+
+
+#: Wordings that stand in no notice of the fit.
+SHORT_NOTICES = [
+    ("License: GPLv3", "GPL"), ("license: Apache 2", "Apache"), ("@license MIT", "MIT"), ("MIT licensed", "MIT"), ("GPL-3.0-only", "GPL"), ("GNU LGPL v3", "LGPL"), ("This code is made available under the GPLv3.", "GPL"),
+    ("published under the GNU GPL v2", "GPL"), ("You may use this code under the terms of the MIT licence.", "MIT"), ("Content is available under Creative Commons Attribution-ShareAlike License", "CC-BY-SA"),
+    ("CC-BY-NC-SA 4.0", "CC-BY-NC-SA"), ("All code here is free under the terms of the BSD 2-clause licence.", "BSD"), ("Distributed under the terms of the MPL 2.0", "MPL"), ("This package is AGPLv3 licensed", "AGPL"),
+    ("Except where noted, text is under CC BY-SA 3.0", "CC-BY-SA"), ("Images: CC BY 4.0", "CC-BY"), ("Available as CC0", "CC0"), ("The ISC licence applies to all files here.", "ISC"), ("Use it under the Boost Software License", "Boost"),
+    ("This project uses the Unlicense", "Unlicense"), ("It is provided under the Eclipse Public License, see LICENSE", "EPL"), ("The plugin ships with an Apache-2.0 license.", "Apache"), ("Data are shared under a CC BY-NC licence", "CC-BY-NC"),
+    ("License :: OSI Approved :: MIT License", "MIT"), ("SPDX-License-Identifier: LGPL-3.0-or-later", "LGPL"), ("BSD licensed, see COPYING", "BSD"),
+]
+NO_NOTICES = ["A driver licence is required to rent the car.", "The Apache people lived in the south west.", "MIT is a university in Cambridge.", "The patent licence was sold under seal.", "She is licensed to practise medicine.", "Public domain works are listed in the library."]
+
+
+def test_short_notices_are_found_in_other_wordings(spark):
+    texts = [t for t, _ in SHORT_NOTICES] + NO_NOTICES
+    found = {r["doc_id"]: r["family"] for r in licenses.license_scan(spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], DOCS)).collect()}
+    right = sum(found.get(k) == family for k, (_, family) in enumerate(SHORT_NOTICES))
+    wrong = [(texts[k], f) for k, f in found.items() if k >= len(SHORT_NOTICES) or f != SHORT_NOTICES[k][1]]
+    assert right >= 0.9 * len(SHORT_NOTICES) and len(wrong) <= 1, (right, wrong)
