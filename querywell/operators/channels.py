@@ -121,6 +121,17 @@ def procedure_blocks(units: DataFrame, by: str, lang: str = "en") -> DataFrame:
     return held.select(by, place.alias("place"), block.alias("block")).where("place is not null")
 
 
+def with_roles(units: DataFrame, roles: DataFrame, by: str) -> DataFrame:
+    """units (by, clause, source, body) and roles (by, clause, role) a reply gave -> units with their role, of those whose clauses are just the ones named.
+
+    A clause without a role, a role of an unknown clause or of none leaves the whole procedure out. Clauses are single in each.
+    """
+    keys = [by, "clause"]
+    both = units.withColumn("__unit", F.lit(True)).join(roles.select(*keys, "role"), keys, "full")
+    whole = both.groupBy(by).agg(F.bool_and(F.coalesce("__unit", F.lit(False)) & F.col("role").isNotNull()).alias("__whole")).where("__whole")
+    return both.drop("__unit").join(whole.drop("__whole"), by, "left_semi")
+
+
 @F.pandas_udf(SPANS)
 def piece_spans(text: pd.Series, pieces: pd.Series) -> pd.Series:
     """Where the pieces stand in the text, each looked for after the one before; null if one is not there or the text is null.

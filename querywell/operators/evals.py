@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import skyline
+from .ranges import quantiles, skyline
 
 #: A drop of a metric beyond this is a regression; the gates' limits.
 REGRESSION, GATE_DROP, PARETO_LOSS, PARETO_SLOWDOWN = 0.05, 0.02, 0.02, 1.25
@@ -48,7 +48,14 @@ def compared(old: DataFrame, new: DataFrame, key: str, metric: str, higher_is_be
 
 
 def medians(runs: DataFrame, *by: str, metric: str) -> DataFrame:
-    return runs.groupBy(*by).agg(F.round(F.median(metric), 6).alias("median"), F.round(F.min(metric), 6).alias("worst"), F.count(metric).alias("runs"))
+    """by, median and least of a metric, and how many runs have it; a group without any has nulls and 0."""
+    found = quantiles(runs, list(by), metric, {"worst": 0.0}, {"median": 0.5}).select(*(F.col(c).alias(f"__{c}") for c in by), "n", "median", "worst")
+    every = runs.select(*by).distinct()
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    joined = every.join(found, same, "left")
+    return joined.select(*by, F.round("median", 6).alias("median"), F.round("worst", 6).alias("worst"), F.coalesce("n", F.lit(0)).alias("runs"))
 
 
 def reference_delta(variants: DataFrame, dataset: str, variant: str, metric: str, reference: str) -> DataFrame:
@@ -63,7 +70,7 @@ def pareto(rows: DataFrame, key: str, quality: str, price: str) -> DataFrame:
 
 
 def drift(runs: DataFrame, group: str, position: str, value: str, limit: float = 0.25) -> DataFrame:
-    each = runs.groupBy(group, position).agg(F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95"))
+    each = quantiles(runs, [group, position], value, {"p95": 0.95})
     out = each.groupBy(group).agg(F.round(F.min("p95"), 6).alias("least"), F.round(F.max("p95"), 6).alias("most"), F.round(F.median("p95"), 6).alias("middle"))
     return out.withColumn("warning", (F.col("most") - F.col("least")) / F.col("least") > limit)
 

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from .ranges import quantiles
 
 
-def nearest_rank(value: str, p: float) -> Column:
-    return F.expr(f"percentile_disc({p}) within group (order by {value})")
-
-
 def latency_summary(log: DataFrame, by: str, value: str, order: str) -> DataFrame:
     """The first request of each group (all that share its place) is cold and left out; p50 is the median, p95 the nearest rank."""
     first = log.groupBy(F.col(by).alias("__by")).agg(F.min(order).alias("__first"))
@@ -62,7 +58,10 @@ def load_report(log: DataFrame, by: str, at: str, latency: str) -> DataFrame:
     """Requests, requests a second from the first to the last, mean latency and its nearest-rank percentiles."""
     seconds = (F.unix_micros(F.max(at).cast("timestamp")) - F.unix_micros(F.min(at).cast("timestamp"))) / 1e6
     n = F.count(F.lit(1))
-    return log.groupBy(by).agg(n.alias("n"), F.round(F.try_divide(n, seconds), 6).alias("per_second"), F.round(F.avg(latency), 6).alias("mean"), *(nearest_rank(latency, p / 100).alias(f"p{p}") for p in (50, 95, 99)))
+    whole = log.groupBy(F.col(by).alias("__by")).agg(n.alias("all"), F.round(F.try_divide(n, seconds), 6).alias("per_second"), F.round(F.avg(latency), 6).alias("mean"))
+    found = quantiles(log, [by], latency, {f"p{p}": p / 100 for p in (50, 95, 99)})
+    joined = whole.join(found, F.col("__by").eqNullSafe(F.col(by)), "left")
+    return joined.select(F.col("__by").alias(by), F.col("all").alias("n"), "per_second", "mean", "p50", "p95", "p99")
 
 
 def joined_feedback(feedback: DataFrame, inferences: DataFrame) -> DataFrame:

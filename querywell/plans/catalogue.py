@@ -36,7 +36,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from . import catalogue_adapters, catalogue_answers, catalogue_channels, catalogue_checks, catalogue_context, catalogue_judged, catalogue_more, catalogue_records, catalogue_splits, catalogue_stores  # noqa: F401  register their own
+    from . import catalogue_adapters, catalogue_answers, catalogue_channels, catalogue_checks, catalogue_context, catalogue_judged, catalogue_more, catalogue_pages, catalogue_records, catalogue_splits, catalogue_stores  # noqa: F401  register their own
 
     return dict(QUERIES)
 

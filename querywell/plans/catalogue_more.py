@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import maths, text
-from ..operators import evals, generations, graph, guard, ranking, stores
+from ..operators import evals, generations, graph, guard, ranges, ranking, stores
 from .catalogue import CHANNELS, DECIMALS, GENERATIONS, QRELS, RUNS, TOKENS, _channels, _generations, _qrels, _runs, bm25_sql, bm25_topk, query
 
 VARIANTS = f"""{CHANNELS}, u as (select qid, 1 as variant, 'chunk:' || doc_id as key, rank from lex union all select qid, 2, 'chunk:' || doc_id, rank from bag)"""
@@ -97,8 +97,9 @@ def route_stats(t):
 @query(f"""with {RUNS}, b as (select dataset, avg(score) as q, quantile_disc(score, 0.95) as l from runs where variant = 'view' group by 1), v as (select dataset, variant, avg(score) as q, quantile_disc(score, 0.95) as l from runs group by all)
 select v.dataset, v.variant, b.q - v.q <= 0.02 and v.l <= 1.25 * b.l as promoted from v join b using (dataset)""")
 def promotion_gate(t):
-    p95 = F.expr("percentile_disc(0.95) within group (order by score)")
-    each = _runs(t).groupBy("dataset", "variant").agg(F.avg("score").alias("q"), p95.alias("l"))
+    runs = _runs(t)
+    slow = ranges.quantiles(runs, ["dataset", "variant"], "score", {"l": 0.95}).drop("n")
+    each = runs.groupBy("dataset", "variant").agg(F.avg("score").alias("q")).join(slow, ["dataset", "variant"])
     return evals.promotion_gate(each, "dataset", "q", "l", each.where("variant = 'view'")).select("dataset", "variant", "promoted")
 
 
