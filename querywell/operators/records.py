@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.answers import stripped
+from ..functions.text import tokens
 from ..functions.vectors import dot
 from ..streaming.versions import Batches
 
@@ -78,6 +79,22 @@ def late_rerank(hits: DataFrame, queries: DataFrame, documents: DataFrame, k: in
     return rows.select("qid", "id", F.coalesce("new_place", "rank").alias("place"), "score", F.col("new_place").isNotNull().alias("applied"))
 
 
+def enriched(questions: DataFrame, memories: DataFrame, least: int = 4, k: int = 5) -> DataFrame:
+    """questions (id, question) and memories (memory, content, weight) -> id, memories: up to k memories that share a word with the question.
+
+    Words have ``least`` characters or more; memories go by their number of shared words, then weight, then name. Only words that both sides
+    hold are joined, with the questions' side counted first. Questions without any get an empty list.
+    """
+    terms = lambda rows, key, text: rows.select(key, F.explode(F.array_distinct(tokens(F.coalesce(text, F.lit(""))))).alias("term")).where(F.length("term") >= least)
+    asked = terms(questions, "id", "question")
+    held = terms(memories, "memory", "content").join(asked.select("term").distinct(), "term", "left_semi")
+    shared = held.join(asked, "term").groupBy("id", "memory").agg(F.count(F.lit(1)).alias("shared")).join(memories.select("memory", "weight"), "memory")
+    order = Window.partitionBy("id").orderBy(F.desc("shared"), F.desc("weight"), "memory")
+    best = shared.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    listed = best.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "memory"))), lambda x: x["memory"]).alias("memories"))
+    return questions.select("id").join(listed, "id", "left").select("id", F.coalesce("memories", F.array().cast(listed.schema["memories"].dataType)).alias("memories"))
+
+
 class Records:
     """Memories and evaluation runs in one folder, each batch of them seen once."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import answers, text, vectors
 from ..operators import records, stores
 from ..sources.readers import replay
-from .catalogue import DECIMALS, SQL, dense_topk_ip, query
+from .catalogue import DECIMALS, SQL, TOKENS, dense_topk_ip, query
 from .catalogue_splits import own_folder
 
 SAID = "a as (select conv_id * 1000 + turn as id, role as question, case turn % 3 when 0 then '【cause】' || text || '【next】more' when 1 then 'intro cause: ' || text || '【cause】 ' else '【effect】' || text || chr(10) || '【cause】second' end as answer, text from conversations where text is not null and not contains(text, '【') and not contains(text, 'cause'))"
@@ -135,3 +135,14 @@ def replay_rows(t):
     rows.write.text(folder)
     found = replay(rows.sparkSession, folder)
     return found.select("id", F.md5("answer").alias("answer"), F.size("contexts").alias("contexts"), F.md5(F.array_join("contexts", "|")).alias("held"))
+
+
+# Benchmark passages as memories for the turns of conversations.
+@query(rf"""with q as (select distinct conv_id * 1000 + turn as id, unnest({TOKENS}) as term from conversations), m as (select distinct item_id as memory, length(text) as weight, unnest({TOKENS}) as term from benchmark),
+s as (select id, memory, weight, count(*) as shared from q join m using (term) where length(term) >= 4 group by all), r as (select *, row_number() over (partition by id order by shared desc, weight desc, memory) as place from s qualify place <= 5),
+l as (select id, list(memory order by place) as memories from r group by id)
+select c.id, coalesce(array_to_string(memories, ','), '') as memories from (select conv_id * 1000 + turn as id from conversations) c left join l on l.id = c.id""")
+def memories_for_questions(t):
+    questions = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("question"))
+    memories = t("benchmark").select(F.col("item_id").alias("memory"), F.col("text").alias("content"), F.length("text").alias("weight"))
+    return records.enriched(questions, memories).select("id", F.array_join(F.transform("memories", lambda m: m.cast("string")), ",").alias("memories"))
