@@ -51,3 +51,19 @@ def test_late_rerank_leaves_the_rest_alone(spark):
     documents = spark.createDataFrame([("good", [[1.0, 0.0], [0.0, 1.0]]), ("bad", [[-1.0, 0.0], [0.0, -1.0]]), ("third", [[1.0, 0.0]])], "id string, tokens array<array<double>>")
     got = {(r["qid"], r["id"]): (r["place"], r["score"], r["applied"]) for r in records.late_rerank(hits, queries, documents, 2).collect()}
     assert got == {(1, "good"): (1, 1.0, True), (1, "bad"): (2, 0.0, True), (1, "third"): (3, None, False), (2, "good"): (1, None, False), (2, "bad"): (2, None, False)}
+
+
+def test_memories_that_share_words_with_a_question(spark):
+    questions = spark.createDataFrame([(1, "how does the pump valve leak"), (2, "of it"), (3, None)], "id int, question string")
+    memories = spark.createDataFrame([("m1", "Pump notes", 1), ("m2", "valve and pump leak", 1), ("m3", "a valve", 9), ("m4", "other thing", 5), ("m5", None, 1)], "memory string, content string, weight int")
+    got = {r["id"]: r["memories"] for r in records.enriched(questions, memories, k=2).collect()}
+    assert got == {1: ["m2", "m3"], 2: [], 3: []}
+    assert records.enriched(questions.limit(0), memories).count() == 0
+
+
+def test_procedures_need_a_role_for_each_clause(spark):
+    from querywell.operators import channels
+
+    units = spark.createDataFrame([(d, c, "s", "Do it.") for d in (1, 2, 3, 4) for c in (0, 1)], "doc int, clause int, source string, body string")
+    roles = spark.createDataFrame([(1, 0, "scope"), (1, 1, "step"), (2, 0, "scope"), (3, 0, "scope"), (3, 1, "step"), (3, 2, "step"), (4, 0, "scope"), (4, 1, None), (5, 0, "scope")], "doc int, clause int, role string")
+    assert sorted((r["doc"], r["clause"], r["role"]) for r in channels.with_roles(units, roles, "doc").collect()) == [(1, 0, "scope"), (1, 1, "step")]
