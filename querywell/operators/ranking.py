@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.maths import authority_value, decay_factor, finite, probability, revision_digits, sigmoid, status_rank
 from ..functions.text import terms
-from ..functions.vectors import cosine, dot
+from .tiles import near_pairs
 
 RRF_K, BLOCK = 60, 1024
 
@@ -17,18 +17,10 @@ RRF_K, BLOCK = 60, 1024
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, by: str = "ip", keep: Column | None = None) -> DataFrame:
     """vectors (id, vec) and queries (qid, qvec) -> qid, id, score, rank; ties by the id as a string.
 
-    The queries are sent out in blocks of ``BLOCK``, one pass over the vectors
-    for each; window group limits keep k a query in each task before the exchange.
+    Every query meets every vector, in tiles of bounded size (operators.tiles), each of which sends on what can be among the first k.
     """
     kept = vectors if keep is None else vectors.where(keep)
-    score = (dot if by == "ip" else cosine)(F.col("vec"), F.col("qvec"))
-    blocks = -(-queries.count() // BLOCK)
-    scored = None
-    for n in range(max(1, blocks)):
-        part = queries if blocks <= 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == n)
-        block = part.agg(F.collect_list(F.struct("qid", "qvec")).alias("block"))
-        some = kept.crossJoin(F.broadcast(block)).select("id", "vec", F.inline("block")).select("qid", "id", F.round(score, 6).alias("score"))
-        scored = some if scored is None else scored.unionByName(some)
+    scored = near_pairs(kept, queries, k, by).select("qid", "id", F.round("score", 6).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.col("id").cast("string"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
