@@ -128,14 +128,14 @@ def mmr(pool: DataFrame, queries: DataFrame, k: int, trade: float = 0.7) -> Data
         relevance = 0.5 * (x @ q) + 0.5 * (np.full(len(s), 0.5) if span == 0 else (s - s.min()) / span)
         near, left, order = np.zeros(len(s)), list(range(len(s))), []
         while left and len(order) < k:
-            gain = [trade * relevance[i] - (1 - trade) * near[i] for i in left]
+            gain = trade * relevance[left] - (1 - trade) * near[left]
             pick = left.pop(int(np.argmax(gain)))
             order.append(pick)
             near = np.maximum(near, x @ x[pick]) if len(order) > 1 else x @ x[pick]
         order += left
         return pd.DataFrame({"qid": rows["qid"].iloc[order].to_numpy(), "id": rows["id"].iloc[order].to_numpy(), "rank": np.arange(1, len(order) + 1)})
 
-    return pool.join(F.broadcast(queries), "qid").groupBy("qid").applyInPandas(choose, "qid long, id long, rank int")
+    return pool.join(queries, "qid").groupBy("qid").applyInPandas(choose, "qid long, id long, rank int")
 
 
 def selected(hits: DataFrame, final_k: int) -> DataFrame:
