@@ -24,3 +24,16 @@ def test_pagerank_converges_to_the_plain_ranks(spark):
     assert all(r["rank"] == pytest.approx(ranks[r["id"]], abs=1e-5) for r in got)
     short = graph.pagerank(edges, spark.createDataFrame([(0,)], "id long"), rounds=2).collect()
     assert short and not any(r["converged"] for r in short)
+
+
+def test_pagerank_needs_few_rounds(spark):
+    rng = np.random.default_rng(4)
+    edges = spark.createDataFrame([(int(a), int(b), 1.0) for a, b in zip(rng.integers(0, 40, 160), rng.integers(40, 60, 160))], "src long, dst long, weight double").dropDuplicates()
+    seeds = spark.createDataFrame([(0,), (1,)], "id long")
+    got = {r["id"]: r for r in graph.pagerank(edges, seeds, rounds=40).collect()}
+    assert all(r["converged"] for r in got.values()) and sum(r["rank"] for r in got.values()) == pytest.approx(1, abs=1e-5)
+    links = {(r["src"], r["dst"]) for r in graph.adjacency(edges).collect()}
+    degree = {a: sum(1 for x, _ in links if x == a) for a, _ in links}
+    for b in got:
+        flow = sum(got[a]["rank"] / degree[a] for a, x in links if x == b)
+        assert got[b]["rank"] == pytest.approx(0.15 * (b in (0, 1)) / 2 + 0.85 * flow, abs=1e-5)
