@@ -17,6 +17,8 @@ OUT = f"stream_id string, number int, paragraph {PARAGRAPH}, conditions array<{P
 _OPEN = re.compile(r'\s*\{\s*"conditions"\s*:\s*')
 _BETWEEN = re.compile(r'\s*,\s*"answer"\s*:\s*\[')
 _SPACE = re.compile(r"\s*")
+#: What counts in a value, within quotes and outside.
+_QUOTED, _BARE = re.compile(r'["\\]'), re.compile(r'["\[\]{}]')
 
 
 def _paragraph(value: object) -> dict | None:
@@ -51,15 +53,21 @@ class Reply:
             if self.rest and self.rest[0] not in "[{":
                 raise ValueError("invalid_paragraph" if self.stage == "answer" else "invalid_conditions")
         while self.at < len(self.rest):
-            c = self.rest[self.at]
-            self.at += 1
+            if self.escaped:
+                self.at, self.escaped = self.at + 1, False
+                continue
+            mark = (_QUOTED if self.quoted else _BARE).search(self.rest, self.at)
+            if not mark:
+                self.at = len(self.rest)
+                break
+            c, self.at = mark[0], mark.end()
             if self.quoted:
-                self.quoted, self.escaped = self.escaped or c != '"', not self.escaped and c == "\\"
+                self.quoted, self.escaped = c != '"', c == "\\"
             elif c == '"':
                 self.quoted = True
             elif c in "[{":
                 self.depth += 1
-            elif c in "]}":
+            else:
                 self.depth -= 1
                 if self.depth == 0:
                     return json.loads(self.rest[: self.at]), True
@@ -152,8 +160,12 @@ class Reply:
         return out
 
 
+def _table(found: list[tuple[str, dict]]) -> pd.DataFrame:
+    return pd.DataFrame([(key, x["number"], x["paragraph"], x["conditions"], x.get("status")) for key, x in found], columns=["stream_id", "number", "paragraph", "conditions", "status"])
+
+
 def _rows(key: str, found: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame([(key, x["number"], x["paragraph"], x["conditions"], x.get("status")) for x in found], columns=["stream_id", "number", "paragraph", "conditions", "status"])
+    return _table([(key, x) for x in found])
 
 
 def _parts(parts: DataFrame, *more: str) -> DataFrame:
@@ -204,11 +216,16 @@ def released_paragraphs(parts: DataFrame, idle: str = "10 minutes", lateness: st
 def paragraphs(parts: DataFrame) -> DataFrame:
     """The same rows of a table of whole streams; a stream without a finish has no row with a status."""
 
-    def read(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        reply, found = Reply(), []
-        for seq, piece, finish in rows.sort_values("seq")[["seq", "piece", "finish"]].itertuples(index=False):
-            found += reply.arrived(int(seq), piece, None if pd.isna(finish) else finish)
-        return _rows(key[0], found)
-
-    # A reply is bounded: after MOST_BYTES of pieces it can only fail.
-    return _parts(parts).groupBy("stream_id").applyInPandas(read, OUT)
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reply, stream = None, None
+        for rows in batches:
+            found = []
+            for at, seq, piece, finish in zip(rows["stream_id"], rows["seq"], rows["piece"], rows["finish"]):
+                if reply is None or at != stream:
+                    reply, stream = Reply(), at
+                found += [(at, x) for x in reply.arrived(int(seq), piece, None if pd.isna(finish) else finish)]
+            if found:
+                yield _table(found)
+
+    # Pieces of a task's streams, one stream after the other: neither a frame nor a call for each, and no stream is held whole.
+    return _parts(parts).repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInPandas(read, OUT)
