@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from querywell.operators import graph
+from querywell.streaming import replies
 
 
 def test_pagerank_converges_to_the_plain_ranks(spark):
@@ -37,3 +38,12 @@ def test_pagerank_needs_few_rounds(spark):
     for b in got:
         flow = sum(got[a]["rank"] / degree[a] for a, x in links if x == b)
         assert got[b]["rank"] == pytest.approx(0.15 * (b in (0, 1)) / 2 + 0.85 * flow, abs=1e-5)
+
+
+def test_replies_are_read_without_a_call_a_stream(spark):
+    said = '{"conditions":[],"answer":[{"text":"a \\\\ \\" ]} b","source_ids":[1]},{"text":"c","source_ids":[]}]}'
+    rows = [(f"s{n}", k, said[5 * k : 5 * k + 5], "stop" if 5 * k + 5 >= len(said) else None) for n in range(30) for k in reversed(range(-(-len(said) // 5)))]
+    found = replies.paragraphs(spark.createDataFrame(rows, "stream_id string, seq long, piece string, finish string"))
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    got = sorted((r["stream_id"], r["paragraph"]["text"] if r["paragraph"] else "", r["status"] or "") for r in found.collect())
+    assert got == sorted(x for n in range(30) for x in ((f"s{n}", 'a \\ " ]} b', ""), (f"s{n}", "c", ""), (f"s{n}", "", "complete")))
