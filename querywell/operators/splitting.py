@@ -1,7 +1,7 @@
 """Splitting long texts where they change their subject, or by a list of separators.
 
-Every text is split by itself in its own task: no shuffle, memory of one text and
-its pieces. Small texts stay whole.
+Every text is split by itself in its own task: no shuffle, memory of few texts and
+their pieces. Small texts stay whole.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ from collections.abc import Callable, Iterator
 from hashlib import md5
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from ..functions.text import parent_id
+from .batches import parts
 
 KEEP_CHARS, CHUNK, OVERLAP = 3840, 900, 120
 KEEP_TOKENS, CHARS_A_TOKEN = 1200, 3.2
@@ -130,24 +132,31 @@ def semantic_pieces(text: str, percentile: float = PERCENTILE, vectors: Callable
 # Over tables ---------------------------------------------------------------------------------------------------------
 
 
-def _pieces(split: Callable[[str], list[str]]) -> Callable[[Column | str], Column]:
-    @F.pandas_udf("array<string>")
-    def pieces(texts: pd.Series) -> pd.Series:
-        return pd.Series([split(t) if t else [] for t in texts], dtype="object")
+def _cut(rows: DataFrame, split: Callable[[str], list[str]]) -> DataFrame:
+    """rows with a text -> their other columns, place, chunk, pieces (of the whole text): few texts and their pieces at a time."""
+    names = [c for c in rows.columns if c != "text"]
+    schema = StructType([*(rows.schema[c] for c in names)]).add("place", IntegerType()).add("chunk", StringType()).add("pieces", IntegerType())
 
-    return pieces
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            found = [split(t) if t else [] for t in part.column("text").to_pylist()]
+            sizes = np.array([len(f) for f in found], dtype=np.int32)
+            row = np.repeat(np.arange(len(found)), sizes)
+            place = np.arange(len(row), dtype=np.int32) - np.repeat(np.cumsum(sizes, dtype=np.int32) - sizes, sizes)
+            held = [part.column(c).take(pa.array(row)) for c in names]
+            yield pa.RecordBatch.from_arrays([*held, pa.array(place), pa.array([c for f in found for c in f], pa.string()), pa.array(sizes[row])], [*names, "place", "chunk", "pieces"])
+
+    return rows.mapInArrow(cut, schema)
 
 
 def recursive_chunks(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS, measure: Measure = len) -> DataFrame:
     """(doc_id, text) -> doc_id, place, chunk. Null and empty texts give no rows; blank ones neither."""
-    pieces = _pieces(lambda t: recursive_pieces(t, size, overlap, separators, measure))
-    return docs.select("doc_id", F.posexplode(pieces("text")).alias("place", "chunk"))
+    return _cut(docs.select("doc_id", "text"), lambda t: recursive_pieces(t, size, overlap, separators, measure)).drop("pieces")
 
 
 def semantic_chunks(docs: DataFrame, percentile: float = PERCENTILE, vectors: Callable[[list[str]], np.ndarray] = hashed_vectors) -> DataFrame:
     """(doc_id, text) -> doc_id, place, chunk. Null and empty texts give no rows."""
-    pieces = _pieces(lambda t: semantic_pieces(t, percentile, vectors))
-    return docs.select("doc_id", F.posexplode(pieces("text")).alias("place", "chunk"))
+    return _cut(docs.select("doc_id", "text"), lambda t: semantic_pieces(t, percentile, vectors)).drop("pieces")
 
 
 def sized_chunks(docs: DataFrame, keep: int = KEEP_CHARS, measure: Measure = len, size: int = CHUNK, overlap: int = OVERLAP, by_subject: bool = True) -> DataFrame:
@@ -166,5 +175,5 @@ def sized_chunks(docs: DataFrame, keep: int = KEEP_CHARS, measure: Measure = len
 
     section = F.conv(F.substring(F.sha1("text"), 1, 8), 16, 10)
     parent = F.when(F.coalesce("source", F.lit("")) != "", parent_id(F.col("source"), section))
-    rows = docs.where(F.length("text") > 0).select("doc_id", parent.alias("parent_id"), _pieces(split)("text").alias("pieces"))
-    return rows.select("doc_id", "parent_id", F.posexplode("pieces").alias("place", "chunk"), (F.size("pieces") == 1).alias("whole"))
+    rows = _cut(docs.where(F.length("text") > 0).select("doc_id", parent.alias("parent_id"), "text"), split)
+    return rows.select("doc_id", "parent_id", "place", "chunk", (F.col("pieces") == 1).alias("whole"))

@@ -2,7 +2,9 @@
 
 import json
 
-from querywell.operators import extraction
+import pyarrow as pa
+
+from querywell.operators import batches, extraction, splitting
 
 
 def test_entities_without_the_work_for_relations(spark):
@@ -15,3 +17,21 @@ def test_entities_without_the_work_for_relations(spark):
     assert sorted(alone.collect()) == sorted(whole.select(*alone.columns).collect())
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "relations" not in plan(alone) and "schema" not in plan(whole).lower()
+
+
+def test_texts_go_in_parts_of_bounded_size():
+    texts = ["a" * 10, None, "", "b" * 300, "c" * 60, "d" * 40, "e"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["id", "text"])
+    got = list(batches.parts(iter([batch, batch.slice(0, 0), batch.slice(2)]), size=100))
+    assert [p.column("id").to_pylist() for p in got] == [[0, 1, 2], [3], [4, 5], [6], [2], [3], [4, 5], [6]]
+    assert [t for p in got[:4] for t in p.column("text").to_pylist()] == texts
+
+
+def test_chunks_leave_a_task_few_texts_at_a_time(spark):
+    docs = spark.createDataFrame([(k, None if k == 3 else f"one {k}. two. " * 20) for k in range(50)], "doc_id long, text string").coalesce(1)
+    rows = docs.mapInArrow(lambda b: (pa.RecordBatch.from_arrays([pa.array([len(p)])], ["n"]) for p in batches.parts(b, size=1000)), "n long").collect()
+    assert len(rows) >= 10 and sum(r["n"] for r in rows) == 50
+    plan = splitting.semantic_chunks(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
+    got = {r["doc_id"]: r["n"] for r in splitting.recursive_chunks(docs, 60, 0).groupBy("doc_id").count().withColumnRenamed("count", "n").collect()}
+    assert got == {k: len(splitting.recursive_pieces(f"one {k}. two. " * 20, 60, 0)) for k in range(50) if k != 3}
