@@ -1,7 +1,7 @@
 """Lexical index and BM25 over batches of queries.
 
-Queries are the stated set: they go out in blocks. For each block the documents
-are read twice where they lie, once for the statistics of the block's terms and
+Queries are the stated set: they go out in blocks. For so many blocks at a time the documents
+are read twice where they lie, once for the statistics of the blocks' terms and
 once for the scores; only k rows a query leave a task, so neither texts nor
 (query, document) pairs are ever shuffled.
 """
@@ -14,14 +14,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .batches import parts
 
 K1, B = 1.5, 0.75
-#: Queries of a block, and cells of a block of scores.
-BLOCK, CELLS = 256, 1 << 22
+#: Queries of a block, cells of a block of scores, and blocks that one reading of the documents serves.
+BLOCK, CELLS, TOGETHER = 256, 1 << 22, 16
 #: The rule of ``functions.text.tokens`` on lower-case texts.
 _TOKEN = re.compile("[a-z0-9_A-Z]{2,}|[一-鿿]+")
 
@@ -51,55 +53,84 @@ def updated_stats(whole: DataFrame, gone: DataFrame, added: DataFrame) -> DataFr
 
 
 class Block:
-    """Queries and the places of their terms: ``asked`` is terms x queries, how often a query names a term."""
+    """Some of the queries and the places of their terms; ``asked`` says how often a query names a term."""
 
     def __init__(self, queries: list[tuple[int, str]]):
         self.ids = np.array([q for q, _ in queries], dtype=np.int64)
         found = [Counter(_TOKEN.findall((t or "").lower())) for _, t in queries]
-        self.place = {t: k for k, t in enumerate(sorted({t for c in found for t in c}))}
-        self.asked = np.zeros((len(self.place), len(queries)))
-        for j, c in enumerate(found):
-            for t, n in c.items():
-                self.asked[self.place[t], j] = n
+        self.terms = sorted({t for c in found for t in c})
+        place = {t: k for k, t in enumerate(self.terms)}
+        self.named = np.array([(place[t], j, n) for j, c in enumerate(found) for t, n in c.items()], dtype=np.int64).reshape(-1, 3)
+
+    def asked(self) -> np.ndarray:
+        """Terms x queries."""
+        out = np.zeros((len(self.terms), len(self.ids)))
+        out[self.named[:, 0], self.named[:, 1]] = self.named[:, 2]
+        return out
+
+
+class Blocks:
+    """Blocks that one reading of the documents serves, and the places of all their terms."""
+
+    def __init__(self, blocks: list[Block]):
+        self.blocks = blocks
+        self.place = {t: k for k, t in enumerate(sorted({t for b in blocks for t in b.terms}))}
+        #: Of each block, its own place of a term, -1 if it has none.
+        self.own = [np.full(len(self.place), -1, dtype=np.int64) for _ in blocks]
+        for own, b in zip(self.own, blocks):
+            own[[self.place[t] for t in b.terms]] = np.arange(len(b.terms))
 
     def counted(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of texts: document and term of each posting with a term of the block, its count, and the documents' lengths."""
-        place, docs, terms, lengths = self.place, [], [], []
-        for k, text in enumerate(texts):
+        """Of texts: document and term of each posting with a known term, its count, and the documents' lengths."""
+        place, sizes, terms, lengths = self.place, [], [], []
+        for text in texts:
             found = _TOKEN.findall((text or "").lower())
             lengths.append(len(found))
             known = [place[t] for t in found if t in place]
             terms += known
-            docs += [k] * len(known)
-        keys, n = np.unique(np.array(docs, dtype=np.int64) * max(1, len(place)) + np.array(terms, dtype=np.int64), return_counts=True)
+            sizes.append(len(known))
+        docs = np.repeat(np.arange(len(sizes), dtype=np.int64), np.array(sizes, dtype=np.int64))
+        keys, n = np.unique(docs * max(1, len(place)) + np.array(terms, dtype=np.int64), return_counts=True)
         return keys // max(1, len(place)), keys % max(1, len(place)), n, np.array(lengths, dtype=np.int64)
 
 
-def _blocks(queries: DataFrame) -> Iterator[Block]:
+def _passes(queries: DataFrame) -> Iterator[Blocks]:
+    """Blocks of about ``BLOCK`` queries, ``TOGETHER`` of them at a time."""
     queries = queries.where(F.col("qid").isNotNull())
     n = -(-queries.count() // BLOCK)
-    for k in range(n):
-        part = queries if n == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == k)
-        yield Block([tuple(r) for r in part.select("qid", "query").collect()])
+    for first in range(0, n, TOGETHER):
+        block = F.pmod(F.xxhash64("qid"), F.lit(n)).alias("block")
+        rows = queries.select("qid", "query", block).where(F.col("block").between(first, first + TOGETHER - 1)).collect()
+        of = [[(r["qid"], r["query"]) for r in rows if r["block"] == k] for k in range(first, min(n, first + TOGETHER))]
+        yield Blocks([Block(q) for q in of if q])
 
 
 def _statistics(texts: DataFrame, shared) -> tuple[int, float, np.ndarray]:
-    """Documents, their mean length, and of each term of the block how many hold it."""
+    """Documents, their mean length, and of each term of the blocks how many hold it."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, words, held = 0, 0, np.zeros(len(shared.value.place), dtype=np.int64)
-        for batch in batches:
-            _, terms, _, lengths = shared.value.counted(batch["text"].tolist())
+        for part in parts(batches):
+            _, terms, _, lengths = shared.value.counted(part.column("text").to_pylist())
             n, words = n + len(lengths), words + int(lengths.sum())
             held += np.bincount(terms, minlength=len(held))
         at = np.flatnonzero(held)
-        yield pd.DataFrame({"term": np.r_[-2, -1, at], "n": np.r_[n, words, held[at]]})
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, at]), pa.array(np.r_[n, words, held[at]])], ["term", "n"])
 
-    rows = {r["term"]: r["n"] for r in texts.select("text").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # the block's terms
+    rows = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # the blocks' terms
     n = rows.get(-2, 0)
     return n, rows.get(-1, 0) / max(1, n), np.array([rows.get(k, 0) for k in range(len(shared.value.place))], dtype=np.float64)
 
 
+def _first(found: list[np.ndarray], k: int, tie_as_text: bool) -> list[np.ndarray]:
+    """(query, document, score): the first k of each query."""
+    q, d, s = found
+    order = np.lexsort((d.astype(str) if tie_as_text else d, -s, q))
+    q = q[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return [x[order[place < k]] for x in found]
+
+
 def scored_topk(docs: DataFrame, queries: DataFrame, k: int, weigh: Callable, tie_as_text: bool = False, with_statistics: bool = True) -> DataFrame:
     """docs (doc_id, text, keep) and queries (qid, query) -> qid, doc_id, score, rank: positive scores only, ties by doc_id.
 
@@ -108,34 +139,38 @@ def scored_topk(docs: DataFrame, queries: DataFrame, k: int, weigh: Callable, ti
     A score is the sum over shared terms of how often the query names the term
     times weigh(n, df, avgdl)(count, term, length of the document).
     """
-    parts, context = [], docs.sparkSession.sparkContext
-    for block in _blocks(queries):
-        shared = context.broadcast(block)
+    every, context = None, docs.sparkSession.sparkContext
+    for blocks in _passes(queries):
+        shared = context.broadcast(blocks)
         weight = weigh(*_statistics(docs, shared)) if with_statistics else weigh(0, 0.0, np.zeros(0))
 
-        def score(batches: Iterator[pd.DataFrame], shared=shared, weight=weight) -> Iterator[pd.DataFrame]:
-            own, step = shared.value, max(1, CELLS // max(1, len(shared.value.place), len(shared.value.ids)))
-            best = pd.DataFrame({"q": np.empty(0, np.int64), "doc_id": np.empty(0, np.int64), "score": np.empty(0)})
-            for batch in batches:
-                for at in range(0, len(batch), step):
-                    rows = batch.iloc[at : at + step]
-                    doc, term, n, lengths = own.counted(rows["text"].tolist())
-                    matrix = np.zeros((len(rows), len(own.place)))
-                    matrix[doc, term] = weight(n, term, lengths[doc])
-                    scores = np.round(matrix @ own.asked, 6)
-                    least = -np.partition(-scores, k - 1, axis=0)[k - 1] if len(rows) > k else np.zeros(scores.shape[1])
-                    d, q = np.nonzero((scores > 0) & (scores >= least))
-                    found = pd.DataFrame({"q": q, "doc_id": rows["doc_id"].to_numpy()[d], "score": scores[d, q]})
-                    best = pd.concat([best, found], ignore_index=True)
-                best = best.assign(tie=best["doc_id"].astype(str) if tie_as_text else best["doc_id"]).sort_values(["q", "score", "tie"], ascending=[True, False, True]).drop(columns="tie").groupby("q", sort=False).head(k)
-            yield pd.DataFrame({"qid": own.ids[best["q"].to_numpy(dtype=np.int64)], "doc_id": best["doc_id"].to_numpy(dtype=np.int64), "score": best["score"].to_numpy()})
-
-        parts.append(docs.where("keep and doc_id is not null").select("doc_id", "text").mapInPandas(score, "qid long, doc_id long, score double"))
-    if not parts:
+        def score(batches: Iterator[pa.RecordBatch], shared=shared, weight=weight) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            best = [[np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)] for _ in own.blocks]
+            for part in parts(batches):
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                docs_of, terms, n, lengths = own.counted(part.column("text").to_pylist())
+                weights = weight(n, terms, lengths[docs_of])
+                for b, block in enumerate(own.blocks):
+                    places, asked, found = own.own[b][terms], block.asked(), [best[b]]
+                    step = max(1, CELLS // max(1, len(block.terms), len(block.ids)))
+                    for at in range(0, len(ids), step):
+                        lo, hi = np.searchsorted(docs_of, [at, at + step])
+                        mine = np.flatnonzero(places[lo:hi] >= 0) + lo
+                        matrix = np.zeros((min(step, len(ids) - at), len(block.terms)))
+                        matrix[docs_of[mine] - at, places[mine]] = weights[mine]
+                        scores = np.round(matrix @ asked, 6)
+                        least = -np.partition(-scores, k - 1, axis=0)[k - 1] if len(scores) > k else np.zeros(scores.shape[1])
+                        d, q = np.nonzero((scores > 0) & (scores >= least))
+                        found.append([q, ids[at + d], scores[d, q]])
+                    best[b] = _first([np.concatenate(x) for x in zip(*found)], k, tie_as_text)
+            for block, (q, d, s) in zip(own.blocks, best):
+                yield pa.RecordBatch.from_arrays([pa.array(block.ids[q]), pa.array(d), pa.array(s)], ["qid", "doc_id", "score"])
+
+        found = docs.where("keep and doc_id is not null").select("doc_id", "text").mapInArrow(score, "qid long, doc_id long, score double")
+        every = found if every is None else every.unionByName(found)
+    if every is None:
         return queries.select(F.col("qid").cast("long"), F.lit(0).cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.col("doc_id").cast("string") if tie_as_text else F.col("doc_id"))
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -1,10 +1,12 @@
 """Steps whose time or memory must not grow faster than their input."""
 
 import json
+import random
+from collections import Counter
 
 import pyarrow as pa
 
-from querywell.operators import batches, extraction, splitting
+from querywell.operators import batches, extraction, lexical, splitting
 
 
 def test_entities_without_the_work_for_relations(spark):
@@ -35,3 +37,22 @@ def test_chunks_leave_a_task_few_texts_at_a_time(spark):
     assert "MapInArrow" in plan
     got = {r["doc_id"]: r["n"] for r in splitting.recursive_chunks(docs, 60, 0).groupBy("doc_id").count().withColumnRenamed("count", "n").collect()}
     assert got == {k: len(splitting.recursive_pieces(f"one {k}. two. " * 20, 60, 0)) for k in range(50) if k != 3}
+
+
+def test_many_queries_share_a_reading_of_the_documents(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK", 16)
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(60)]
+    docs = [(k, None if k == 9 else " ".join(rng.choices(words, k=rng.randrange(30)))) for k in range(120)]
+    asked = [(k, " ".join(rng.choices(words, k=3))) for k in range(100)] + [(100, None), (None, "w1")]
+    table, queries = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "qid long, query string")
+    want = set()
+    for q, query in asked[:100]:
+        scored = sorted((-sum(Counter((t or "").split())[w] for w in query.split()), str(d), d) for d, t in docs)
+        want |= {(q, d, float(-s), r) for r, (s, _, d) in enumerate(scored[:4], 1) if s < 0}
+    reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    found = lexical.sparse_topk(table, queries, 4)
+    assert {tuple(r) for r in found.collect()} == want and reads(found) == 1
+    monkeypatch.setattr(lexical, "TOGETHER", 3)
+    again = lexical.sparse_topk(table, queries, 4)
+    assert {tuple(r) for r in again.collect()} == want and reads(again) == 3
