@@ -190,6 +190,14 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, keep: Column | N
     return scored_topk(marked, queries, k, weigh)
 
 
+def shared_words(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """docs (doc_id, text) and queries (qid, query) -> qid, doc_id, score, rank: the share of a query's distinct words that a text holds."""
+    marked = docs.select("doc_id", "text", F.lit(True).alias("keep"))
+    asked = queries.select("qid", F.array_distinct(tokens(F.col("query"))).alias("words")).where(F.size("words") > 0)
+    hits = scored_topk(marked, asked.select("qid", F.array_join("words", " ").alias("query")), k, lambda n, avgdl, df: lambda tf, term, dl: np.ones(len(tf)), with_statistics=False)
+    return hits.join(asked.select("qid", F.size("words").alias("n")), "qid").select("qid", "doc_id", F.round(F.col("score") / F.col("n"), 6).alias("score"), "rank")
+
+
 def sparse_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Inner product of term counts; ties by the id as a string."""
     marked = docs.select("doc_id", "text", F.lit(True).alias("keep"))

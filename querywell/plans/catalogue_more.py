@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import maths, text
-from ..operators import evals, generations, graph, guard, ranges, ranking, stores
-from .catalogue import CHANNELS, DECIMALS, GENERATIONS, QRELS, RUNS, TOKENS, _channels, _generations, _qrels, _runs, bm25_sql, bm25_topk, query
+from ..operators import evals, generations, graph, guard, lexical, ranges, ranking, stores
+from .catalogue import CHANNELS, DECIMALS, GENERATIONS, QRELS, RUNS, TOKENS, _channels, _generations, _qrels, _runs, bm25_sql, bm25_topk, passages, query
 
 VARIANTS = f"""{CHANNELS}, u as (select qid, 1 as variant, 'chunk:' || doc_id as key, rank from lex union all select qid, 2, 'chunk:' || doc_id, rank from bag)"""
 
@@ -157,11 +156,7 @@ def coreference(t):
 @query(f"""with d as (select doc_id, list_distinct({TOKENS}) as t from documents), b as (select item_id as qid, list_distinct({TOKENS}) as q from benchmark)
 select qid, doc_id, round(len(list_intersect(q, t)) / len(q), 6) as score from d, b where len(list_intersect(q, t)) > 0 qualify row_number() over (partition by qid order by round(len(list_intersect(q, t)) / len(q), 6) desc, doc_id) <= 5""")
 def term_overlap_topk(t):
-    asked = t("benchmark").select(F.col("item_id").alias("qid"), F.array_distinct(text.tokens(F.col("text"))).alias("q"))
-    words = t("documents").select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("w"))
-    hits = words.join(asked.select("qid", F.size("q").alias("n"), F.explode("q").alias("w")), "w").groupBy("qid", "doc_id", "n").agg(F.count(F.lit(1)).alias("hits"))
-    scored = hits.select("qid", "doc_id", F.round(F.col("hits") / F.col("n"), DECIMALS).alias("score"))
-    return scored.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))).where("r <= 5").drop("r")
+    return lexical.shared_words(t("documents"), passages(t), 5).select("qid", "doc_id", "score")
 
 
 @query("select conv_id, turn, list_aggregate(list_transform(['the', 'de', 'und'], lambda k: case when contains(lower(text), k) then 1 else 0 end), 'sum') / 3 as coverage from conversations")
