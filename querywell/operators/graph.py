@@ -13,13 +13,27 @@ from .state import cut
 DAMPING, ROUNDS, TOLERANCE = 0.85, 30, 1e-6
 #: Rounds of a plan: ranks are cut and compared once for so many.
 STEP = 5
+#: Edges of a part.
+ROWS = 1 << 20
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """(src, dst, weight) -> both directions, the largest weight of a pair; missing or zero weighs 1, negative 0."""
+def parts_of(edges: DataFrame, rows: int | None = None) -> int:
+    """Parts of about ``ROWS`` of the edges, so that a task groups or sorts as many however large the table is. ``rows``: a bound of their number, if known."""
+    return max(edges.sparkSession.sparkContext.defaultParallelism, -(-(edges.count() if rows is None else rows) // ROWS))
+
+
+def adjacency(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """(src, dst, weight) -> both directions, the largest weight of a pair; missing or zero weighs 1, negative 0.
+
+    A pair is grouped once for both directions, and dealt into parts by number of edges (``rows``, counted if not given).
+    """
     weight = F.greatest(F.when(F.coalesce("weight", F.lit(0.0)) == 0, 1.0).otherwise(F.col("weight")), F.lit(0.0))
-    both = edges.select("src", "dst", weight.alias("weight")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), weight.alias("weight")))
-    return both.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    turned = F.coalesce(F.col("src") > F.col("dst"), F.col("dst").isNull() & F.col("src").isNotNull())
+    low, high = F.when(turned, F.col("dst")).otherwise(F.col("src")), F.when(turned, F.col("src")).otherwise(F.col("dst"))
+    pairs = edges.select(low.alias("src"), high.alias("dst"), weight.alias("weight")).repartition(parts_of(edges, rows), "src", "dst")
+    pairs = pairs.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    one = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), "weight")
+    return pairs.select(F.inline(F.when(F.col("src").eqNullSafe(F.col("dst")), F.array(one("src", "dst"))).otherwise(F.array(one("src", "dst"), one("dst", "src")))))
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -29,19 +43,24 @@ def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return out.unionByName(back).groupBy("id").agg(F.max("weight").alias("weight")).join(seeds, "id", "left_anti")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(id, hops) of nodes within ``depth`` hops of the seeds; each round joins only the newest front."""
-    links = adjacency(edges).select("src", "dst")
+def reach(edges: DataFrame, seeds: DataFrame, depth: int, rows: int | None = None) -> DataFrame:
+    """(id, hops) of nodes within ``depth`` hops of the seeds; each round joins only the newest front. ``rows`` as in ``adjacency``.
+
+    A link that is there twice does no harm, so links are not grouped.
+    """
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    n = 2 * parts_of(edges, rows)
+    links = both.repartition(n, "src")
     found = front = seeds.select("id", F.lit(0).alias("hops"))
     for hop in range(1, depth + 1):
-        front = links.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct().join(found, "id", "left_anti").withColumn("hops", F.lit(hop))
+        front = links.join(front.select(F.col("id").alias("src")).repartition(n, "src"), "src").select(F.col("dst").alias("id")).distinct().join(found, "id", "left_anti").withColumn("hops", F.lit(hop))
         found = found.unionByName(front)
     return found
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 3) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 3, rows: int | None = None) -> DataFrame:
     """pairs (a, b) -> the first of the shortest paths in order of nodes, up to ``depth`` edges."""
-    links = adjacency(edges).select("src", "dst")
+    links = adjacency(edges, rows).select("src", "dst")
     walk = pairs.select("a", "b", F.array("a").alias("path"), F.col("a").alias("at"))
     done = None
     for _ in range(depth):
@@ -53,7 +72,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 3) -> DataFr
     return done.withColumn("n", F.row_number().over(order)).where("n = 1").select("a", "b", "path")
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE, rows: int | None = None) -> DataFrame:
     """Personalised: (id, rank, converged), mass of dead ends goes back to the seeds, ranks add up to 1.
 
     Rounds end when the ranks together change by ``tolerance`` at most over STEP of
@@ -63,7 +82,7 @@ def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     Links weigh the same both ways, so the steps have real eigenvalues and each round adds to the last one's
     ranks what Chebyshev's rule says: the same ranks, in about a quarter of the rounds.
     """
-    links = cut(adjacency(edges).where("weight > 0"))
+    links = cut(adjacency(edges, rows).where("weight > 0"))
     out = links.groupBy("src").agg(F.sum("weight").alias("total"))
     nodes = links.select(F.col("src").alias("id")).unionByName(seeds.select("id")).distinct()
     n = seeds.select("id").distinct().count()

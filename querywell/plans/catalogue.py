@@ -454,7 +454,9 @@ EDGES = "e as (select l_partkey as src, 1000000 + l_suppkey as dst, count(*)::do
 
 
 def _edges(t):
-    return t("lineitem").groupBy(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    lines = t("lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst"))
+    lines = lines.repartition(graph.parts_of(lines), "src", "dst")  # Pairs hardly repeat, so lines are not summed before.
+    return lines.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 @query(f"with {EDGES} select dst as id, max(weight) as weight from e where src < 10 group by dst")
@@ -464,7 +466,7 @@ def neighbors_1hop(t):
 
 @query(f"with {EDGES} select src, dst, max(weight) as weight from (select * from e union all select dst, src, weight from e) group by src, dst")
 def adjacency_symmetric(t):
-    return graph.adjacency(_edges(t))
+    return graph.adjacency(_edges(t), t("lineitem").count())
 
 
 BORDERS = "b as (select n_nationkey as src, 1000 + n_regionkey as dst from nation)"
@@ -491,7 +493,7 @@ def shortest_paths(t):
 @query()
 def ppr(t):
     seeds = t("part").where("p_partkey < 5").select(F.col("p_partkey").alias("id"))
-    return graph.pagerank(_edges(t), seeds, rounds=100).select("id", F.round("rank", DECIMALS).alias("rank"), "converged")
+    return graph.pagerank(_edges(t), seeds, rounds=100, rows=t("lineitem").count()).select("id", F.round("rank", DECIMALS).alias("rank"), "converged")
 
 
 # Chunks.

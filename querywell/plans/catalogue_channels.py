@@ -117,7 +117,7 @@ EDGES = "e as (select distinct l_partkey as src, 1000000 + l_suppkey as dst from
 select id, min(hops)::int as hops from w group by id""")
 def edge_reach(t):
     edges = _edges(t)
-    return graph.reach(edges, edges.where("src < 5").select(F.col("src").alias("id")).distinct(), 2)
+    return graph.reach(edges, edges.where("src < 5").select(F.col("src").alias("id")).distinct(), 2, t("lineitem").count())
 
 
 @query(f"""with {EDGES}, p as (select a.src as a, b.src as b from (select distinct src from e where src < 5) a, (select distinct src from e where src between 5 and 60) b)
@@ -126,7 +126,7 @@ def edge_paths(t):
     edges = _edges(t)
     ends = edges.select("src").distinct()
     pairs = ends.where("src < 5").select(F.col("src").alias("a")).join(ends.where("src between 5 and 60").select(F.col("src").alias("b")))  # a few seeds
-    found = graph.shortest_paths(edges, pairs, 2)
+    found = graph.shortest_paths(edges, pairs, 2, t("lineitem").count())
     return found.select("a", "b", F.array_join(found["path"].cast("array<string>"), ">").alias("path"))
 
 

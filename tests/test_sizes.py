@@ -6,7 +6,7 @@ from collections import Counter
 
 import pyarrow as pa
 
-from querywell.operators import batches, extraction, lexical, splitting
+from querywell.operators import batches, extraction, graph, lexical, splitting
 
 
 def test_entities_without_the_work_for_relations(spark):
@@ -56,3 +56,29 @@ def test_many_queries_share_a_reading_of_the_documents(spark, monkeypatch):
     monkeypatch.setattr(lexical, "TOGETHER", 3)
     again = lexical.sparse_topk(table, queries, 4)
     assert {tuple(r) for r in again.collect()} == want and reads(again) == 3
+
+
+def test_links_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROWS", 20)
+    rng = random.Random(7)
+    rows = [(rng.choice([None, *range(12)]), rng.choice([None, *range(12)]), rng.choice([None, 0.0, -1.0, 2.0, 5.0])) for _ in range(300)]
+    edges = spark.createDataFrame(rows, "src long, dst long, weight double")
+    want = {}
+    for a, b, w in rows:
+        for pair in ((a, b), (b, a)):
+            want[pair] = max(want.get(pair, 0.0), max(w or 1.0, 0.0))
+    found = graph.adjacency(edges)
+    got = found.collect()
+    assert {(r["src"], r["dst"]): r["weight"] for r in got} == want and len(got) == len(want)
+    assert found.rdd.getNumPartitions() == 15 and graph.adjacency(edges, 1000).rdd.getNumPartitions() == 50
+    seeds = spark.createDataFrame([(3,)], "id long")
+    near = {b for a, b in want if a == 3 and b is not None} - {3}
+    hops = {r["id"]: r["hops"] for r in graph.reach(edges, seeds, 1).where("id is not null").collect()}
+    assert hops == {3: 0} | {k: 1 for k in near}
+
+
+def test_shared_words_make_no_pairs(spark):
+    docs = spark.createDataFrame([(1, "red fox"), (2, "red red hen"), (3, None), (4, "a fox, red; hen")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "Red hen red"), (2, "x"), (3, "cow")], "qid long, query string")
+    found = lexical.shared_words(docs, asked, 2)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 2, 1.0, 1), (1, 4, 1.0, 2)]
