@@ -26,6 +26,8 @@ K1, B = 1.5, 0.75
 BLOCK, CELLS, TOGETHER = 256, 1 << 22, 16
 #: The rule of ``functions.text.tokens`` on lower-case texts.
 _TOKEN = re.compile("[a-z0-9_A-Z]{2,}|[一-鿿]+")
+#: The rule of ``functions.text.terms`` on lower-case texts.
+_TERM = re.compile("[a-z0-9_]+|[一-鿿]")
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -53,11 +55,13 @@ def updated_stats(whole: DataFrame, gone: DataFrame, added: DataFrame) -> DataFr
 
 
 class Block:
-    """Some of the queries and the places of their terms; ``asked`` says how often a query names a term."""
+    """Some of the queries and the places of their terms; ``asked`` says how often a query names a term, once at most with ``whole``."""
 
-    def __init__(self, queries: list[tuple[int, str]]):
+    def __init__(self, queries: list[tuple[int, str]], token: re.Pattern = _TOKEN, whole: bool = False):
         self.ids = np.array([q for q, _ in queries], dtype=np.int64)
-        found = [Counter(_TOKEN.findall((t or "").lower())) for _, t in queries]
+        self.texts = [(t or "").lower() for _, t in queries] if whole else []
+        found = [Counter(token.findall((t or "").lower())) for _, t in queries]
+        found = [Counter(set(c)) for c in found] if whole else found
         self.terms = sorted({t for c in found for t in c})
         place = {t: k for k, t in enumerate(self.terms)}
         self.named = np.array([(place[t], j, n) for j, c in enumerate(found) for t, n in c.items()], dtype=np.int64).reshape(-1, 3)
@@ -68,12 +72,21 @@ class Block:
         out[self.named[:, 0], self.named[:, 1]] = self.named[:, 2]
         return out
 
+    def add_whole(self, scores: np.ndarray, texts: list[str | None]) -> None:
+        """One more for each lower-case text that holds a query as it is.
+
+        Only the first and the last term of a query can be parts of longer words there, so such a text has all of its terms but two.
+        """
+        least = np.maximum(1, np.bincount(self.named[:, 1], minlength=len(self.ids)) - 2)
+        for d, q in zip(*np.nonzero(scores >= least)):
+            scores[d, q] += self.texts[q] in texts[d]
+
 
 class Blocks:
     """Blocks that one reading of the documents serves, and the places of all their terms."""
 
-    def __init__(self, blocks: list[Block]):
-        self.blocks = blocks
+    def __init__(self, blocks: list[Block], token: re.Pattern = _TOKEN):
+        self.blocks, self.token = blocks, token
         self.place = {t: k for k, t in enumerate(sorted({t for b in blocks for t in b.terms}))}
         #: Of each block, its own place of a term, -1 if it has none.
         self.own = [np.full(len(self.place), -1, dtype=np.int64) for _ in blocks]
@@ -84,7 +97,7 @@ class Blocks:
         """Of texts: document and term of each posting with a known term, its count, and the documents' lengths."""
         place, sizes, terms, lengths = self.place, [], [], []
         for text in texts:
-            found = _TOKEN.findall((text or "").lower())
+            found = self.token.findall((text or "").lower())
             lengths.append(len(found))
             known = [place[t] for t in found if t in place]
             terms += known
@@ -94,7 +107,7 @@ class Blocks:
         return keys // max(1, len(place)), keys % max(1, len(place)), n, np.array(lengths, dtype=np.int64)
 
 
-def _passes(queries: DataFrame) -> Iterator[Blocks]:
+def _passes(queries: DataFrame, token: re.Pattern, whole: bool) -> Iterator[Blocks]:
     """Blocks of about ``BLOCK`` queries, ``TOGETHER`` of them at a time."""
     queries = queries.where(F.col("qid").isNotNull())
     n = -(-queries.count() // BLOCK)
@@ -102,7 +115,7 @@ def _passes(queries: DataFrame) -> Iterator[Blocks]:
         block = F.pmod(F.xxhash64("qid"), F.lit(n)).alias("block")
         rows = queries.select("qid", "query", block).where(F.col("block").between(first, first + TOGETHER - 1)).collect()
         of = [[(r["qid"], r["query"]) for r in rows if r["block"] == k] for k in range(first, min(n, first + TOGETHER))]
-        yield Blocks([Block(q) for q in of if q])
+        yield Blocks([Block(q, token, whole) for q in of if q], token)
 
 
 def _statistics(texts: DataFrame, shared) -> tuple[int, float, np.ndarray]:
@@ -123,33 +136,38 @@ def _statistics(texts: DataFrame, shared) -> tuple[int, float, np.ndarray]:
 
 
 def _first(found: list[np.ndarray], k: int, tie_as_text: bool) -> list[np.ndarray]:
-    """(query, document, score): the first k of each query."""
-    q, d, s = found
-    order = np.lexsort((d.astype(str) if tie_as_text else d, -s, q))
+    """(query, document, score, level): the first k of each query."""
+    q, d, s, level = found
+    order = np.lexsort((d.astype(str) if tie_as_text else d, -level, -s, q))
     q = q[order]
     place = np.arange(len(q)) - np.searchsorted(q, q)
     return [x[order[place < k]] for x in found]
 
 
-def scored_topk(docs: DataFrame, queries: DataFrame, k: int, weigh: Callable, tie_as_text: bool = False, with_statistics: bool = True) -> DataFrame:
+def scored_topk(docs: DataFrame, queries: DataFrame, k: int, weigh: Callable, tie_as_text: bool = False, with_statistics: bool = True, token: re.Pattern = _TOKEN, whole: bool = False) -> DataFrame:
     """docs (doc_id, text, keep) and queries (qid, query) -> qid, doc_id, score, rank: positive scores only, ties by doc_id.
 
+    If docs have a ``level``, ties go by the highest first, then by doc_id. With ``whole`` a query names each of its terms once, and a
+    document with one of them scores one more if its text, given in lower case, holds the query as it is.
+
     Ids are integers; documents and queries without one are left out.
 
     A score is the sum over shared terms of how often the query names the term
     times weigh(n, df, avgdl)(count, term, length of the document).
     """
     every, context = None, docs.sparkSession.sparkContext
-    for blocks in _passes(queries):
+    level = F.coalesce(F.col("level").cast("double"), F.lit(float("-inf"))) if "level" in docs.columns else F.lit(0.0)
+    for blocks in _passes(queries, token, whole):
         shared = context.broadcast(blocks)
         weight = weigh(*_statistics(docs, shared)) if with_statistics else weigh(0, 0.0, np.zeros(0))
 
         def score(batches: Iterator[pa.RecordBatch], shared=shared, weight=weight) -> Iterator[pa.RecordBatch]:
             own = shared.value
-            best = [[np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)] for _ in own.blocks]
+            best = [[np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)] for _ in own.blocks]
             for part in parts(batches):
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                docs_of, terms, n, lengths = own.counted(part.column("text").to_pylist())
+                ids, levels = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), part.column("level").to_numpy(zero_copy_only=False)
+                texts = part.column("text").to_pylist()
+                docs_of, terms, n, lengths = own.counted(texts)
                 weights = weight(n, terms, lengths[docs_of])
                 for b, block in enumerate(own.blocks):
                     places, asked, found = own.own[b][terms], block.asked(), [best[b]]
@@ -160,19 +178,21 @@ def scored_topk(docs: DataFrame, queries: DataFrame, k: int, weigh: Callable, ti
                         matrix = np.zeros((min(step, len(ids) - at), len(block.terms)))
                         matrix[docs_of[mine] - at, places[mine]] = weights[mine]
                         scores = np.round(matrix @ asked, 6)
+                        if whole:
+                            block.add_whole(scores, texts[at : at + step])
                         least = -np.partition(-scores, k - 1, axis=0)[k - 1] if len(scores) > k else np.zeros(scores.shape[1])
                         d, q = np.nonzero((scores > 0) & (scores >= least))
-                        found.append([q, ids[at + d], scores[d, q]])
+                        found.append([q, ids[at + d], scores[d, q], levels[at + d]])
                     best[b] = _first([np.concatenate(x) for x in zip(*found)], k, tie_as_text)
-            for block, (q, d, s) in zip(own.blocks, best):
-                yield pa.RecordBatch.from_arrays([pa.array(block.ids[q]), pa.array(d), pa.array(s)], ["qid", "doc_id", "score"])
+            for block, (q, d, s, at) in zip(own.blocks, best):
+                yield pa.RecordBatch.from_arrays([pa.array(block.ids[q]), pa.array(d), pa.array(s), pa.array(at)], ["qid", "doc_id", "score", "level"])
 
-        found = docs.where("keep and doc_id is not null").select("doc_id", "text").mapInArrow(score, "qid long, doc_id long, score double")
+        found = docs.where("keep and doc_id is not null").select("doc_id", "text", level.alias("level")).mapInArrow(score, "qid long, doc_id long, score double, level double")
         every = found if every is None else every.unionByName(found)
     if every is None:
         return queries.select(F.col("qid").cast("long"), F.lit(0).cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.col("doc_id").cast("string") if tie_as_text else F.col("doc_id"))
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("level"), F.col("doc_id").cast("string") if tie_as_text else F.col("doc_id"))
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("level")
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, keep: Column | None = None) -> DataFrame:
@@ -198,6 +218,12 @@ def shared_words(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return hits.join(asked.select("qid", F.size("words").alias("n")), "qid").select("qid", "doc_id", F.round(F.col("score") / F.col("n"), 6).alias("score"), "rank")
 
 
+def terms_and_whole(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """docs (doc_id, text, level) and queries (qid, query) -> qid, doc_id, score, rank: distinct shared terms, and one more if the text holds the whole query."""
+    marked = docs.select("doc_id", F.lower("text").alias("text"), "level", F.lit(True).alias("keep"))
+    return scored_topk(marked, queries.select("qid", F.lower("query").alias("query")), k, lambda n, avgdl, df: lambda tf, term, dl: np.ones(len(tf)), with_statistics=False, token=_TERM, whole=True)
+
+
 def sparse_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Inner product of term counts; ties by the id as a string."""
     marked = docs.select("doc_id", "text", F.lit(True).alias("keep"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.maths import authority_value, decay_factor, finite, probability, revision_digits, sigmoid, status_rank
 from ..functions.text import terms
+from .lexical import terms_and_whole
 from .tiles import near_pairs
 
 RRF_K, BLOCK = 60, 1024
@@ -236,17 +237,12 @@ def packed_skipping(rows: DataFrame, by: str, order: str, key: str, cost: str, b
 def summary_scored(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """nodes (id, level, text) and queries (qid, query) -> qid, id, score, rank.
 
-    Score: distinct shared terms, and one more if the text holds the whole query, over the query's terms and one.
-    Only a node with all of the terms can hold the query, so texts are compared for those alone.
+    Score: distinct shared terms, and one more if the text holds the whole query, over the query's terms and one, to six decimals
+    (that is, queries have fewer than a million terms). Ties by the highest level, then by id. The nodes are read where they lie.
     """
-    asked = queries.select("qid", F.lower("query").alias("query"), terms(F.col("query")).alias("q")).select("qid", "query", F.size("q").alias("n"), F.explode("q").alias("term"))
-    held = nodes.select("id", "level", F.explode(terms(F.col("text"))).alias("term"))
-    hits = held.join(asked, "term").groupBy("qid", "id", "level", "n").agg(F.count(F.lit(1)).alias("hits"))
-    whole = hits.where("hits = n").select("qid", "id").join(nodes.select("id", F.lower("text").alias("body")), "id").join(queries.select("qid", F.lower("query").alias("query")), "qid")
-    whole = whole.where(F.contains("body", F.col("query"))).select("qid", "id", F.lit(1).alias("whole"))
-    scored = hits.join(whole, ["qid", "id"], "left").withColumn("score", F.round((F.col("hits") + F.coalesce("whole", F.lit(0))) / (F.col("n") + 1), 6))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("level"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "id", "score", "rank")
+    hits = terms_and_whole(nodes.select(F.col("id").alias("doc_id"), "text", "level"), queries, k)
+    asked = queries.select("qid", F.size(terms(F.col("query"))).alias("n"))
+    return hits.join(asked, "qid").select("qid", F.col("doc_id").alias("id"), F.round(F.col("score") / (F.col("n") + 1), 6).alias("score"), "rank")
 
 
 def uncovered(facets: Column, matched: Column) -> Column:

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pyarrow as pa
 
-from querywell.operators import batches, extraction, graph, lexical, splitting
+from querywell.operators import batches, extraction, graph, lexical, ranking, splitting
 
 
 def test_entities_without_the_work_for_relations(spark):
@@ -82,3 +82,31 @@ def test_shared_words_make_no_pairs(spark):
     asked = spark.createDataFrame([(1, "Red hen red"), (2, "x"), (3, "cow")], "qid long, query string")
     found = lexical.shared_words(docs, asked, 2)
     assert sorted(tuple(r) for r in found.collect()) == [(1, 2, 1.0, 1), (1, 4, 1.0, 2)]
+
+
+def test_summaries_are_scored_without_a_row_for_each_term(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK", 4)
+    rng = random.Random(11)
+    words = ["red", "fox", "a", "图", "Hen", "xred", "foxes"]
+    nodes = [(k, rng.choice([None, 1, 2]), None if k == 7 else " ".join(rng.choices(words, k=rng.randrange(9)))) for k in range(60)] + [(60, 1, "xred a foxes")]
+    asked = [(0, "Red a fox"), (1, "red fox red"), (2, "图a"), (3, "cow"), (4, None), (5, ". "), (6, "hen")] + [(k, " ".join(rng.choices(words, k=3))) for k in range(7, 20)]
+    terms = lambda x: {w for w in lexical._TERM.findall((x or "").lower())}
+    want = set()
+    for q, query in asked:
+        scored = []
+        for d, level, body in nodes:
+            shared = len(terms(query) & terms(body))
+            if shared:
+                score = (shared + (query.lower() in body.lower())) / (len(terms(query)) + 1)
+                scored.append((-score, -(level or 0), d))
+        want |= {(q, d, round(-s, 6), r) for r, (s, _, d) in enumerate(sorted(scored)[:4], 1)}
+    found = ranking.summary_scored(spark.createDataFrame(nodes, "id long, level int, text string"), spark.createDataFrame(asked, "qid long, query string"), 4)
+    assert {tuple(r) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_a_summary_holds_a_query_that_ends_within_its_words(spark):
+    nodes = spark.createDataFrame([(1, 1, "xred a foxes"), (2, 1, "red a hen")], "id long, level int, text string")
+    got = ranking.summary_scored(nodes, spark.createDataFrame([(1, "Red a fox")], "qid long, query string"), 5).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 0.5, 1), (1, 2, 0.5, 2)]
