@@ -142,11 +142,13 @@ def mmr(pool: DataFrame, queries: DataFrame, k: int, trade: float = 0.7) -> Data
 def selected(hits: DataFrame, final_k: int) -> DataFrame:
     """hits (qid, id, key, rank, matched array<string>) -> one per key; first covers of facets, then by rank, to final_k."""
     first = hits.withColumn("n", F.row_number().over(Window.partitionBy("qid", "key").orderBy("rank"))).where("n = 1")
-    cover = first.select("qid", "id", "rank", F.explode_outer("matched").alias("facet"))
-    leads = cover.where("facet is not null").groupBy("qid", "facet").agg(F.min_by("id", "rank").alias("id")).select("qid", "id").distinct().withColumn("lead", F.lit(0))
-    joined = first.join(leads, ["qid", "id"], "left").withColumn("lead", F.coalesce("lead", F.lit(1)))
+    # Windows only: a join of the hits with themselves would run the searches behind them twice.
+    cover = first.select("qid", "id", "key", "rank", F.explode_outer("matched").alias("facet"))
+    leads = F.col("facet").isNotNull() & (F.row_number().over(Window.partitionBy("qid", "facet").orderBy("rank")) == 1)
+    marked = cover.withColumn("lead", F.when(leads, 0).otherwise(1)).withColumn("lead", F.min("lead").over(Window.partitionBy("qid", "id")))
+    once = marked.groupBy("qid", "id", "key", "rank").agg(F.min("lead").alias("lead"))
     order = Window.partitionBy("qid").orderBy("lead", "rank")
-    return joined.withColumn("place", F.row_number().over(order)).where(F.col("place") <= final_k).select("qid", "id", "key", "rank", "place")
+    return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= final_k).select("qid", "id", "key", "rank", "place")
 
 
 def packed(df: DataFrame, group: str, tokens: str, score: str, tie: str, budget: int) -> DataFrame:

@@ -110,3 +110,17 @@ def test_a_summary_holds_a_query_that_ends_within_its_words(spark):
     nodes = spark.createDataFrame([(1, 1, "xred a foxes"), (2, 1, "red a hen")], "id long, level int, text string")
     got = ranking.summary_scored(nodes, spark.createDataFrame([(1, "Red a fox")], "qid long, query string"), 5).collect()
     assert sorted(tuple(r) for r in got) == [(1, 1, 0.5, 1), (1, 2, 0.5, 2)]
+
+
+def test_a_search_whose_hits_are_read_twice_runs_once(spark, sf_dir):
+    from querywell.plans import catalogue
+
+    for name in ("facet_retrieval",):
+        plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") + plan.count("FlatMapCoGroupsInArrow") == (name == "facet_retrieval")  # hits that were written are a scan
+
+
+def test_a_hit_that_leads_for_one_of_its_keys_leads_for_all(spark):
+    rows = [(1, 1, "a", 1, ["x"]), (1, 2, "b", 2, ["x"]), (1, 1, "c", 3, ["x", "x"]), (1, 3, "a", 4, ["y"]), (1, 4, "d", 5, ["y"]), (1, 5, "e", 6, None), (2, 9, None, 1, [])]
+    got = ranking.selected(spark.createDataFrame(rows, "qid long, id long, key string, rank int, matched array<string>"), 9).collect()
+    assert sorted((r["qid"], r["place"], r["id"], r["key"]) for r in got) == [(1, 1, 1, "a"), (1, 2, 1, "c"), (1, 3, 4, "d"), (1, 4, 2, "b"), (1, 5, 5, "e"), (2, 1, 9, None)]
