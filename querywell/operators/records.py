@@ -9,6 +9,7 @@ from ..functions.answers import stripped
 from ..functions.text import tokens
 from ..functions.vectors import dot
 from ..streaming.versions import Batches
+from .state import cut
 
 #: Most candidates that are rescored, and what a case has where nothing is said.
 CANDIDATES = 32
@@ -65,8 +66,9 @@ def late_rerank(hits: DataFrame, queries: DataFrame, documents: DataFrame, k: in
 
     The first min(k, most) hits of a query are put in the order of the mean over its tokens of the best token of each; score is
     that mean scaled to 0..1 over them. The others follow as they were, without a score. Queries without tokens keep their order.
-    Callers bound the tokens.
+    Callers bound the tokens. The hits are read twice, so they are written first: the search behind them runs once.
     """
+    hits = cut(hits)
     asked = queries.where(F.size("tokens") > 0).select("qid", F.col("tokens").alias("asked"))
     near = hits.where(F.col("rank") <= min(k, most)).join(asked, "qid").join(documents.select("id", "tokens"), "id")
     best = F.transform("asked", lambda q: F.array_max(F.transform("tokens", lambda d: dot(q, d))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .state import cut
+
 
 def appended(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """old and the rows of new whose key is neither empty nor known; of repeated keys the first in order of the row."""
@@ -87,7 +89,9 @@ def neighbour_chunks(scores: DataFrame, seeds: DataFrame, edges: DataFrame, chun
 
     scores (qid, score): the mean over all entities in scope; seeds (qid, id);
     edges (src, dst, weight) in both directions; chunks (id, chunk). Ties by chunk.
+    The seeds are read twice, so they are written first: the search behind them runs once.
     """
+    seeds = cut(seeds)
     near = seeds.join(edges, seeds["id"] == edges["src"]).groupBy("qid", F.col("dst").alias("id")).agg(F.max("weight").alias("weight"))
     near = near.join(seeds, ["qid", "id"], "left_anti")
     scored = near.join(chunks, "id").join(scores, "qid").select("qid", "id", "chunk", F.round(F.col("score") * decay * F.col("weight"), 6).alias("score"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, cleaning, text, vectors
 from ..operators import channels, chunking, graph, lexical, ranking
+from ..operators.state import cut
 from ..operators.workflow import corrective_search
 from .catalogue import DECIMALS, SQL, TOKENS, _edges, bm25_sql, bm25_topk, bm25_topk_source_filter, passages, ppr, query, sparse_dot_topk
-from .catalogue_stores import CHUNKS, _chunks, entity_search, neighbour_chunks
+from .catalogue_stores import CHUNKS, _chunks, _near_chunks, _ranked, _with_text
 from .planner import evidence_state
 
 SOURCES = ("src0", "src1", "src2", "src3")
@@ -99,8 +100,9 @@ u as (select qid, key, 1.0::double / (60 + place) as part from low join o using
 s as (select qid, key, round(sum(part), 9) as score from u group by qid, key) select qid, key, score, row_number() over (partition by qid order by score desc, key)::int as rank from s""")
 def graph_retrieve(t):
     first = _chunks(t).where(F.col("source").isin(*SOURCES)).groupBy("id").agg(F.min("ordinal").alias("key"))
-    low = entity_search(t).join(first, "id").select("qid", "key", F.col("place").alias("rank"))
-    return graph.low_high(low, neighbour_chunks(t).select("qid", F.col("chunk").alias("key"), "rank"))
+    ranked = cut(_ranked(t, 20).select("qid", "id", "rank"))  # one search for both channels
+    low = _with_text(t, ranked).join(first, "id").select("qid", "key", F.col("place").alias("rank"))
+    return graph.low_high(low, _near_chunks(t, ranked).select("qid", F.col("chunk").alias("key"), "rank"))
 
 
 @query()

@@ -140,8 +140,13 @@ def semantic_seeds(t):
 
 @query(f"with {COSINES}, {CHUNKS}, w as (select qid, id, rank, row_number() over (partition by qid order by rank)::int as place from k where rank <= 20 and id in (select id from c where source in ('src0', 'src1', 'src2', 'src3'))) select qid, id, place from w where place <= 10")
 def entity_search(t):
+    return _with_text(t, _ranked(t, 20))
+
+
+def _with_text(t, ranked):
+    """Of the first 20 entities of a query the first ten with a text."""
     with_text = _chunks(t).where(F.col("source").isin("src0", "src1", "src2", "src3")).select("id").distinct()
-    kept = _ranked(t, 20).join(with_text, "id", "left_semi")
+    kept = ranked.join(with_text, "id", "left_semi")
     return kept.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where("place <= 10").select("qid", "id", "place")
 
 
@@ -150,6 +155,11 @@ r as (select s.qid, l.dst as id, max(l.weight) as weight from s join l on l.src
 f as (select qid, o.id, c.ordinal as chunk, round(m.score * 0.5 * o.weight, 6) as score from o join c on c.id = o.id join m using (qid))
 select qid, id, chunk, score, row_number() over (partition by qid order by score desc, id, chunk)::int as rank from f qualify rank <= 10""")
 def neighbour_chunks(t):
+    return _near_chunks(t, _ranked(t, 5))
+
+
+def _near_chunks(t, ranked):
+    """Chunks of the neighbours of a query's first five entities."""
     vectors, asked = _vectors(t)
     # The mean cosine to all entities is the product with the mean of their unit vectors: one pass, no pairs.
     v = doubles(F.col("vec"))
@@ -160,7 +170,7 @@ def neighbour_chunks(t):
     size = F.sqrt(F.aggregate(q, F.lit(0.0), lambda s, x: s + x * x))
     scores = asked.crossJoin(F.broadcast(mean)).select("qid", (F.aggregate(F.zip_with(q, "mean", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / size).alias("score"))
     chunks = _chunks(t).select("id", F.col("ordinal").alias("chunk"))
-    return stores.neighbour_chunks(scores, _ranked(t, 5).select("qid", "id"), _links(t), chunks, 10).select("qid", "id", "chunk", "score", "rank")
+    return stores.neighbour_chunks(scores, ranked.where("rank <= 5").select("qid", "id"), _links(t), chunks, 10).select("qid", "id", "chunk", "score", "rank")
 
 
 @query("""with i as (select l_orderkey as chunk, l_linenumber as n, l_partkey as name from lineitem), p as (select distinct chunk, name from i),

@@ -115,7 +115,7 @@ def test_a_summary_holds_a_query_that_ends_within_its_words(spark):
 def test_a_search_whose_hits_are_read_twice_runs_once(spark, sf_dir):
     from querywell.plans import catalogue
 
-    for name in ("facet_retrieval",):
+    for name in ("facet_retrieval", "late_rerank", "neighbour_chunks", "graph_retrieve"):
         plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInArrow") + plan.count("FlatMapCoGroupsInArrow") == (name == "facet_retrieval")  # hits that were written are a scan
 
