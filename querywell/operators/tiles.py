@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Vectors and queries of a tile, and the queries whose products are held at once.
 VECTORS, QUERIES, AT_ONCE = 32768, 4096, 64
+#: Numbers that the vectors of a tile, and its queries, hold at most: with long vectors they are fewer.
+NUMBERS = 1 << 23
 #: Rows of a tile of which only the best is looked at first.
 FOLD = 32
 
@@ -99,13 +101,19 @@ def candidates(names: pa.ChunkedArray, x: tuple, q: tuple, k: int, by: str):
         yield i, j, score, sure
 
 
+def _parts(rows: DataFrame, column: str, size: int) -> int:
+    """Parts of about ``size`` rows and at most about ``NUMBERS`` numbers, by the longest list."""
+    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size(column))).first()
+    return max(1, -(-n // max(1, min(size, NUMBERS // max(1, width or 0)))))
+
+
 def near_pairs(vectors: DataFrame, queries: DataFrame, k: int, by: str) -> DataFrame:
     """vectors (id, vec) and queries (qid, qvec) -> qid, id, score: each query's first k by score and id, and few others.
 
-    Both sides are dealt by hash into parts of about ``VECTORS`` and ``QUERIES`` rows, and each part of one meets each of the other,
-    so a task holds one tile however large the tables are.
+    Both sides are dealt by hash into parts of about ``VECTORS`` and ``QUERIES`` rows, fewer if the vectors are long, and each part of
+    one meets each of the other, so a task holds one tile however large the tables are.
     """
-    parts, blocks = (max(1, -(-n // size)) for n, size in ((vectors.count(), VECTORS), (queries.count(), QUERIES)))
+    parts, blocks = _parts(vectors, "vec", VECTORS), _parts(queries, "qvec", QUERIES)
     part, block = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")
     left = vectors.select(part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", F.col("id").cast("string").alias("name"), "vec")
     right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), block.alias("block"), "qid", "qvec")

@@ -48,3 +48,23 @@ def test_no_queries_and_no_vectors(spark):
     some = spark.createDataFrame([(1, [1.0])], VECTOR)
     assert not ranking.dense_topk(some, spark.createDataFrame([], QUERY)).count()
     assert not ranking.dense_topk(some.where("id > 1"), spark.createDataFrame([(1, [1.0])], QUERY)).count()
+
+
+def test_tiles_of_long_vectors_hold_fewer_rows(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "NUMBERS", 800)
+    rng = np.random.default_rng(8)
+    rows = [r.tolist() for r in rng.normal(size=(200, 40)).round(2)] + [None, []]
+    found = spark.createDataFrame(list(enumerate(rows)), VECTOR)
+    asked = found.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    plan = tiles.near_pairs(found, asked, 3, "ip")._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(id" in plan and ", 11)" in plan  # 202 rows, 20 a part
+    got, want = (sorted(map(str, df.select("qid", "id", "score", "rank").collect())) for df in (ranking.dense_topk(found, asked, 3), plain(found, asked, 3, "ip")))
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["dense_topk_cosine"])
+def test_queries_of_similar_vectors_search_by_tiles(spark, sf_dir, name):
+    from querywell.plans import catalogue
+
+    plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and "Join Inner" not in plan and "Join Cross" not in plan
