@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pyarrow as pa
+import pytest
 
 from querywell.operators import batches, extraction, graph, lexical, ranking, splitting
 
@@ -124,3 +125,18 @@ def test_a_hit_that_leads_for_one_of_its_keys_leads_for_all(spark):
     rows = [(1, 1, "a", 1, ["x"]), (1, 2, "b", 2, ["x"]), (1, 1, "c", 3, ["x", "x"]), (1, 3, "a", 4, ["y"]), (1, 4, "d", 5, ["y"]), (1, 5, "e", 6, None), (2, 9, None, 1, [])]
     got = ranking.selected(spark.createDataFrame(rows, "qid long, id long, key string, rank int, matched array<string>"), 9).collect()
     assert sorted((r["qid"], r["place"], r["id"], r["key"]) for r in got) == [(1, 1, 1, "a"), (1, 2, 1, "c"), (1, 3, 4, "d"), (1, 4, 2, "b"), (1, 5, 5, "e"), (2, 1, 9, None)]
+
+
+@pytest.mark.parametrize("name", ["page_text_topk"])
+def test_a_task_counts_two_megabytes_of_text_at_a_time(spark, sf_dir, monkeypatch, name):
+    from querywell.plans import catalogue
+
+    tasks, frame, sizes = [], type(spark.range(0)), []
+    run, counted = frame.mapInArrow, lexical.Blocks.counted
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, **k: tasks.append(f) or run(self, f, *a, **k))
+    catalogue.queries()[name](spark, sf_dir)
+    monkeypatch.setattr(lexical.Blocks, "counted", lambda self, texts: sizes.append(sum(map(len, texts))) or counted(self, texts))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(["some words " * 1000] * 600), pa.array([0.0] * 600)], ["doc_id", "text", "level"])
+    for task in tasks:
+        list(task(iter([batch])))
+    assert tasks and sum(sizes) == len(tasks) * 600 * 11000 and max(sizes) <= batches.BYTES
