@@ -127,7 +127,7 @@ def test_a_hit_that_leads_for_one_of_its_keys_leads_for_all(spark):
     assert sorted((r["qid"], r["place"], r["id"], r["key"]) for r in got) == [(1, 1, 1, "a"), (1, 2, 1, "c"), (1, 3, 4, "d"), (1, 4, 2, "b"), (1, 5, 5, "e"), (2, 1, 9, None)]
 
 
-@pytest.mark.parametrize("name", ["page_text_topk"])
+@pytest.mark.parametrize("name", ["page_text_topk", "corrective_search_authority"])
 def test_a_task_counts_two_megabytes_of_text_at_a_time(spark, sf_dir, monkeypatch, name):
     from querywell.plans import catalogue
 
