@@ -62,7 +62,7 @@ def test_tiles_of_long_vectors_hold_fewer_rows(spark, monkeypatch):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["dense_topk_cosine", "entity_search"])
+@pytest.mark.parametrize("name", ["dense_topk_cosine", "entity_search", "semantic_seeds"])
 def test_queries_of_similar_vectors_search_by_tiles(spark, sf_dir, name):
     from querywell.plans import catalogue
 
