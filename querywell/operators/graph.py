@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .pagerank import link_weight, pagerank  # noqa: F401
 from .ranking import dense_topk
-from .state import cut
 
-DAMPING, ROUNDS, TOLERANCE = 0.85, 30, 1e-6
-#: Rounds of a plan: ranks are cut and compared once for so many.
-STEP = 5
 #: Edges of a part.
 ROWS = 1 << 20
 
@@ -27,10 +23,9 @@ def adjacency(edges: DataFrame, rows: int | None = None) -> DataFrame:
 
     A pair is grouped once for both directions, and dealt into parts by number of edges (``rows``, counted if not given).
     """
-    weight = F.greatest(F.when(F.coalesce("weight", F.lit(0.0)) == 0, 1.0).otherwise(F.col("weight")), F.lit(0.0))
     turned = F.coalesce(F.col("src") > F.col("dst"), F.col("dst").isNull() & F.col("src").isNotNull())
     low, high = F.when(turned, F.col("dst")).otherwise(F.col("src")), F.when(turned, F.col("src")).otherwise(F.col("dst"))
-    pairs = edges.select(low.alias("src"), high.alias("dst"), weight.alias("weight")).repartition(parts_of(edges, rows), "src", "dst")
+    pairs = edges.select(low.alias("src"), high.alias("dst"), link_weight().alias("weight")).repartition(parts_of(edges, rows), "src", "dst")
     pairs = pairs.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
     one = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), "weight")
     return pairs.select(F.inline(F.when(F.col("src").eqNullSafe(F.col("dst")), F.array(one("src", "dst"))).otherwise(F.array(one("src", "dst"), one("dst", "src")))))
@@ -72,50 +67,6 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 3, rows: int
     return done.withColumn("n", F.row_number().over(order)).where("n = 1").select("a", "b", "path")
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE, rows: int | None = None) -> DataFrame:
-    """Personalised: (id, rank, converged), mass of dead ends goes back to the seeds, ranks add up to 1.
-
-    Rounds end when the ranks together change by ``tolerance`` at most over STEP of
-    them, and converged is true, or after ``rounds``. Each is a join on the node and
-    a sum; STEP of them are one plan that is cut and sends a number to the driver.
-
-    Links weigh the same both ways, so the steps have real eigenvalues and each round adds to the last one's
-    ranks what Chebyshev's rule says: the same ranks, in about a quarter of the rounds.
-    """
-    links = cut(adjacency(edges, rows).where("weight > 0"))
-    out = links.groupBy("src").agg(F.sum("weight").alias("total"))
-    nodes = links.select(F.col("src").alias("id")).unionByName(seeds.select("id")).distinct()
-    n = seeds.select("id").distinct().count()
-    start = nodes.join(seeds.select("id", F.lit(1.0 / max(1, n)).alias("seed")).distinct(), "id", "left").select("id", F.coalesce("seed", F.lit(0.0)).alias("seed"))
-    start = start.join(out.select(F.col("src").alias("id"), F.lit(False).alias("dead")), "id", "left").select("id", "seed", F.coalesce("dead", F.lit(True)).alias("dead"))
-    start = cut(start)
-    # Links go both ways, so a dead end has none at all: only its seed gives it rank, and their mass at the end follows from a number.
-    lone = start.agg(F.coalesce(F.sum(F.when(F.col("dead"), F.col("seed"))), F.lit(0.0))).first()[0]
-    lost = lone * (1 - damping) / (1 - damping * lone)
-    # A node's step to itself, without a share, carries what the next round needs of it, so that a round reads the ranks once.
-    # Kept dealt and sorted by source, so that a round moves and sorts ranks and sums but no links; a lost part is made again from the checkpoint.
-    shares = links.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p"))
-    own = start.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(None).cast("double").alias("p"))
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    steps = cut(shares.unionByName(own)).repartition(parts, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
-    kept = lambda name: F.max(F.when(F.col("p").isNull(), F.col(name))).alias(name)
-    ranks = start.select("id", "seed", F.col("seed").alias("rank"), F.lit(0.0).alias("last"))
-    weight, change, done = 1.0, 1.0, 0
-    while done < rounds and change > tolerance:
-        before = ranks
-        for _ in range(min(STEP, rounds - done)):
-            met = steps.join(ranks, steps["src"] == F.col("id")).groupBy("dst").agg(F.coalesce(F.sum(F.col("rank") * F.col("p")), F.lit(0.0)).alias("flow"), kept("seed"), kept("rank"), kept("last"))
-            new = F.col("seed") * (1 - damping + damping * lost) + damping * F.col("flow")
-            ranks = met.select(F.col("dst").alias("id"), "seed", (weight * new + (1 - weight) * F.col("last")).alias("rank"), F.col("rank").alias("last"))
-            weight, done = 1 / (1 - damping * damping * weight / (2 if done == 0 else 4)), done + 1
-        ranks = cut(ranks)
-        moved = ranks.join(before.select("id", F.col("rank").alias("was")), "id").agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("was"))), F.lit(0.0)))
-        change = moved.first()[0]
-    steps.unpersist()
-    # A rank near 0 may still be a little below it.
-    return ranks.select("id", F.greatest("rank", F.lit(0.0)).alias("rank"), F.lit(change <= tolerance).alias("converged"))
-
-
 def entity_search(entities: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """entities (id, vec) and queries (qid, qvec): the k most similar entities of each query."""
     return dense_topk(entities, queries, k, by="cosine")

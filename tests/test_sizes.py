@@ -4,10 +4,12 @@ import json
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from querywell.operators import batches, extraction, graph, lexical, ranking, splitting
+from querywell.operators import batches, extraction, graph, lexical, pagerank, ranking, splitting, state
 
 
 def test_entities_without_the_work_for_relations(spark):
@@ -140,3 +142,58 @@ def test_a_task_counts_two_megabytes_of_text_at_a_time(spark, sf_dir, monkeypatc
     for task in tasks:
         list(task(iter([batch])))
     assert tasks and sum(sizes) == len(tasks) * 600 * 11000 and max(sizes) <= batches.BYTES
+
+
+def plain_ranks(rows, seeds):
+    """Ranks by plain steps over a matrix, and the names of its rows; links without an end are none."""
+    names = sorted({x for a, b, w in rows if None not in (a, b) and (w is None or w >= 0) for x in (a, b)} | set(seeds))
+    matrix, seed = np.zeros((len(names), len(names))), np.array([(x in seeds) / len(seeds) for x in names])
+    for a, b, w in rows:
+        if None not in (a, b):
+            i, j = names.index(a) if a in names else None, names.index(b) if b in names else None
+            if i is not None and j is not None:
+                matrix[i, j] = matrix[j, i] = max(matrix[i, j], w or 1.0, 0.0)
+    total = matrix.sum(axis=1)
+    step, ranks = matrix / np.where(total > 0, total, 1)[:, None], seed
+    for _ in range(400):
+        ranks = 0.15 * seed + 0.85 * (ranks @ step + ranks[total == 0].sum() * seed)
+    return dict(zip(names, ranks))
+
+
+def test_ranks_by_tiles_of_links(spark, monkeypatch):
+    """Many small tiles, one of them split, a hub, links to itself, both ways and without an end, and seeds without links."""
+    monkeypatch.setattr(pagerank, "TILE", 40)
+    monkeypatch.setattr(pagerank, "PIECE", 16)
+    rng = random.Random(11)
+    rows = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}", rng.choice([None, 0.0, 2.0, 5.0])) for _ in range(150)]
+    rows += [("hub", f"n{k % 60}", 1.0 + k % 3) for k in range(120)] + [("n1", "n1", 3.0), (None, "n2", 1.0), ("n3", None, 1.0), ("gone", "also", -1.0), ("x", "y", 1.0)]
+    rows += [(b, a, 4.0) for a, b, _ in rows[:30]]
+    seeds = ["n1", "hub", "lone", "n1", None]
+    want = plain_ranks(rows, {"n1", "hub", "lone"})
+    edges, asked = spark.createDataFrame(rows, "src string, dst string, weight double"), spark.createDataFrame([(s,) for s in seeds], "id string")
+    whole = pagerank.tiled
+    monkeypatch.setattr(pagerank, "tiled", lambda e, kind, bands, blocks: whole(e, kind, 2, blocks))
+    got = graph.pagerank(edges, asked, rounds=60).collect()
+    assert len(got) == len(want) and all(r["converged"] for r in got)
+    assert all(r["rank"] == pytest.approx(want[r["id"]], abs=1e-6) for r in got) and sum(r["rank"] for r in got) == pytest.approx(1, abs=1e-5)
+    tiles = whole(edges, "string", 2, 12).where("low is not null").select("tile", (F.length("low") / 4).alias("n")).collect()
+    pairs = {(min(a, b), max(a, b)) for a, b, w in rows if None not in (a, b) and w != -1}
+    assert len({r["tile"] for r in tiles}) > 3 and max(r["n"] for r in tiles) <= 16 and sum(r["n"] for r in tiles) == len(pairs)
+    none = graph.pagerank(edges.limit(0), asked, rounds=9).collect()
+    assert {r["id"]: r["rank"] for r in none} == {s: pytest.approx(1 / 3) for s in ("n1", "hub", "lone")}
+
+
+def test_ranks_in_fewer_rounds_that_move_no_links(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(a, 1000 + rng.randrange(30), 1.0) for a in range(400) for _ in range(12)]
+    plans = []
+    monkeypatch.setattr(pagerank, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or state.cut(df))
+    edges = spark.createDataFrame(rows, "src long, dst long, weight double").distinct()
+    got = graph.pagerank(edges, spark.createDataFrame([(0,), (1,)], "id int"), rounds=12).collect()
+    want = plain_ranks([(a, b, w) for a, b, w in set(rows)], {0, 1})
+    assert all(r["converged"] and r["rank"] == pytest.approx(want[r["id"]], abs=1e-6) for r in got) and len(got) == len(want)
+
+    # A round deals out what blocks and tiles send and the state, but not the links or places of nodes, which it reads as they are kept.
+    plan = plans[2]
+    for step in ("FlatMapCoGroupsInArrow [tile", "FlatMapCoGroupsInArrow [block", "MapInArrow sent"):
+        assert "Exchange" not in plan[plan.index(step) :].split("InMemoryRelation")[0]
