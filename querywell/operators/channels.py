@@ -56,9 +56,11 @@ def ranked_chunks(ranks: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
 
     Equal texts of one source count once, at their best place; chunks without text never.
     """
-    met = chunks.where(F.length("text") > 0).join(ranks.select("id", "rank"), "id")
+    # The join moves digests, not texts.
+    told = chunks.where(F.length("text") > 0).select("id", "source", "ordinal", F.sha2("text", 256).alias("digest"))
+    met = told.join(ranks.select("id", "rank"), "id")
     at = F.struct((-F.col("rank")).alias("back"), F.col("id"), F.col("ordinal"))
-    first = met.groupBy("source", F.sha2("text", 256).alias("digest")).agg(F.min(at).alias("at"))
+    first = met.groupBy("source", "digest").agg(F.min(at).alias("at"))
     rows = first.select("source", F.col("at.id").alias("id"), F.col("at.ordinal").alias("ordinal"), (-F.col("at.back")).alias("rank"))
     return rows.orderBy(F.desc("rank"), "id", "ordinal").limit(k)
 

@@ -22,6 +22,12 @@ def test_ranked_chunks_are_those_of_a_plain_loop(spark):
     assert [(r["id"], r["ordinal"]) for r in got] == want[:9]
 
 
+def test_ranked_chunks_join_digests_and_no_texts(spark):
+    ranks, chunks = spark.createDataFrame([(1, 0.5)], "id int, rank double"), spark.createDataFrame([(1, "s", 0, "a")], "id int, source string, ordinal int, text string")
+    plan = channels.ranked_chunks(ranks, chunks, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("sha2(")
+
+
 def test_token_matching_gives_the_known_mean(spark):
     pages = spark.createDataFrame([(1, [[1.0, 0.0], [0.0, 1.0]]), (2, [[-1.0, 0.0]]), (3, [])], "page int, tokens array<array<double>>")
     asked = spark.createDataFrame([(7, [[1.0, 0.0], [0.0, 1.0]]), (8, []), (9, None)], "qid int, tokens array<array<double>>")
